@@ -1,10 +1,11 @@
 from .calendar import CALENDAR_FEATURES, calendar_columns
 from .columns import (
-    is_missing, np_round, quotient, to_date, to_flag, to_number, units,
+    is_missing, np_round, quotient, settled, to_date, to_flag, to_number,
+    units,
 )
 from .quantiles import exact_quantiles
 
 __all__ = [
     "CALENDAR_FEATURES", "calendar_columns", "exact_quantiles", "is_missing",
-    "np_round", "quotient", "to_date", "to_flag", "to_number", "units",
+    "np_round", "quotient", "settled", "to_date", "to_flag", "to_number", "units",
 ]

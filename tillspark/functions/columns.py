@@ -18,6 +18,12 @@ def np_round(col: Column, digits: int) -> Column:
     return F.rint(col * scale) / scale
 
 
+def settled(col: Column, digits: int) -> Column:
+    """``np_round`` for means of fractions: 9 digits first, so that a tie
+    does not depend on the order in which the values were added up."""
+    return np_round(np_round(col, 9), digits)
+
+
 def quotient(num: Column, den: Column) -> Column:
     """A double ratio that is NULL where the denominator is 0 or NULL."""
     return F.try_divide(num.cast("double"), den.cast("double"))

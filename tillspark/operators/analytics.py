@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..functions import exact_quantiles, np_round, quotient, units
+from ..functions import exact_quantiles, np_round, quotient, settled, units
 from ..schema import (
     ANALYTICS_COLUMNS, NO_EVENT, AnalyticsInputError, flag_columns,
     missing_columns, series_columns,
@@ -381,7 +381,7 @@ def price_profile(df: DataFrame, min_obs: int = 30, ordered: bool = True) -> Dat
     usable = ((F.sum("n") >= min_obs) & (F.min("lo") < F.max("hi"))
               & (F.min("qlo") < F.max("qhi")))
     out = joined.groupBy("product_id").agg(
-        np_round(quotient(F.sum("sp"), F.sum("n")), 3).alias("avg_price"),
+        settled(quotient(F.sum("sp"), F.sum("n")), 3).alias("avg_price"),
         F.min("lo").alias("min_price"), F.max("hi").alias("max_price"),
         (F.sum("steps") + F.sum("_seam")).cast("bigint").alias("n_price_changes"),
         np_round(F.when(usable, quotient(cov, F.sqrt(var_p * var_q))), 4)

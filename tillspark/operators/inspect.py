@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions import exact_quantiles, np_round, quotient
+from ..functions import exact_quantiles, np_round, quotient, settled
 from ..schema import flag_columns
 
 
@@ -18,8 +18,8 @@ def describe_measures(df: DataFrame) -> DataFrame:
     values = (df.select(*measures).select(pair).select("p.*")
               .where(F.col("v").isNotNull() & ~F.isnan("v")))
     stats = values.groupBy("measure").agg(
-        F.count("v").alias("count"), np_round(F.avg("v"), 2).alias("mean"),
-        np_round(F.stddev_samp("v"), 2).alias("std"), F.min("v").alias("min"),
+        F.count("v").alias("count"), settled(F.avg("v"), 2).alias("mean"),
+        settled(F.stddev_samp("v"), 2).alias("std"), F.min("v").alias("min"),
         F.max("v").alias("max"))
     histogram = values.groupBy("measure", "v").agg(F.count(F.lit(1)).alias("n"))
     quartiles = exact_quantiles(histogram, ["measure"], "v", "n",
