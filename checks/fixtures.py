@@ -1,8 +1,9 @@
 """The given star-schema tables in the shape of the sales model.
 
-Every adapter reads whole tables. Order lines are aggregated per day, part
-and store before any other table is joined, so a part or a day that holds
-a large share of all lines has already shrunk to one row per cell.
+Every adapter reads whole tables. Joins carry no broadcast hints: Spark
+broadcasts a side after checking its size and otherwise splits skewed join
+partitions at run time. Aggregations combine before their shuffle, so a
+part or a day that holds a large share of all lines shrinks to its cells.
 """
 
 from __future__ import annotations
@@ -29,8 +30,14 @@ WIDE_DAYS = 365
 FIRST_WEEK = 11101
 
 
+@cache
+def _schema(spark: SparkSession, sf: str, name: str):
+    return spark.read.parquet(f"{sf}/{name}.parquet").schema
+
+
 def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf}/{name}.parquet")
+    """A given table; its footer is read for the schema once per session."""
+    return spark.read.schema(_schema(spark, sf, name)).parquet(f"{sf}/{name}.parquet")
 
 
 def event_name(date: Column) -> Column:
@@ -69,18 +76,23 @@ def _supplier_region(spark: SparkSession, sf: str) -> DataFrame:
             .select("s_suppkey", "r_name", "r_regionkey"))
 
 
-def _cells(lines: DataFrame, spark: SparkSession, sf: str, store: str) -> DataFrame:
-    """Units and highest unit price per day, part and store."""
-    date = F.col("l_shipdate").cast("date").alias("date")
-    return (lines.join(_supplier_region(spark, sf),
-                       F.col("l_suppkey") == F.col("s_suppkey"))
-            .groupBy(date, "l_partkey", store).agg(_qty(), _ratio()))
+def _lines(spark: SparkSession, sf: str) -> DataFrame:
+    """Order lines with their day and region."""
+    lines = table(spark, sf, "lineitem").select(
+        "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice", "l_shipdate",
+        F.col("l_shipdate").cast("date").alias("date"))
+    return lines.join(_supplier_region(spark, sf), F.col("l_suppkey") == F.col("s_suppkey"))
+
+
+def _typed_lines(spark: SparkSession, sf: str, *columns: str) -> DataFrame:
+    part = table(spark, sf, "part").select("p_partkey", *columns)
+    return _lines(spark, sf).join(part, F.col("l_partkey") == F.col("p_partkey"))
 
 
 def item(spark: SparkSession, sf: str) -> DataFrame:
     """Sparse: one series per part and region."""
     part = table(spark, sf, "part")
-    cells = _cells(table(spark, sf, "lineitem"), spark, sf, "r_name")
+    cells = _lines(spark, sf).groupBy("date", "l_partkey", "r_name").agg(_qty(), _ratio())
     return with_events(cells.join(part, F.col("l_partkey") == F.col("p_partkey")).select(
         "date", F.concat(F.lit("P"), F.col("l_partkey").cast("string")).alias("product_id"),
         F.col("p_name").alias("product_name"), F.col("p_type").alias("category"),
@@ -90,12 +102,9 @@ def item(spark: SparkSession, sf: str) -> DataFrame:
 
 def series(spark: SparkSession, sf: str) -> DataFrame:
     """Gappy but dense: part type times region."""
-    part = table(spark, sf, "part").select("p_partkey", "p_type")
-    cells = _cells(table(spark, sf, "lineitem"), spark, sf, "r_name")
     kind = F.col("p_type")
-    grouped = (cells.join(part, F.col("l_partkey") == F.col("p_partkey"))
-               .groupBy("date", "p_type", "r_name")
-               .agg(F.sum("qty").cast("bigint").alias("qty"), F.max("ratio").alias("ratio")))
+    grouped = (_typed_lines(spark, sf, "p_type")
+               .groupBy("date", "p_type", "r_name").agg(_qty(), _ratio()))
     return with_events(grouped.select(
         "date", kind.alias("product_id"), kind.alias("product_name"),
         F.when(kind.isin(*VALUE_TYPES), "VALUE").otherwise("CORE").alias("category"),
@@ -169,32 +178,28 @@ def resolved(spark: SparkSession, sf: str) -> DataFrame:
 
 # ---- the wide matrix --------------------------------------------------------
 
-def _wide_cells(spark: SparkSession, sf: str) -> DataFrame:
-    end = F.date_add(F.lit(WIDE_START).cast("date"), WIDE_DAYS)
-    shipped = F.col("l_shipdate")
-    lines = table(spark, sf, "lineitem").where(
-        (shipped >= F.lit(WIDE_START).cast("timestamp_ntz"))
-        & (shipped < end.cast("timestamp_ntz")))
-    part = table(spark, sf, "part").select("p_partkey", "p_brand")
+def _wide_lines(spark: SparkSession, sf: str) -> DataFrame:
+    """Lines of the matrix period; the period reaches the scan as a filter."""
+    shipped, start = F.col("l_shipdate"), F.lit(WIDE_START).cast("date")
     brand = F.substring("p_brand", 7, 10).cast("int")
     store = F.element_at(F.array(*[F.lit(s) for s in STORES]), F.col("r_regionkey") + 1)
     category = F.element_at(F.array(*[F.lit(c) for c in CATEGORIES]), brand % 3 + 1)
-    return (_cells(lines, spark, sf, "r_regionkey")
-            .join(part, F.col("l_partkey") == F.col("p_partkey"))
+    return (_typed_lines(spark, sf, "p_brand")
+            .where((shipped >= start.cast("timestamp_ntz"))
+                   & (shipped < F.date_add(start, WIDE_DAYS).cast("timestamp_ntz")))
             .select(F.col("p_brand").alias("item_id"), category.alias("cat_id"),
                     store.alias("store_id"), F.substring(store, 1, 2).alias("state_id"),
-                    (F.datediff("date", F.lit(WIDE_START)) + 1).alias("n"), "qty", "ratio"))
+                    (F.datediff("date", start) + 1).alias("n"), "l_quantity",
+                    "l_extendedprice"))
 
 
 def wide(spark: SparkSession, sf: str) -> DataFrame:
     ids = ("item_id", "cat_id", "store_id", "state_id")
     days = [f"d_{i}" for i in range(1, WIDE_DAYS + 1)]
     code = F.concat(F.lit("d_"), F.col("n").cast("string"))
-    matrix = (_wide_cells(spark, sf).groupBy(*ids, code.alias("d"))
-              .agg(F.sum("qty").cast("bigint").alias("qty"))
+    matrix = (_wide_lines(spark, sf).groupBy(*ids, code.alias("d")).agg(_qty())
               .groupBy(*ids).pivot("d", days).agg(F.first("qty")))
-    return matrix.select(*ids, *[F.coalesce(F.col(d), F.lit(0).cast("bigint")).alias(d)
-                                 for d in days])
+    return matrix.selectExpr(*ids, *[f"coalesce({d}, 0L) AS {d}" for d in days])
 
 
 def wide_calendar(spark: SparkSession) -> DataFrame:
@@ -212,8 +217,10 @@ def wide_calendar(spark: SparkSession) -> DataFrame:
 
 def wide_prices(spark: SparkSession, sf: str) -> DataFrame:
     week = (FIRST_WEEK + F.floor((F.col("n") - 1) / F.lit(7))).cast("int")
-    return (_wide_cells(spark, sf).groupBy("store_id", "item_id", week.alias("wm_yr_wk"))
-            .agg(_cents(F.max("ratio")).alias("sell_price")))
+    return (_wide_lines(spark, sf).groupBy("store_id", "item_id", week.alias("wm_yr_wk"))
+            .agg(_ratio())
+            .select("store_id", "item_id", "wm_yr_wk",
+                    _cents(F.col("ratio")).alias("sell_price")))
 
 
 # ---- requests ---------------------------------------------------------------

@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..functions import exact_quantiles, np_round, quotient, settled, units
+from ..functions import np_round, quotient, settled, units
 from ..schema import (
     ANALYTICS_COLUMNS, NO_EVENT, AnalyticsInputError, flag_columns,
     missing_columns, series_columns,
@@ -194,21 +194,22 @@ def _event_cube(df: DataFrame) -> DataFrame:
 
 
 def _event_table(rows: DataFrame) -> DataFrame:
-    """Figures per event from rows (event, event_type, on, sales, n)."""
-    q, n = F.col("sales_quantity"), F.col("n")
+    """Figures per event from rows (event, event_type, on, sales, n).
+
+    The median reads a weighted histogram, whose size is the number of
+    distinct daily quantities and not the number of rows.
+    """
+    cells = rows.groupBy("event", "event_type", "on", "sales_quantity").agg(
+        F.sum("n").alias("n"))
+    q, n, on = F.col("sales_quantity"), F.col("n"), F.col("on") == 1
     valued = F.when(q.isNotNull(), n)
-    on = F.col("on") == 1
-    figures = rows.groupBy("event", "event_type").agg(
+    return cells.withColumn("_q_on", F.when(on, q)).groupBy("event", "event_type").agg(
         F.coalesce(F.sum(F.when(on, n)), F.lit(0)).alias("observations"),
         F.coalesce(F.sum(F.when(~on, n)), F.lit(0)).alias("_off"),
         quotient(F.sum(F.when(on, q * n)), F.sum(F.when(on, valued))).alias("_avg"),
+        F.expr("percentile(_q_on, 0.5D, n)").alias("median_units"),
         F.coalesce(F.sum(F.when(on, q * n)), F.lit(0)).alias("total_units"),
         quotient(F.sum(F.when(~on, q * n)), F.sum(F.when(~on, valued))).alias("_base"))
-    medians = exact_quantiles(
-        rows.where(on).groupBy("event", "event_type", "sales_quantity")
-        .agg(F.sum("n").alias("n")),
-        ["event", "event_type"], "sales_quantity", "n", {"median_units": 0.5})
-    return figures.join(medians, ["event", "event_type"], "left")
 
 
 def _present(table: DataFrame) -> DataFrame:
