@@ -123,9 +123,9 @@ def dense(spark: SparkSession, sf: str) -> DataFrame:
         "product_id", "store_id", "date", "sales_quantity", "price")
     days = table(spark, sf, "lineitem").select(
         F.col("l_shipdate").cast("date").alias("day"))
-    lo, hi = days.agg(F.min("day")).scalar(), days.agg(F.max("day")).scalar()
+    ends = days.agg(F.struct(F.min("day").alias("lo"), F.max("day").alias("hi"))).scalar()
     calendar = (sold.select("product_id", "store_id").distinct()
-                .withColumns({"_lo": lo, "_hi": hi})
+                .withColumns({"_lo": ends["lo"], "_hi": ends["hi"]})
                 .select("product_id", "store_id",
                         F.explode(F.sequence("_lo", "_hi", F.expr("interval 1 day")))
                         .alias("date")))

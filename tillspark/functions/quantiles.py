@@ -31,6 +31,10 @@ def exact_quantiles(histogram: DataFrame, keys: list[str], value: str,
             .select(*keys, F.col(value).cast("double").alias("_v"),
                     F.col(weight).alias("_n"))
             .withColumn("_slot", _slot(F.col("_v"))))
+    # The join below needs its keys to be there; saying so here keeps both
+    # branches alike, so that the histogram is shuffled once for the two.
+    for c in (*keys, "_slot"):
+        hist = hist.where(F.col(c).isNotNull())
 
     by_key = Window.partitionBy(*keys)
     upto = by_key.orderBy("_slot")

@@ -50,10 +50,6 @@ def real_rows(df: DataFrame, *needed: str) -> DataFrame:
     return out
 
 
-def _share(cond: Column) -> Column:
-    return F.avg(F.when(cond, 1.0).otherwise(0.0))
-
-
 def _zero() -> Column:
     return F.col("sales_quantity") == 0
 
@@ -152,26 +148,37 @@ def dataset_summary(df: DataFrame) -> DataFrame:
 # ---- products -------------------------------------------------------------
 
 def product_metrics(df: DataFrame, ordered: bool = True) -> DataFrame:
-    """Demand profile per product over all its stores."""
+    """Demand profile per product over all its stores.
+
+    Rows are first reduced per series and name with plain sums, which hash
+    aggregation holds in place; the name of the earliest row and the
+    deviation then come from one row per series.
+    """
     real = real_rows(df).where(F.col("product_id").isNotNull())
-    mean, std = F.avg("sales_quantity"), F.stddev_samp("sales_quantity")
-    aggs = []
-    if "product_name" in real.columns:
-        order = [c for c in ("store_id", "date") if c in real.columns]
-        # The name of the earliest row that has one.
-        aggs.append(F.min_by("product_name", F.when(
-            F.col("product_name").isNotNull(), F.struct(*order)))
-            .alias("product_name"))
-    aggs += [
-        units(F.col("sales_quantity")).alias("total_units"),
-        F.count("sales_quantity").alias("n_days"),
+    keys = series_columns(real)
+    name = [c for c in ("product_name",) if c in real.columns]
+    flag = [c for c in ("outlier_flag",) if c in real.columns]
+    q = F.col("sales_quantity")
+    series = real.groupBy(*keys, *name).agg(
+        F.sum(q).alias("s"), F.sum(q * q).alias("t"), F.count(q).alias("n"),
+        F.count(F.lit(1)).alias("rows"), F.count_if(_zero()).alias("zero"),
+        F.min("date").alias("date"), *[F.sum(c).alias(c) for c in flag])
+
+    whole = lambda c: F.sum(F.col(c).cast("decimal(38,0)"))
+    s, n = F.sum("s").cast("double"), F.sum("n")
+    mean = quotient(s, n)
+    # Whole numbers keep the difference of the two large terms exact.
+    gap = (whole("n") * whole("t") - whole("s") * whole("s")).cast("double")
+    std = F.sqrt(quotient(gap, n.cast("double") * (n - 1)))
+    place = F.struct(*keys[1:], "date")
+    named = [F.min_by(c, F.when(F.col(c).isNotNull(), place)).alias(c) for c in name]
+    out = series.groupBy("product_id").agg(
+        *named, units(F.col("s")).alias("total_units"), n.alias("n_days"),
         np_round(mean, 3).alias("avg_daily_units"),
         np_round(std, 3).alias("std_daily_units"),
         np_round(quotient(std, mean), 3).alias("cv"),
-        np_round(_share(_zero()) * 100, 3).alias("zero_sales_pct")]
-    if "outlier_flag" in real.columns:
-        aggs.append(F.sum("outlier_flag").cast("bigint").alias("outlier_count"))
-    out = real.groupBy("product_id").agg(*aggs)
+        np_round(quotient(F.sum("zero"), F.sum("rows")) * 100, 3).alias("zero_sales_pct"),
+        *[F.sum(c).cast("bigint").alias("outlier_count") for c in flag])
     return out.orderBy(F.desc("total_units"), "product_id") if ordered else out
 
 
@@ -227,35 +234,50 @@ _EVENT_SCHEMA = ("event string, event_type string, observations bigint, "
                  "baseline_avg_units double, pct_vs_baseline double")
 
 
-def _flag_rows(cube: DataFrame) -> DataFrame:
-    """One row per flag from each cell of the cube: (event, on, sales, n)."""
-    state = F.explode(F.array(*[
-        F.struct(F.lit(f).alias("event"), F.col(f).alias("on"))
-        for f in flag_columns(cube)])).alias("s")
-    return (cube.select(state, "sales_quantity", "n")
-            .where(F.col("s.on").isin(0, 1))
-            .select("s.event", F.lit("flag").alias("event_type"),
-                    F.col("s.on").cast("int").alias("on"), "sales_quantity", "n"))
+def _state(event: Column, kind: str, on: Column) -> Column:
+    return F.struct(event.alias("event"), F.lit(kind).alias("event_type"),
+                    on.cast("int").alias("on"))
+
 
+def _flag_states(cube: DataFrame) -> list[Column]:
+    return [_state(F.lit(f), "flag", F.col(f)) for f in flag_columns(cube)]
 
-def _name_rows(cube: DataFrame) -> DataFrame:
-    return cube.where(F.col("event_name").isNotNull()).select(
-        F.col("event_name").alias("event"), F.lit("named_event").alias("event_type"),
-        F.lit(1).alias("on"), "sales_quantity", "n")
 
+def _name_state() -> Column:
+    return _state(F.col("event_name"), "named_event", F.lit(1))
 
-def _reported_flags(table: DataFrame) -> DataFrame:
-    return table.where((F.col("observations") > 0) & (F.col("_off") > 0))
 
+def _event_rows(cube: DataFrame, states: list[Column]) -> DataFrame:
+    """Each cell of the cube once per event it says something about."""
+    rows = cube.select(F.explode(F.array(*states)).alias("s"), "sales_quantity", "n")
+    return (rows.where(F.col("s.on").isin(0, 1) & F.col("s.event").isNotNull())
+            .select("s.*", "sales_quantity", "n"))
 
-def _reported_names(table: DataFrame) -> DataFrame:
-    """Days without an event are the baseline of every named event.
 
-    The window spans one row per event name.
+def _reported(table: DataFrame) -> DataFrame:
+    """Flags with both kinds of days, and named events, with their baseline.
+
+    Days without an event are the baseline of every named event. The window
+    spans one row per event.
     """
-    plain = F.max(F.when(F.col("event") == NO_EVENT, F.col("_avg")))
-    return (table.withColumn("_base", plain.over(Window.partitionBy("event_type")))
-            .where(F.col("event") != NO_EVENT))
+    named = F.col("event_type") == "named_event"
+    plain = F.max(F.when(F.col("event") == NO_EVENT, F.col("_avg"))).over(
+        Window.partitionBy("event_type"))
+    shown = F.when(named, F.col("event") != NO_EVENT).otherwise(
+        (F.col("observations") > 0) & (F.col("_off") > 0))
+    return (table.withColumn("_base", F.when(named, plain).otherwise(F.col("_base")))
+            .where(shown))
+
+
+def _events(df: DataFrame, flags: bool, names: bool) -> DataFrame:
+    """The event figures of one pass over the table."""
+    cube = _event_cube(df)
+    states = _flag_states(cube) if flags else []
+    if names and "event_name" in df.columns:
+        states.append(_name_state())
+    if not states:
+        return df.sparkSession.createDataFrame([], _EVENT_SCHEMA)
+    return _present(_reported(_event_table(_event_rows(cube, states))))
 
 
 def event_flags(df: DataFrame) -> DataFrame:
@@ -263,39 +285,34 @@ def event_flags(df: DataFrame) -> DataFrame:
 
     A flag is reported only where both kinds of days occur.
     """
-    if not flag_columns(df):
-        return df.sparkSession.createDataFrame([], _EVENT_SCHEMA)
-    return _present(_reported_flags(_event_table(_flag_rows(_event_cube(df)))))
+    return _events(df, flags=True, names=False)
 
 
 def named_events(df: DataFrame) -> DataFrame:
     """Sales per named event against days without any event."""
-    if "event_name" not in df.columns:
-        return df.sparkSession.createDataFrame([], _EVENT_SCHEMA)
-    return _present(_reported_names(_event_table(_name_rows(_event_cube(df)))))
+    return _events(df, flags=False, names=True)
 
 
 def event_analysis(df: DataFrame) -> DataFrame:
     """Both event tables together, strongest difference first."""
-    if flag_columns(df) and "event_name" in df.columns:
-        cube = _event_cube(df)
-        table = _event_table(_flag_rows(cube).unionByName(_name_rows(cube)))
-        names = _reported_names(table.where("event_type = 'named_event'"))
-        flags = _reported_flags(table.where("event_type = 'flag'"))
-        out = _present(flags).unionByName(_present(names))
-    else:
-        out = event_flags(df).unionByName(named_events(df))
-    return out.orderBy(F.desc_nulls_last("pct_vs_baseline"), "event")
+    return _events(df, flags=True, names=True).orderBy(
+        F.desc_nulls_last("pct_vs_baseline"), "event")
 
 
 def strongest_events(df: DataFrame, n: int = 5) -> DataFrame:
-    """First and last ``n`` named events of the event table."""
+    """First and last ``n`` named events of the event table.
+
+    Both row numbers run over one row per event name.
+    """
     cols = ["event", "observations", "avg_units", "pct_vs_baseline"]
-    table = named_events(df).select(*cols)
-    top = table.orderBy(F.desc_nulls_last("pct_vs_baseline"), "event").limit(n)
-    low = table.orderBy(F.asc_nulls_first("pct_vs_baseline"), F.desc("event")).limit(n)
-    return (top.select(F.lit("positive").alias("direction"), *cols)
-            .unionByName(low.select(F.lit("negative").alias("direction"), *cols)))
+    first = Window.orderBy(F.desc_nulls_last("pct_vs_baseline"), "event")
+    last = Window.orderBy(F.asc_nulls_first("pct_vs_baseline"), F.desc("event"))
+    ranked = named_events(df).select(*cols).withColumns({
+        "_first": F.row_number().over(first), "_last": F.row_number().over(last)})
+    side = F.explode(F.array_compact(F.array(
+        F.when(F.col("_first") <= n, F.lit("positive")),
+        F.when(F.col("_last") <= n, F.lit("negative"))))).alias("direction")
+    return ranked.select(side, *cols)
 
 
 # ---- outliers -------------------------------------------------------------
@@ -434,7 +451,8 @@ def category_analysis(df: DataFrame) -> DataFrame:
         F.count("product_id").alias("n_products"), units(F.col("units")).alias("total_units"),
         np_round(quotient(F.sum("units"), F.sum("valued")), 3).alias("avg_units_per_row"),
         np_round(quotient(F.sum("zero"), F.sum("rows")) * 100, 3).alias("zero_sales_pct"))
-    everything = real.agg(F.sum("sales_quantity")).scalar()
+    # One row per category is left, so the total is taken in place.
+    everything = F.sum("total_units").over(Window.partitionBy())
     return (table.withColumn("units_share_pct", np_round(
         quotient(F.col("total_units"), everything) * 100, 2))
         .orderBy(F.desc("total_units"), "category"))

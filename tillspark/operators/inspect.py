@@ -10,18 +10,24 @@ from ..schema import flag_columns
 
 
 def describe_measures(df: DataFrame) -> DataFrame:
-    """Count, mean, std, min, exact quartiles and max of sales and price."""
+    """Count, mean, std, min, exact quartiles and max of sales and price.
+
+    The table is read once, into a histogram of distinct values.
+    """
     measures = [c for c in ("sales_quantity", "price") if c in df.columns]
     pair = F.explode(F.array(*[
         F.struct(F.lit(c).alias("measure"), F.col(c).cast("double").alias("v"))
         for c in measures])).alias("p")
     values = (df.select(*measures).select(pair).select("p.*")
               .where(F.col("v").isNotNull() & ~F.isnan("v")))
-    stats = values.groupBy("measure").agg(
-        F.count("v").alias("count"), settled(F.avg("v"), 2).alias("mean"),
-        settled(F.stddev_samp("v"), 2).alias("std"), F.min("v").alias("min"),
-        F.max("v").alias("max"))
     histogram = values.groupBy("measure", "v").agg(F.count(F.lit(1)).alias("n"))
+    v, n, count = F.col("v"), F.col("n"), F.sum("n")
+    mean = quotient(F.sum(v * n), count)
+    var = quotient(F.sum(v * v * n) - count * mean * mean, count - 1)
+    stats = histogram.groupBy("measure").agg(
+        count.alias("count"), settled(mean, 2).alias("mean"),
+        settled(F.sqrt(F.greatest(var, F.lit(0.0) * var)), 2).alias("std"),
+        F.min(v).alias("min"), F.max(v).alias("max"))
     quartiles = exact_quantiles(histogram, ["measure"], "v", "n",
                                 {"q25": 0.25, "q50": 0.5, "q75": 0.75})
     return stats.join(quartiles, "measure").select(
@@ -62,14 +68,13 @@ def avg_price_changes(df: DataFrame) -> DataFrame:
     stores = Window.partitionBy("product_id", "date").orderBy(*by_store, "price")
     p = F.col("price")
     changed = lambda a, b: F.coalesce((a != b).cast("int"), F.lit(0))
-    place = F.struct(*by_store, "_row") if by_store else F.col("_row")
     days = (df.select("product_id", "date", *by_store, "price").distinct()
             .withColumns({"_row": F.row_number().over(stores),
                           "_step": changed(p, F.lag(p).over(stores))})
             .groupBy("product_id", "date").agg(
                 F.sum("_step").alias("steps"),
-                F.min_by("price", place).alias("first"),
-                F.max_by("price", place).alias("last")))
+                F.min_by("price", "_row").alias("first"),
+                F.max_by("price", "_row").alias("last")))
     dates = Window.partitionBy("product_id").orderBy("date")
     per_product = (days.withColumn(
         "_seam", changed(F.col("first"), F.lag("last").over(dates)))
