@@ -170,10 +170,12 @@ DIRTY_SQL = f"{DIRTY_ROW} UNION ALL {DIRTY_ROW} WHERE l_orderkey % 101 = 0"
 
 def resolved(spark: SparkSession, sf: str) -> DataFrame:
     """``dirty`` without the keys whose rows disagree."""
-    rows = dirty(spark, sf)
-    dated = rows.where(F.col("date") != "not-a-date")
-    keys = clean.conflicting_keys(dated).select("date", "product_id", "store_id")
-    return rows.join(keys, ["date", "product_id", "store_id"], "left_anti")
+    rows, key = dirty(spark, sf), ["date", "product_id", "store_id"]
+    values = F.xxhash64("sales_quantity", "price", "snap_day")
+    torn = (rows.where(F.col("date") != "not-a-date").groupBy(*key)
+            .agg(F.min(values).alias("lo"), F.max(values).alias("hi"))
+            .where(F.col("lo") != F.col("hi")))
+    return rows.join(torn.select(*key), key, "left_anti")
 
 
 # ---- the wide matrix --------------------------------------------------------

@@ -14,10 +14,14 @@ REQUEST_FLAG_FIELDS = ("snap_day", "holiday", "has_named_event")
 DIRECT_FIELDS = ("price", *REQUEST_FLAG_FIELDS)
 
 
+def _given() -> Column:
+    """The feature list, empty where the request has none."""
+    return F.coalesce(F.col("features"),
+                      F.array().cast("array<struct<name:string,value:double>>"))
+
+
 def _names() -> Column:
-    given = F.coalesce(F.col("features"),
-                       F.array().cast("array<struct<name:string,value:double>>"))
-    return F.transform(given, lambda f: f["name"])
+    return _given().getField("name")
 
 
 def request_date() -> Column:
@@ -38,8 +42,7 @@ def validate_requests(df: DataFrame, feature_names: list[str]) -> DataFrame:
             (F.col("price") > 0) & ~F.isnan("price"), F.lit(False)),
         **{f"bad_{f}": ~F.coalesce(F.col(f), F.lit(0)).isin(0, 1)
            for f in REQUEST_FLAG_FIELDS},
-        "empty_feature_name": F.exists(
-            names, lambda n: F.coalesce(n, F.lit("")) == ""),
+        "empty_feature_name": F.coalesce(F.array_contains(names, ""), F.lit(True)),
         "duplicate_feature": F.size(names) != F.size(F.array_distinct(names)),
         "unknown_feature": F.size(F.array_except(names, known)) > 0,
     }
@@ -69,7 +72,7 @@ def request_features(df: DataFrame, feature_names: list[str]) -> DataFrame:
     """
     calendar = calendar_columns(request_date())
     names = _names()
-    values = F.transform(F.col("features"), lambda f: f["value"])
+    values = _given().getField("value")
     out = []
     for name in feature_names:
         if name in CALENDAR_FEATURES:
