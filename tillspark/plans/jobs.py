@@ -27,7 +27,7 @@ def prepare(spark: SparkSession, raw_dir: str, output: str, store_id: str | None
 def first_look(spark: SparkSession, path: str) -> tuple[ValidationResult, dict[str, DataFrame]]:
     """Validation and the first figures of a sales table."""
     df = sources.read_sales_parquet(spark, path)
-    tables = {"coverage": inspect.days_per_product(df),
+    tables = {"sample": df.limit(8), "coverage": inspect.days_per_product(df),
               "summary": analytics.dataset_summary(df),
               "top_products": analytics.top_products(df, 5),
               "lowest_products": analytics.top_products(df, 5, lowest=True),

@@ -27,6 +27,18 @@ def get_spark(app_name: str = "tillspark", master: str | None = None,
     return builder.getOrCreate()
 
 
+def shuffle_settings(table_bytes: int, target_mb: int = 200) -> dict[str, str]:
+    """Settings that keep a shuffled part of a table near ``target_mb``.
+
+    Adaptive execution joins small parts again, so the number is an upper
+    bound; it only has to be large enough for the parts to fit in memory.
+    """
+    parts = max(200, -(-table_bytes // (target_mb * 1024 * 1024)))
+    return {"spark.sql.shuffle.partitions": str(parts),
+            "spark.sql.adaptive.advisoryPartitionSizeInBytes": f"{target_mb}m",
+            "spark.sql.files.maxPartitionBytes": f"{target_mb}m"}
+
+
 def shared_path(spark: SparkSession, name: str) -> str:
     """A fresh path in the folder that every executor can reach.
 
