@@ -337,6 +337,16 @@ oracle("requests_from_csv", f"""SELECT strftime(date, '%Y-%m-%d') AS date, produ
     {r('max(f_mean_7)', 6)} AS max_mean_7
   FROM req0 GROUP BY 1, 2""")
 
+oracle("requests_from_json", f"""SELECT date, product_id, count(*) AS n_requests,
+    {r('max(price)', 6)} AS max_price, CAST(sum(snap_day) AS BIGINT) AS snap_days,
+    CAST(sum(has_named_event) AS BIGINT) AS named_days,
+    CAST(sum(CASE n WHEN 4 THEN 4 WHEN 5 THEN 2 WHEN 8 THEN 2 WHEN 9 THEN 0 WHEN 10 THEN 2
+      ELSE 3 END) AS BIGINT) AS n_features,
+    CAST(sum(CASE WHEN n <> 9 THEN f_lag_1 END) AS DOUBLE) AS lag_1
+  FROM req GROUP BY 1, 2""")
+oracle("sink_roundtrip", """SELECT product_id, store_id, count(*) AS n_rows,
+    CAST(sum(sales_quantity) AS BIGINT) AS units FROM series GROUP BY 1, 2""")
+
 # ---- validation ----------------------------------------------------------------
 oracle("validate_counts", """
   SELECT 'rows' AS "check", 'info' AS severity, count(*) AS n_rows FROM dirty

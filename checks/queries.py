@@ -148,7 +148,14 @@ def requests_from_csv(spark, sf):
 def requests_from_json(spark, sf):
     path = shared_path(spark, "requests-json")
     sources.write_json(fx.requests(spark, sf), path)
-    return sources.read_requests_json(spark, path)
+    got = sources.read_requests_json(spark, path)
+    value = F.sum(F.try_element_at(F.transform(
+        F.filter("features", lambda f: f["name"] == "lag_1"), lambda f: f["value"]), F.lit(1)))
+    return got.groupBy("date", "product_id").agg(
+        F.count(F.lit(1)).alias("n_requests"), np_round(F.max("price"), 6).alias("max_price"),
+        F.sum("snap_day").alias("snap_days"), F.sum("has_named_event").alias("named_days"),
+        F.sum(F.coalesce(F.size("features"), F.lit(0))).cast("bigint").alias("n_features"),
+        value.alias("lag_1"))
 
 
 # ---- validation ----------------------------------------------------------------
