@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import quoted, text_map
+from .common import quoted, ship, text_map
 
 #: Fixed values of the format: how byte-level BPE cuts a text into words.
 PRETOKENS = (r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\p{White_Space}\p{L}\p{N}]+"
@@ -241,6 +241,7 @@ def _count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def frequent_words(docs: DataFrame, text: str = "text", most: int = LEXICON_WORDS) -> DataFrame:
     """The ``most`` frequent words of all texts; ``most`` bounds the lexicon."""
+    ship(docs.sparkSession)
     return (docs.select(quoted(text)).mapInArrow(_count_words, "word string, n bigint")
             .where(F.octet_length("word") <= LONGEST_WORD)
             .groupBy("word").agg(F.sum("n").alias("n")).where("n > 1")

@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+import os
+import zipfile
 from collections.abc import Callable, Iterator
+from pathlib import Path
 
 import pyarrow as pa
+from pyspark import SparkFiles
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -20,6 +24,25 @@ def read_table(spark: SparkSession, sf_dir: str, name: str, *columns: str) -> Da
     return df.select(*columns) if columns else df
 
 
+def ship(spark: SparkSession) -> None:
+    """Give the package to the Python workers, once for each Spark context.
+
+    A worker may start where the driver's import path means nothing.
+    """
+    sc = spark.sparkContext
+    if getattr(sc, "_tillspark_shipped", False):
+        return
+    package = Path(__file__).resolve().parents[1]
+    target = os.path.join(SparkFiles.getRootDirectory(), "packages")
+    os.makedirs(target, exist_ok=True)
+    archive = os.path.join(target, f"{package.name}.zip")
+    with zipfile.ZipFile(archive, "w") as z:
+        for file in sorted(package.rglob("*.py")):
+            z.write(file, str(file.relative_to(package.parent)))
+    sc.addPyFile(archive)
+    sc._tillspark_shipped = True
+
+
 def fresh(df: DataFrame, *names: str) -> list[str]:
     """Column names that ``df`` does not have, made from ``names``."""
     taken = {c.lower() for c in df.columns}
@@ -45,6 +68,7 @@ def text_map(df: DataFrame, column: str, fields: list[tuple[str, T.DataType]],
     (``None`` for null) to one list for each of ``fields``. ``keep`` names the
     input columns that go on, all by default.
     """
+    ship(df.sparkSession)
     names = df.columns if keep is True else list(keep)
     kept = [f for f in df.schema.fields if f.name in names]
     schema = T.StructType([*kept, *[T.StructField(n, t) for n, t in fields]])

@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import quoted, text_map
+from .common import quoted, ship, text_map
 
 KINDS = ("email", "ip", "card", "phone")
 LONGEST = 6
@@ -295,6 +295,7 @@ def _sample_runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def train(docs: DataFrame, text: str = "text", sample: int = SAMPLE_RUNS) -> SemiCRF:
     """Fit on ``sample`` runs at most: the least by hash among all texts' runs."""
+    ship(docs.sparkSession)
     rows = (docs.select(quoted(text)).mapInArrow(_sample_runs, "run string")
             .where(F.length("run") <= 400).distinct()
             .orderBy(F.xxhash64("run"), "run").limit(sample).collect())

@@ -3,8 +3,11 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import bpe, jaccard, mixing, pii, quality, secret_scan, simhash, warc
+from . import (
+    bpe, jaccard, licenses, mixing, pii, quality, secret_scan, simhash, url_filter, warc,
+)
 from .common import read_table
 
 QUERIES: dict = {}
@@ -33,6 +36,38 @@ def op2_semicrf_pii(spark: SparkSession, sf: str) -> DataFrame:
     return pii.find(read_table(spark, sf, "documents", "doc_id", "text"))
 
 
+@query
+def op3_license_compression(spark: SparkSession, sf: str) -> DataFrame:
+    return licenses.find(read_table(spark, sf, "documents", "doc_id", "text"))
+
+
+def _list_events(pages: DataFrame) -> DataFrame:
+    """A dated list made of the table's own hosts and domains.
+
+    The digest of a name sets when it is listed, delisted and listed again.
+    """
+    host = url_filter.host_of(F.col("url"))
+    domain = F.regexp_extract(host, r"([^.]+\.[^.]+)$", 1)
+    names = (pages.select(F.explode(F.array(host, F.concat(F.lit("x."), domain))).alias("key"))
+             .where("key != ''").distinct())
+    number = lambda at: F.conv(F.substring(F.md5("key"), at, 4), 16, 10).cast("long")
+    first = F.lit(1_704_067_200) + F.pmod(number(1), F.lit(300)) * 86_400
+    stay = (1 + F.pmod(number(5), F.lit(60))) * 86_400
+    events = F.array(F.struct(first.alias("at"), F.lit(True).alias("listed")),
+                     F.struct((first + stay).alias("at"), F.lit(False).alias("listed")),
+                     F.struct((first + 2 * stay).alias("at"), F.lit(True).alias("listed")))
+    return names.select("key", F.explode(events).alias("e")).select(
+        "key", F.timestamp_seconds("e.at").alias("time"), "e.listed")
+
+
+@query
+def op4_dated_url_list(spark: SparkSession, sf: str) -> DataFrame:
+    pages = read_table(spark, sf, "pages", "page_id", "url")
+    minute = F.pmod(F.col("page_id") * 7, F.lit(525_600))
+    captures = pages.withColumn("fetched", F.timestamp_seconds(1_704_067_200 + 60 * minute))
+    return url_filter.judge(captures, _list_events(pages))
+
+
 @query
 def op5_markov_secrets(spark: SparkSession, sf: str) -> DataFrame:
     return secret_scan.find(read_table(spark, sf, "documents", "doc_id", "text"))

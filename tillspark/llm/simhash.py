@@ -27,7 +27,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..session import stage
-from .common import quoted
+from .common import quoted, ship
 
 BITS = 64
 RADIUS = 3
@@ -141,6 +141,7 @@ def edits(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     and last text of every range are looked at a second time.
     """
     spark = docs.sparkSession
+    ship(spark)
     parts = parts or int(spark.conf.get("spark.sql.shuffle.partitions"))
     rows = docs.select(quoted(doc_id).alias("doc_id"), quoted(text).alias("text"))
     order = [F.col("doc_id").desc_nulls_last(), F.xxhash64("text")]
@@ -232,6 +233,7 @@ def near_counts(marks: DataFrame, radius: int = RADIUS) -> DataFrame:
     A bucket of more than ``LEAF`` fingerprints is cut into chunks by hash and
     every chunk meets every other one in a task of its own.
     """
+    ship(marks.sparkSession)
     cuts = blocks(radius)
     pairs = list(combinations(range(len(cuts)), 2))
     mark = F.col("fingerprint")

@@ -26,7 +26,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..session import shared_path, stage
-from .common import quoted
+from .common import quoted, ship
 
 VERSION = "WARC/1.1"
 END = "\r\n"
@@ -245,6 +245,7 @@ def _batch(rows: list) -> pa.RecordBatch:
 
 def read_runs(spark: SparkSession, path: str) -> DataFrame:
     """The captures of all archives, stored with each archive's run in order."""
+    ship(spark)
     files = spark.read.format("binaryFile").load(path).select("path", "content")
     return stage(files.mapInArrow(_captures, _CAPTURE_SQL), "runs")
 
@@ -255,6 +256,7 @@ def merge_runs(runs: DataFrame, rows_per_range: int = MERGE_ROWS) -> DataFrame:
     The ranges are cut by key, time and id, so one URL with very many captures
     spreads over several; a range holds about ``rows_per_range`` captures.
     """
+    ship(runs.sparkSession)
     parts = max(1, -(-runs.count() // rows_per_range))
     keys = ["url_key", "time", F.col("page_id").asc_nulls_last()]
     return (runs.repartitionByRange(parts, *keys)
