@@ -31,6 +31,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..session import stage
 from .common import quoted, ship, text_map
 
 #: Fixed values of the format: how byte-level BPE cuts a text into words.
@@ -57,9 +58,8 @@ class Merger:
         vocab, merges = spec["model"]["vocab"], spec["model"]["merges"]
         pairs = [m if isinstance(m, list) else m.split(" ") for m in merges]
         self.single = [vocab[c] for c in byte_characters()]
-        self.rank = {}
-        for n, (a, b) in enumerate(pairs):
-            self.rank[vocab[a], vocab[b]] = (n, vocab[a + b])
+        self.rank = {(vocab[a], vocab[b]): n for n, (a, b) in enumerate(pairs)}
+        self.joined = [vocab[a + b] for a, b in pairs]
         self.special = {t["content"]: t["id"] for t in spec["added_tokens"]}
         size = max([*vocab.values(), *self.special.values()]) + 1
         self.token = [b""] * size
@@ -73,16 +73,16 @@ class Merger:
         ids = [self.single[b] for b in word]
         if len(ids) > LONGEST_WORD:
             return self._merge_long(ids)
-        rank = self.rank
-        while len(ids) > 1:
-            best, at = None, -1
-            for k in range(len(ids) - 1):
-                r = rank.get((ids[k], ids[k + 1]))
-                if r is not None and (best is None or r < best):
-                    best, at = r, k
-            if best is None:
-                break
-            ids[at:at + 2] = [best[1]]
+        rank, none = self.rank.get, len(self.joined)
+        ranks = [rank(pair, none) for pair in zip(ids, ids[1:], strict=False)]
+        while ranks and (least := min(ranks)) < none:
+            at = ranks.index(least)
+            ids[at:at + 2] = [self.joined[least]]
+            del ranks[at]
+            if at < len(ranks):
+                ranks[at] = rank((ids[at], ids[at + 1]), none)
+            if at:
+                ranks[at - 1] = rank((ids[at - 1], ids[at]), none)
         return ids
 
     def _merge_long(self, ids: list[int]) -> list[int]:
@@ -91,11 +91,12 @@ class Merger:
 
         n, rank = len(ids), self.rank
         after, before = list(range(1, n + 1)), list(range(-1, n - 1))
-        heap = [(*r, k, ids[k], ids[k + 1]) for k in range(n - 1)
-                if (r := rank.get((ids[k], ids[k + 1])))]
+        heap = [(r, k, ids[k], ids[k + 1]) for k in range(n - 1)
+                if (r := rank.get((ids[k], ids[k + 1]))) is not None]
         heapq.heapify(heap)
         while heap:
-            _, new, k, a, b = heapq.heappop(heap)
+            r, k, a, b = heapq.heappop(heap)
+            new = self.joined[r]
             j = after[k]
             if ids[k] != a or j >= n or ids[j] != b:
                 continue
@@ -103,10 +104,10 @@ class Merger:
             after[k] = after[j]
             if after[k] < n:
                 before[after[k]] = k
-                if r := rank.get((new, ids[after[k]])):
-                    heapq.heappush(heap, (*r, k, new, ids[after[k]]))
-            if before[k] >= 0 and (r := rank.get((ids[before[k]], new))):
-                heapq.heappush(heap, (*r, before[k], ids[before[k]], new))
+                if (r := rank.get((new, ids[after[k]]))) is not None:
+                    heapq.heappush(heap, (r, k, new, ids[after[k]]))
+            if before[k] >= 0 and (r := rank.get((ids[before[k]], new))) is not None:
+                heapq.heappush(heap, (r, before[k], ids[before[k]], new))
         return [i for i in ids if i >= 0]
 
 
@@ -164,10 +165,13 @@ def compile_lexicon(entries: list[tuple[bytes, bytes]]) -> bytes:
     for _, ids in entries:
         blob.append(ids)
         offsets.append(offsets[-1] + len(ids))
-    columns = [first, finals, [e[0] for e in edges], [e[1] for e in edges],
-               [e[2] for e in edges], offsets]
-    head = struct.pack("<7I", *map(len, columns), len(stored) - 1)
-    return head + b"".join(np.array(c, "<u4").tobytes() for c in columns) + b"".join(blob)
+    columns = [first, finals, [e[1] for e in edges], [e[2] for e in edges], offsets]
+    head = struct.pack("<6I", *map(len, columns), len(stored) - 1)
+    return (head + b"".join(np.array(c, "<u4").tobytes() for c in columns)
+            + bytes(e[0] for e in edges) + b"".join(blob))
+
+
+_ONE = [bytes([b]) for b in range(256)]
 
 
 class Lexicon:
@@ -175,13 +179,14 @@ class Lexicon:
 
     def __init__(self, data):
         view = memoryview(data)
-        *sizes, self.root = struct.unpack_from("<7I", view)
-        at, parts = 28, []
+        *sizes, self.root = struct.unpack_from("<6I", view)
+        at, parts = 24, []
         for n in sizes:
             parts.append(view[at:at + 4 * n].cast("I"))
             at += 4 * n
-        self.first, self.final, self.byte, self.target, self.number, self.offset = parts
-        self.ids = view[at:]
+        self.first, self.final, self.target, self.number, self.offset = parts
+        self.find, self.bytes_at = data.find, at  # the transitions' bytes
+        self.ids = view[at + len(self.target):]
 
     @classmethod
     def open(cls, path: str) -> Lexicon:
@@ -190,20 +195,13 @@ class Lexicon:
 
     def get(self, word: bytes) -> bytes | None:
         """The word's ids as little-endian 32-bit numbers, or None."""
-        first, byte, state, total = self.first, self.byte, self.root, 0
+        first, find, base, state, total = self.first, self.find, self.bytes_at, self.root, 0
         for b in word:
-            low, end = first[state], first[state + 1]
-            high = end
-            while low < high:  # transitions are sorted by their byte
-                mid = (low + high) // 2
-                if byte[mid] < b:
-                    low = mid + 1
-                else:
-                    high = mid
-            if low == end or byte[low] != b:
+            edge = find(_ONE[b], base + first[state], base + first[state + 1])
+            if edge < 0:
                 return None
-            total += self.number[low]
-            state = self.target[low]
+            total += self.number[edge - base]
+            state = self.target[edge - base]
         if not self.final[state]:
             return None
         return bytes(self.ids[self.offset[total]:self.offset[total + 1]])
@@ -240,12 +238,23 @@ def _count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def frequent_words(docs: DataFrame, text: str = "text", most: int = LEXICON_WORDS) -> DataFrame:
-    """The ``most`` frequent words of all texts; ``most`` bounds the lexicon."""
+    """The frequent words of all texts, at most ``most``; that bounds the lexicon.
+
+    A histogram of the counts, in steps of an eighth of a doubling, tells from
+    which count on the words fit: no task orders all words.
+    """
     ship(docs.sparkSession)
-    return (docs.select(quoted(text)).mapInArrow(_count_words, "word string, n bigint")
-            .where(F.octet_length("word") <= LONGEST_WORD)
-            .groupBy("word").agg(F.sum("n").alias("n")).where("n > 1")
-            .orderBy(F.desc("n"), "word").limit(most).select("word"))
+    counts = stage(docs.select(quoted(text)).mapInArrow(_count_words, "word string, n bigint")
+                   .where(F.octet_length("word") <= LONGEST_WORD)
+                   .groupBy("word").agg(F.sum("n").alias("n")).where("n > 1")
+                   .withColumn("step", F.floor(8 * F.log2("n")).cast("int")), "words")
+    room, least = most, None
+    for row in sorted(counts.groupBy("step").count().collect(), reverse=True):
+        room -= row["count"]
+        if room < 0:
+            break
+        least = row.step
+    return counts.where(F.col("step") >= least if least is not None else F.lit(False)).select("word")
 
 
 def _encode_words(spec):
@@ -268,7 +277,8 @@ def build_lexicon(docs: DataFrame, spec, text: str = "text", most: int = LEXICON
                      _encode_words(spec))
     entries = sorted((r.word.encode(), bytes(r.ids)) for r in coded.toLocalIterator())
     data = compile_lexicon(entries)
-    name = f"lexicon-{hashlib.sha256(data).hexdigest()[:16]}.bin"
+    mark = hashlib.sha256(data + hashlib.sha256(spec.value.encode()).digest())
+    name = f"lexicon-{mark.hexdigest()[:16]}.bin"
     folder = os.path.join(SparkFiles.getRootDirectory(), "compiled")
     os.makedirs(folder, exist_ok=True)
     path = os.path.join(folder, name)
@@ -284,7 +294,8 @@ def build_lexicon(docs: DataFrame, spec, text: str = "text", most: int = LEXICON
 class Encoder:
     """Texts to ids and back; remembers words it has met, up to a bound."""
 
-    REMEMBERED = 300_000
+    #: Bounds of what a worker remembers, in words and in chunks of a text.
+    WORDS, CHUNKS = 600_000, 300_000
 
     def __init__(self, vocabulary: Merger, lexicon: Lexicon | None = None):
         self.vocabulary, self.lexicon = vocabulary, lexicon
@@ -301,7 +312,7 @@ class Encoder:
             ids = self.lexicon.get(raw) if self.lexicon else None
             if ids is None:
                 ids = np.array(self.vocabulary.merge(raw), "<u4").tobytes()
-            if len(self.words) >= self.REMEMBERED:
+            if len(self.words) >= self.WORDS:
                 self.words.clear()
             if len(word) <= LONGEST_WORD:
                 self.words[word] = ids
@@ -316,7 +327,7 @@ class Encoder:
             ids = None
         else:
             ids = self.plain(" " + chunk)
-        if len(self.chunks) >= self.REMEMBERED:
+        if len(self.chunks) >= self.CHUNKS:
             self.chunks.clear()
         if len(chunk) <= LONGEST_WORD:
             self.chunks[chunk] = ids
@@ -374,8 +385,15 @@ def read_spec(path: str) -> str:
         return f.read()
 
 
+_encoders: dict[str, Encoder] = {}
+
+
 def _encoder(spec, name: str) -> Encoder:
-    return Encoder(merger(spec.value), Lexicon.open(SparkFiles.get(name)))
+    """The worker's encoder for a lexicon; later tasks find its words known."""
+    if name not in _encoders:
+        _encoders.clear()
+        _encoders[name] = Encoder(merger(spec.value), Lexicon.open(SparkFiles.get(name)))
+    return _encoders[name]
 
 
 def _open(spark: SparkSession, docs: DataFrame, vocabulary: str, text: str, most: int):
