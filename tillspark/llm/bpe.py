@@ -295,12 +295,15 @@ class Encoder:
     """Texts to ids and back; remembers words it has met, up to a bound."""
 
     #: Bounds of what a worker remembers, in words and in chunks of a text.
-    WORDS, CHUNKS = 600_000, 300_000
+    #: At the bound the memory becomes the older one, which is asked second.
+    WORDS, CHUNKS = 300_000, 300_000
 
     def __init__(self, vocabulary: Merger, lexicon: Lexicon | None = None):
         self.vocabulary, self.lexicon = vocabulary, lexicon
         self.words: dict[str, bytes] = {}
-        self.chunks: dict[str, bytes | None] = {}
+        self.older_words: dict[str, bytes] = {}
+        self.chunks: dict[str, bytes] = {}
+        self.older_chunks: dict[str, bytes] = {}
         self.specials = regex.compile("|".join(
             map(regex.escape, sorted(vocabulary.special, key=len, reverse=True)))) \
             if vocabulary.special else None
@@ -308,12 +311,15 @@ class Encoder:
     def word(self, word: str) -> bytes:
         ids = self.words.get(word)
         if ids is None:
-            raw = word.encode("utf-8", "surrogatepass")
-            ids = self.lexicon.get(raw) if self.lexicon else None
+            ids = self.older_words.get(word)
             if ids is None:
-                ids = np.array(self.vocabulary.merge(raw), "<u4").tobytes()
+                raw = word.encode("utf-8", "surrogatepass")
+                ids = self.lexicon.get(raw) if self.lexicon else None
+                if ids is None:
+                    merged = self.vocabulary.merge(raw)
+                    ids = struct.pack(f"<{len(merged)}I", *merged)
             if len(self.words) >= self.WORDS:
-                self.words.clear()
+                self.words, self.older_words = {}, self.words
             if len(word) <= LONGEST_WORD:
                 self.words[word] = ids
         return ids
@@ -324,11 +330,18 @@ class Encoder:
     def _chunk(self, chunk: str) -> bytes | None:
         """Ids of a blank and a chunk; None where white space meets the blank."""
         if not chunk or chunk[0].isspace() or chunk[-1].isspace():
-            ids = None
-        else:
-            ids = self.plain(" " + chunk)
+            return None
+        ids = self.older_chunks.get(chunk)
+        if ids is None:
+            # The usual forms, a word and a word with a stop, need no pattern.
+            if chunk.isalpha():
+                ids = self.word(" " + chunk)
+            elif chunk[-1] in ".," and chunk[:-1].isalpha():
+                ids = self.word(" " + chunk[:-1]) + self.word(chunk[-1])
+            else:
+                ids = self.plain(" " + chunk)
         if len(self.chunks) >= self.CHUNKS:
-            self.chunks.clear()
+            self.chunks, self.older_chunks = {}, self.chunks
         if len(chunk) <= LONGEST_WORD:
             self.chunks[chunk] = ids
         return ids
