@@ -4,11 +4,14 @@ A text is the set of its five-word shingles (all its words when it has fewer);
 64 minimum hashes embed the set so that the share of equal coordinates follows
 the Jaccard similarity. Each run splits the texts recursively: a node chooses
 one or two coordinates by a hash of its path (1 / similarity on average) and a
-text goes to the child of its own value there. Buckets of up to ``leaf`` texts
-are compared pair by pair. A larger bucket is first compared with one leader:
-texts almost equal to it are represented by it and leave, the others split
-further, so a group of thousands of copies costs one comparison each instead
-of all pairs. The number of runs follows from the chance that a pair right at
+text goes to the child of its own value there. Buckets of up to ``LEAF`` texts
+are compared pair by pair inside a task. All pairs go on to the exact check from
+buckets of up to ``PAIRS`` texts; a larger one, such as a group of thousands of
+copies, gives its spanning forest of greatest similarity and every text's eight
+nearest: that keeps what belongs together and grows with the texts, not with
+their pairs. A bucket beyond ``LEAF`` is first compared with one leader: texts
+almost equal to it are represented by it and leave, the others split further.
+The number of runs follows from the chance that a pair right at
 the threshold survives to the deepest level, so that the target recall holds
 for the hardest pairs. Candidates are confirmed on the whole texts.
 
@@ -38,12 +41,16 @@ from .common import fresh, quoted, text_map
 
 SHINGLE = 5
 COORDINATES = 64
-LEAF = 48
+LEAF = 4096
+PAIRS = 48
+NEAREST = 8
 DEPTH = 4
 MAX_DEPTH = 12
 #: Equal coordinates from which a pair is confirmed on its texts, and from
 #: which a bucket's leader stands for the text.
 ENOUGH, ALIKE = 40, 56
+#: Bits of the filter that keeps texts without candidates out of a shuffle.
+FILTER_BITS = 1 << 23
 
 _M64 = (1 << 64) - 1
 _rng = np.random.default_rng(20240229)
@@ -150,18 +157,56 @@ def _frame(batch: pa.RecordBatch, name: str) -> list:
     return batch.column(batch.schema.get_field_index(name)).to_pylist()
 
 
+def agreement(marks: np.ndarray) -> np.ndarray:
+    """Equal coordinates of every pair of rows, zero on the diagonal."""
+    n = len(marks)
+    same = np.zeros((n, n), np.uint8)
+    for c in range(COORDINATES):
+        same += marks[:, c][:, None] == marks[:, c][None, :]
+    np.fill_diagonal(same, 0)
+    return same
+
+
+def spanning(same: np.ndarray) -> list[tuple[int, int]]:
+    """Forest of greatest agreement, from ``ENOUGH`` on, row by row."""
+    n, out = len(same), []
+    best, link = np.zeros(n, np.int64), np.full(n, -1)
+    free = np.ones(n, bool)
+    for _ in range(n):
+        at = int(np.where(free, best, -1).argmax())
+        if link[at] >= 0:
+            out.append((int(link[at]), at))
+        free[at] = False
+        row = same[at].astype(np.int64)
+        nearer = free & (row >= ENOUGH) & (row > best)
+        best[nearer], link[nearer] = row[nearer], at
+    return out
+
+
+def leaf_pairs(marks: np.ndarray) -> list[tuple[int, int]]:
+    """Pairs of a bucket that go on to the exact check, lower place first."""
+    same = agreement(marks)
+    if len(marks) <= PAIRS:
+        left, right = np.nonzero(np.triu(same) >= ENOUGH)
+        return list(zip(left.tolist(), right.tolist(), strict=True))
+    found = set()
+    near = np.argpartition(same, -NEAREST, axis=1)[:, -NEAREST:]
+    for i, row in enumerate(near.tolist()):
+        found.update((min(i, j), max(i, j)) for j in row if same[i, j] >= ENOUGH)
+    if found:
+        found.update((min(p), max(p)) for p in spanning(same))
+    return sorted(found)
+
+
 def _compare_leaves(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         left, right = [], []
         for bucket in _frame(batch, "texts"):
             bucket.sort(key=lambda x: x["key"])
             marks = np.frombuffer(b"".join(x["marks"] for x in bucket), np.uint8)
-            marks = marks.reshape(len(bucket), COORDINATES)
-            for i in range(len(bucket) - 1):
-                same = (marks[i + 1:] == marks[i]).sum(axis=1)
-                for j in np.flatnonzero(same >= ENOUGH):
-                    left.append(bucket[i]["key"])
-                    right.append(bucket[i + 1 + j]["key"])
+            for i, j in leaf_pairs(marks.reshape(len(bucket), COORDINATES)):
+                left.append(bucket[i]["key"])
+                right.append(bucket[j]["key"])
         yield pa.RecordBatch.from_arrays([pa.array(left, pa.binary()),
                                           pa.array(right, pa.binary())], names=["a", "b"])
 
@@ -267,6 +312,29 @@ def components(links: DataFrame) -> DataFrame:
             return state
 
 
+def _marked_bits(keys: DataFrame) -> DataFrame:
+    """A bitmap of the keys' hashes in slices: ``FILTER_BITS / 8`` bytes at most."""
+    at = F.pmod(F.xxhash64("wanted"), F.lit(FILTER_BITS))
+    return (keys.select(at.alias("at"))
+            .groupBy(F.shiftright("at", 15).alias("slice"))
+            .agg(F.bitmap_construct_agg(F.col("at").bitwiseAND(F.lit(32767))).alias("bits")))
+
+
+def _maybe_wanted(body: DataFrame, keys: DataFrame) -> DataFrame:
+    """Rows whose key's bit is set: all wanted ones and few others.
+
+    The bitmap has a fixed size, so it is broadcast; the shuffle that follows
+    carries the texts of candidates instead of all texts.
+    """
+    at = F.pmod(F.xxhash64("key"), F.lit(FILTER_BITS))
+    bits = F.broadcast(_marked_bits(keys))
+    spot = F.col("at").bitwiseAND(F.lit(32767)).cast("int")
+    byte = F.conv(F.hex(F.substring("bits", (F.shiftright(spot, 3) + 1), F.lit(1))), 16, 10)
+    on = F.expr("shiftright(cast(byte as int), cast(at & 7 as int)) & 1") == 1
+    return (body.withColumn("at", at).join(bits, F.shiftright("at", 15) == F.col("slice"))
+            .withColumn("byte", byte).where(on).select(*body.columns))
+
+
 def _classes(docs: DataFrame, marked: DataFrame, text: str, doc_id: str, similarity: float):
     """For each different text its class, links and copies.
 
@@ -281,7 +349,7 @@ def _classes(docs: DataFrame, marked: DataFrame, text: str, doc_id: str, similar
                    .join(groups, "key").select(F.col("key").alias("wanted"), "first_id"), "wanted")
     body = docs.select(quoted(doc_id).alias("doc_id"), quoted(text).alias("text"),
                        F.unhex(F.md5(quoted(text))).alias("key"))
-    texts = stage(body.join(wanted, (F.col("key") == F.col("wanted"))
+    texts = stage(_maybe_wanted(body, wanted).join(wanted, (F.col("key") == F.col("wanted"))
                             & F.col("doc_id").eqNullSafe(F.col("first_id")), "left_semi")
                   .dropDuplicates(["key"]).select("key", "text"), "bodies")
     sides = (pairs.join(texts.toDF("b", "text_b"), "b").join(texts.toDF("a", "text_a"), "a")
@@ -300,8 +368,8 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     """doc_id, class_id, n_links and n_copies for every row of ``docs``.
 
     ``class_id`` is the least id of the class. ``n_links`` counts the links of
-    the row's text to different texts: all of them in groups of up to ``LEAF``
-    texts, those to leaders in larger ones. ``n_copies`` counts other rows
+    the row's text to different texts: all of them in groups of up to ``PAIRS``
+    texts, those of the spanning forest and the nearest in larger ones. ``n_copies`` counts other rows
     with the same text.
     """
     docs = docs.select(quoted(doc_id).alias("doc_id"), quoted(text).alias("text"))
@@ -332,5 +400,5 @@ def keep_one(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
                                   .alias("best")).select("best.row"))
     mine, = fresh(numbered, "__mine")
     stays = stage(best.union(marked.where("key is null").select("row")).toDF(mine), "stays")
-    return numbered.join(stays, F.col(row) == F.col(mine), "left_semi").select(
+    return numbered.join(stays.hint("merge"), F.col(row) == F.col(mine), "left_semi").select(
         *map(quoted, docs.columns))
