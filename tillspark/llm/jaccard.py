@@ -11,9 +11,9 @@ copies, gives its spanning forest of greatest similarity and every text's eight
 nearest: that keeps what belongs together and grows with the texts, not with
 their pairs. A bucket beyond ``LEAF`` is first compared with one leader: texts
 almost equal to it are represented by it and leave, the others split further.
-The number of runs follows from the chance that a pair right at
-the threshold survives to the deepest level, so that the target recall holds
-for the hardest pairs. Candidates are confirmed on the whole texts.
+The number of runs follows from the chance that a pair right at the threshold
+survives to the deepest level, so that the target recall holds for the hardest
+pairs. Candidates are confirmed on the whole texts.
 
 Defined results: texts are the same when their bytes are, and equal texts are
 one class without further comparison; a null text is nobody's copy and a class
@@ -349,10 +349,12 @@ def _classes(docs: DataFrame, marked: DataFrame, text: str, doc_id: str, similar
                    .join(groups, "key").select(F.col("key").alias("wanted"), "first_id"), "wanted")
     body = docs.select(quoted(doc_id).alias("doc_id"), quoted(text).alias("text"),
                        F.unhex(F.md5(quoted(text))).alias("key"))
-    texts = stage(_maybe_wanted(body, wanted).join(wanted, (F.col("key") == F.col("wanted"))
+    texts = stage(_maybe_wanted(body, wanted).join(wanted.hint("merge"), (F.col("key") == F.col("wanted"))
                             & F.col("doc_id").eqNullSafe(F.col("first_id")), "left_semi")
                   .dropDuplicates(["key"]).select("key", "text"), "bodies")
-    sides = (pairs.join(texts.toDF("b", "text_b"), "b").join(texts.toDF("a", "text_a"), "a")
+    # Pairs and wanted keys grow with the input: they are never broadcast.
+    sides = (pairs.hint("merge").join(texts.toDF("b", "text_b"), "b").hint("merge")
+             .join(texts.toDF("a", "text_a"), "a")
              .select("a", "b", "text_a", "text_b"))
     links = stage(sides.mapInArrow(_confirm(similarity), "a binary, b binary"), "links")
     state = components(links)
