@@ -4,10 +4,13 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
 CHECKPOINT_SETTING = "spark.checkpoint.dir"
+_recorders: list[list[str]] = []
 
 
 def get_spark(app_name: str = "tillspark", master: str | None = None,
@@ -63,4 +66,25 @@ def stage(df: DataFrame, name: str, path: str | None = None) -> DataFrame:
     spark = df.sparkSession
     target = path or shared_path(spark, name)
     df.write.mode("overwrite").parquet(target)
+    for paths in _recorders:
+        paths.append(target)
     return spark.read.schema(df.schema).parquet(target)
+
+
+@contextmanager
+def recording() -> Iterator[list[str]]:
+    """The paths that ``stage`` writes meanwhile, for ``drop`` when they are done with."""
+    paths: list[str] = []
+    _recorders.append(paths)
+    try:
+        yield paths
+    finally:
+        _recorders[:] = [r for r in _recorders if r is not paths]
+
+
+def drop(spark: SparkSession, paths: list[str]) -> None:
+    """Delete staged tables and forget their paths; none may still be read."""
+    jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
+    while paths:
+        path = jvm.org.apache.hadoop.fs.Path(paths.pop())
+        path.getFileSystem(conf).delete(path, True)
