@@ -32,9 +32,13 @@ RULES = ("short", "repeat", "symbols", "dup_lines", "word_length")
 
 @dataclass(frozen=True)
 class HostPolicy:
-    """A host goes when the shrunk rate of any rule exceeds ``max_rate``."""
+    """A host goes when the shrunk rate of any rule exceeds ``max_rate``.
+
+    The prior weighs as much as ``min_strength`` to ``max_strength`` documents.
+    """
 
     max_rate: float = 0.5
+    min_strength: float = 10.0
     max_strength: float = 1000.0
 
 
@@ -102,23 +106,22 @@ def host_verdicts(counts: DataFrame, policy: HostPolicy = HostPolicy()) -> DataF
     """Shrunk rate of each rule and the verdict of each host.
 
     ``counts`` has host, n_docs and one failure count for each rule. The prior
-    is fitted by moments: the spread of host rates less what sampling alone
-    would give. One row of sums goes to the driver.
+    is fitted by moments: the spread of host rates, weighted by documents, less
+    what sampling alone would give. One row of sums goes to the driver.
     """
     def moments(rule):
         p = F.col(rule) / F.col("n_docs")
-        return [F.sum(rule).alias(f"{rule}_f"), F.avg(p).alias(f"{rule}_m"),
-                F.var_pop(p).alias(f"{rule}_v"),
-                F.avg(p * (1 - p) / F.col("n_docs")).alias(f"{rule}_e")]
+        return [F.sum(rule).alias(f"{rule}_f"), F.sum(p * F.col(rule)).alias(f"{rule}_s"),
+                F.sum(p * (1 - p)).alias(f"{rule}_e")]
 
     row = counts.agg(F.sum("n_docs").alias("n"), *[c for r in RULES for c in moments(r)]).first()
     out = counts
     for rule in RULES:
         mean = (row[f"{rule}_f"] or 0) / row["n"] if row["n"] else 0.0
-        m = row[f"{rule}_m"] or 0.0
-        spread = (row[f"{rule}_v"] or 0.0) - (row[f"{rule}_e"] or 0.0)
-        strength = m * (1 - m) / spread - 1 if spread > 0 else math.inf
-        strength = min(max(strength, 1.0), policy.max_strength)
+        n = row["n"] or 1
+        spread = (row[f"{rule}_s"] or 0.0) / n - mean ** 2 - (row[f"{rule}_e"] or 0.0) / n
+        strength = mean * (1 - mean) / spread - 1 if spread > 0 else math.inf
+        strength = min(max(strength, policy.min_strength), policy.max_strength)
         out = out.withColumn(f"{rule}_rate", (F.col(rule) + F.lit(mean * strength))
                              / (F.col("n_docs") + F.lit(strength)))
     worst = F.greatest(*[F.col(f"{r}_rate") for r in RULES])
