@@ -167,3 +167,15 @@ def test_sparse_columns_are_exempt(spark):
     df = spark.createDataFrame([("2024-01-01", "P", "1", "2.0", "S")], SALES).withColumn(
         "event_name", F.lit(None).cast("string"))
     assert "event_name" not in {r["column"] for r in validate.missing_fraction(df).collect()}
+
+
+def test_csv_quotes_and_line_breaks(spark, tmp_path):
+    file = tmp_path / "plain.csv"
+    file.write_text('date,product_id,store_id,sales_quantity\n'
+                    '2024-01-01,"Nut ""big"", 5cm",s1,3\n2024-01-02,"two\nlines",s1,4\n')
+    back = sources.read_sales_csv(spark, str(file), multi_line=True)
+    assert [(r.product_id, r.store_id, r.sales_quantity) for r in back.orderBy("date").collect()] \
+        == [('Nut "big", 5cm', "s1", "3"), ("two\nlines", "s1", "4")]
+    sources.write_csv(back, str(tmp_path / "out"))
+    again = sources.read_sales_csv(spark, str(tmp_path / "out"), multi_line=True)
+    assert sorted(again.collect()) == sorted(back.collect())

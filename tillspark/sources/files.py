@@ -18,9 +18,17 @@ RAW_CALENDAR_FILE = "calendar.csv"
 RAW_PRICES_FILE = "sell_prices.csv"
 
 
-def _read_text_table(spark: SparkSession, path: str) -> DataFrame:
-    """A headed CSV with every column as text and missing marks as NULL."""
-    raw = spark.read.option("header", True).csv(path)
+#: A quote inside a quoted cell is written twice, as other readers expect.
+QUOTING = {"header": True, "quote": '"', "escape": '"'}
+
+
+def _read_text_table(spark: SparkSession, path: str, multi_line: bool = False) -> DataFrame:
+    """A headed CSV with every column as text and missing marks as NULL.
+
+    ``multi_line`` allows line breaks in quoted cells; such a file is read by
+    one task.
+    """
+    raw = spark.read.options(**QUOTING, multiLine=multi_line).csv(path)
     return raw.select(*[
         F.when(~F.col(f"`{c}`").isin(*MISSING_TEXT), F.col(f"`{c}`")).alias(c)
         for c in raw.columns])
@@ -48,9 +56,9 @@ def conform_sales(df: DataFrame, fmt: str = DATE_FORMAT) -> DataFrame:
 
 
 def read_sales_csv(spark: SparkSession, path: str, parse: bool = False,
-                   fmt: str = DATE_FORMAT) -> DataFrame:
+                   fmt: str = DATE_FORMAT, multi_line: bool = False) -> DataFrame:
     """Sales from CSV: raw text for cleaning, or typed with ``parse=True``."""
-    raw = _read_text_table(spark, path)
+    raw = _read_text_table(spark, path, multi_line)
     return conform_sales(raw, fmt) if parse else raw
 
 
@@ -103,7 +111,7 @@ def write_parquet(df: DataFrame, path: str, mode: str = "overwrite") -> None:
 
 
 def write_csv(df: DataFrame, path: str, mode: str = "overwrite") -> None:
-    df.write.mode(mode).option("header", True).csv(path)
+    df.write.mode(mode).options(**QUOTING).csv(path)
 
 
 def write_json(df: DataFrame, path: str, mode: str = "overwrite") -> None:

@@ -51,6 +51,8 @@ def read_requests_csv(spark: SparkSession, path: str) -> DataFrame:
         raise RequestError(f"CSV is missing required column(s): {missing}")
     schema = ", ".join(f"`{n}` STRING" for n in names)
     raw = (spark.read.option("header", True).option("mode", "FAILFAST")
+           .option("enforceSchema", False)  # another header order raises
+           .option("escape", '"')
            .option("columnPruning", False)  # pruned reads skip the cell count
            .option("ignoreLeadingWhiteSpace", True)
            .option("ignoreTrailingWhiteSpace", True)
