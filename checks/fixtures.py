@@ -8,6 +8,7 @@ part or a day that holds a large share of all lines shrinks to its cells.
 
 from __future__ import annotations
 
+from datetime import date
 from functools import cache
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -25,8 +26,6 @@ NAMED_DAYS = {
 VALUE_TYPES = ("ECONOMY", "STANDARD", "SMALL")
 STORES = ("CA_1", "TX_1", "WI_1", "CA_2", "TX_2")
 CATEGORIES = ("FOODS", "HOBBIES", "HOUSEHOLD")
-WIDE_START = "1995-01-02"
-WIDE_DAYS = 365
 FIRST_WEEK = 11101
 
 
@@ -40,10 +39,10 @@ def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
     return spark.read.schema(_schema(spark, sf, name)).parquet(f"{sf}/{name}.parquet")
 
 
-def event_name(date: Column) -> Column:
+def event_name(on: Column) -> Column:
     out = F.lit(None).cast("string")
     for (month, day), name in NAMED_DAYS.items():
-        out = F.when((F.month(date) == month) & (F.dayofmonth(date) == day),
+        out = F.when((F.month(on) == month) & (F.dayofmonth(on) == day),
                      name).otherwise(out)
     return out
 
@@ -180,15 +179,21 @@ def resolved(spark: SparkSession, sf: str) -> DataFrame:
 
 # ---- the wide matrix --------------------------------------------------------
 
+@cache
+def wide_period(spark: SparkSession, sf: str) -> tuple[date, int]:
+    """First day of the table and its number of days."""
+    day = F.col("l_shipdate").cast("date")
+    ends = table(spark, sf, "lineitem").agg(F.min(day).alias("lo"), F.max(day).alias("hi")).first()
+    return ends["lo"], (ends["hi"] - ends["lo"]).days + 1
+
+
 def _wide_lines(spark: SparkSession, sf: str) -> DataFrame:
-    """Lines of the matrix period; the period reaches the scan as a filter."""
-    shipped, start = F.col("l_shipdate"), F.lit(WIDE_START).cast("date")
+    """Lines with the number of their day, all of them."""
+    start = F.lit(wide_period(spark, sf)[0])
     brand = F.substring("p_brand", 7, 10).cast("int")
     store = F.element_at(F.array(*[F.lit(s) for s in STORES]), F.col("r_regionkey") + 1)
     category = F.element_at(F.array(*[F.lit(c) for c in CATEGORIES]), brand % 3 + 1)
     return (_typed_lines(spark, sf, "p_brand")
-            .where((shipped >= start.cast("timestamp_ntz"))
-                   & (shipped < F.date_add(start, WIDE_DAYS).cast("timestamp_ntz")))
             .select(F.col("p_brand").alias("item_id"), category.alias("cat_id"),
                     store.alias("store_id"), F.substring(store, 1, 2).alias("state_id"),
                     (F.datediff("date", start) + 1).alias("n"), "l_quantity",
@@ -196,17 +201,26 @@ def _wide_lines(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def wide(spark: SparkSession, sf: str) -> DataFrame:
-    ids = ("item_id", "cat_id", "store_id", "state_id")
-    days = [f"d_{i}" for i in range(1, WIDE_DAYS + 1)]
-    code = F.concat(F.lit("d_"), F.col("n").cast("string"))
-    matrix = (_wide_lines(spark, sf).groupBy(*ids, code.alias("d")).agg(_qty())
-              .groupBy(*ids).pivot("d", days).agg(F.first("qty")))
-    return matrix.selectExpr(*ids, *[f"coalesce({d}, 0L) AS {d}" for d in days])
-
-
-def wide_calendar(spark: SparkSession) -> DataFrame:
-    days = spark.range(1, WIDE_DAYS + 1).select(F.col("id").cast("int").alias("n"))
-    dated = days.withColumn("date", F.date_add(F.lit(WIDE_START).cast("date"), F.col("n") - 1))
+    """One row per item and store, one column per day of the table.
+
+    The days of a row are gathered as one map, which the calendar bounds: a
+    pivot of thousands of columns outgrows the compiler of the JVM.
+    """
+    ids, count = ("item_id", "cat_id", "store_id", "state_id"), wide_period(spark, sf)[1]
+    rows = (_wide_lines(spark, sf).groupBy(*ids, "n").agg(_qty())
+            .groupBy(*ids).agg(F.map_from_entries(F.collect_list(F.struct("n", "qty")))
+                               .alias("_sold")))
+    cells = rows.select(*ids, F.transform(
+        F.sequence(F.lit(1), F.lit(count)),
+        lambda n: F.coalesce(F.try_element_at("_sold", n), F.lit(0).cast("bigint"))
+    ).alias("_cells"))
+    return cells.selectExpr(*ids, *[f"_cells[{i}] AS d_{i + 1}" for i in range(count)])
+
+
+def wide_calendar(spark: SparkSession, sf: str) -> DataFrame:
+    start, count = wide_period(spark, sf)
+    days = spark.range(1, count + 1).select(F.col("id").cast("int").alias("n"))
+    dated = days.withColumn("date", F.date_add(F.lit(start), F.col("n") - 1))
     day = F.dayofmonth("date")
     return dated.select(
         F.concat(F.lit("d_"), F.col("n").cast("string")).alias("d"), "date",
@@ -260,13 +274,3 @@ def request_rows(features: DataFrame) -> DataFrame:
 
 def requests(spark: SparkSession, sf: str) -> DataFrame:
     return request_rows(dense_features(spark, sf)[0])
-
-
-def events_daily(spark: SparkSession, sf: str) -> DataFrame:
-    """One series per event type, a row per day."""
-    grouped = (table(spark, sf, "events")
-               .groupBy(F.col("ts").cast("date").alias("date"), "event_type")
-               .agg(F.count(F.lit(1)).alias("sales_quantity"), F.max("value").alias("top")))
-    return with_events(grouped.select(
-        "date", F.col("event_type").alias("product_id"), F.lit("ALL").alias("store_id"),
-        "sales_quantity", _cents(F.col("top")).alias("price")))

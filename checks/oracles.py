@@ -130,17 +130,19 @@ CTES: dict[str, str] = {
           WHEN 3 THEN 'CA_2' ELSE 'TX_2' END AS store_id,
         CASE n_regionkey WHEN 0 THEN 'CA' WHEN 1 THEN 'TX' WHEN 2 THEN 'WI'
           WHEN 3 THEN 'CA' ELSE 'TX' END AS state_id,
-        date_diff('day', DATE '1995-01-02', date) + 1 AS n, l_quantity,
+        date_diff('day', lo, date) + 1 AS n, l_quantity,
         l_extendedprice / l_quantity AS ratio
-      FROM lines WHERE date >= DATE '1995-01-02' AND date < DATE '1995-01-02' + 365""",
+      FROM lines, wends""",
+    "wends": """SELECT CAST(min(l_shipdate) AS DATE) AS lo, CAST(max(l_shipdate) AS DATE) AS hi
+      FROM lineitem""",
     "wsum": """SELECT item_id, store_id, n, CAST(sum(l_quantity) AS BIGINT) AS q
       FROM wlines GROUP BY 1, 2, 3""",
     "wids": "SELECT DISTINCT item_id, cat_id, store_id, state_id FROM wlines",
     "wlong": """SELECT i.*, g.n, coalesce(w.q, 0) AS q FROM wids i
-      CROSS JOIN (SELECT unnest(range(1, 366)) AS n) g
+      CROSS JOIN (SELECT unnest(range(1, date_diff('day', lo, hi) + 2)) AS n FROM wends) g
       LEFT JOIN wsum w ON w.item_id = i.item_id AND w.store_id = i.store_id AND w.n = g.n""",
-    "wdated0": """SELECT *, CAST(DATE '1995-01-02' + CAST(n - 1 AS INT) AS DATE) AS date,
-        CAST(11101 + (n - 1) // 7 AS INT) AS wm_yr_wk FROM wlong""",
+    "wdated0": """SELECT wlong.*, CAST(lo + CAST(n - 1 AS INT) AS DATE) AS date,
+        CAST(11101 + (n - 1) // 7 AS INT) AS wm_yr_wk FROM wlong, wends""",
     "wdated": f"""SELECT *, {EVENT} AS event_name_1,
         CAST(CASE state_id WHEN 'CA' THEN day(date) <= 10
           WHEN 'TX' THEN day(date) BETWEEN 11 AND 20 ELSE day(date) % 2 = 1 END AS INT) AS snap
@@ -304,10 +306,7 @@ def oracle(name: str, sql: str) -> None:
 # ---- sources and preparation -------------------------------------------------
 oracle("ingest_sales", "SELECT * FROM series")
 IDS = "item_id, cat_id, store_id, state_id"
-oracle("wide_filter", f"""SELECT {IDS},
-    CAST(sum(CASE WHEN n = 1 THEN q ELSE 0 END) AS BIGINT) AS d_1,
-    CAST(sum(CASE WHEN n = 100 THEN q ELSE 0 END) AS BIGINT) AS d_100,
-    CAST(sum(CASE WHEN n = 365 THEN q ELSE 0 END) AS BIGINT) AS d_365
+oracle("wide_filter", f"""SELECT {IDS}, string_agg(CAST(q AS VARCHAR), ',' ORDER BY n) AS cells
   FROM wlong WHERE store_id = 'CA_1' AND cat_id = 'FOODS' GROUP BY ALL""")
 oracle("wide_row_total",
        f"SELECT {IDS}, CAST(sum(q) AS BIGINT) AS total_units FROM wlong GROUP BY ALL")

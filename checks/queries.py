@@ -62,7 +62,8 @@ def sink_roundtrip(spark: SparkSession, sf: str) -> DataFrame:
 @query
 def wide_filter(spark, sf):
     kept = sources.filter_wide(fx.wide(spark, sf), "CA_1", "FOODS")
-    return kept.select(*sources.wide.ID_COLUMNS, "d_1", "d_100", "d_365")
+    cells = ", ".join(sources.wide.day_columns(kept))
+    return kept.selectExpr(*sources.wide.ID_COLUMNS, f"concat_ws(',', array({cells})) AS cells")
 
 
 @query
@@ -84,7 +85,7 @@ def melt_wide(spark, sf):
 
 def _dated(spark, sf):
     return sources.join_calendar(sources.melt_wide(fx.wide(spark, sf)),
-                                 fx.wide_calendar(spark))
+                                 fx.wide_calendar(spark, sf))
 
 
 @query
@@ -116,7 +117,7 @@ def canonical_project(spark, sf):
 @query
 def prepare_subset(spark, sf):
     return sources.prepare_subset(
-        fx.wide(spark, sf), fx.wide_calendar(spark), fx.wide_prices(spark, sf),
+        fx.wide(spark, sf), fx.wide_calendar(spark, sf), fx.wide_prices(spark, sf),
         "CA_1", "FOODS", 5)
 
 
@@ -152,7 +153,8 @@ def requests_from_json(spark, sf):
         F.filter("features", lambda f: f["name"] == "lag_1"), lambda f: f["value"]), F.lit(1)))
     return got.groupBy("date", "product_id").agg(
         F.count(F.lit(1)).alias("n_requests"), np_round(F.max("price"), 6).alias("max_price"),
-        F.sum("snap_day").alias("snap_days"), F.sum("has_named_event").alias("named_days"),
+        F.sum("snap_day").cast("bigint").alias("snap_days"),
+        F.sum("has_named_event").cast("bigint").alias("named_days"),
         F.sum(F.coalesce(F.size("features"), F.lit(0))).cast("bigint").alias("n_features"),
         value.alias("lag_1"))
 

@@ -136,24 +136,24 @@ def test_copies_of_one_row_collapse_before_the_shuffle(spark, skewed):
 # ---- jobs end to end ---------------------------------------------------------------
 
 def test_jobs_from_raw_files_to_features(spark, sf, tmp_path):
-    raw = tmp_path / "raw"
+    raw, days = tmp_path / "raw", fx.wide_period(spark, sf)[1]
     sources.write_csv(fx.wide(spark, sf).coalesce(1), str(raw / "sales_train_evaluation.csv"))
-    sources.write_csv(fx.wide_calendar(spark), str(raw / "calendar.csv"))
+    sources.write_csv(fx.wide_calendar(spark, sf), str(raw / "calendar.csv"))
     # Every week gets a price, so that the series have no gaps.
-    weeks = F.sequence(F.lit(fx.FIRST_WEEK), F.lit(fx.FIRST_WEEK + 52))
+    weeks = F.sequence(F.lit(fx.FIRST_WEEK), F.lit(fx.FIRST_WEEK + days // 7))
     dense = fx.wide(spark, sf).select(
         "store_id", "item_id", F.explode(weeks).alias("wm_yr_wk"), F.lit(2.5).alias("sell_price"))
     sources.write_csv(dense, str(raw / "sell_prices.csv"))
 
     sold = jobs.prepare(spark, str(raw), str(tmp_path / "sales"), "CA_1", "FOODS", 4)
-    assert sold.count() == 4 * 365
+    assert sold.count() == 4 * days
     result, tables = jobs.first_look(spark, str(tmp_path / "sales"))
-    assert result.is_valid and tables["coverage"].first().max_days == 365
+    assert result.is_valid and tables["coverage"].first().max_days == days
     report = jobs.clean_table(spark, str(tmp_path / "sales"), str(tmp_path / "clean"))
     assert (report.output_rows, report.total_missing_days) == (4 * 365, 0)
     names = jobs.reports(spark, str(tmp_path / "clean"), str(tmp_path / "reports"))
     assert {"summary", "price_analysis", "category_analysis"} <= set(names)
-    assert spark.read.json(str(tmp_path / "reports/summary")).first().total_rows == 4 * 365
+    assert spark.read.json(str(tmp_path / "reports/summary")).first().total_rows == 4 * days
     made, gaps = jobs.feature_table(spark, str(tmp_path / "clean"), str(tmp_path / "features"))
     missing = {r.feature: r.n_missing for r in gaps.collect()}
     assert len(made) == 34

@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 
 from tillspark import sources
 from tillspark.operators import validate
+from tillspark.operators.scoring import validate_requests
 from tillspark.schema import RequestError
 
 WIDE = "item_id string, cat_id string, store_id string, state_id string, " \
@@ -122,6 +123,27 @@ def test_requests_from_json_array(spark, tmp_path):
         ("P1", [("lag_1", None)]), ("P2", None)]
 
 
+def test_requests_wrapped_and_over_lines(spark, tmp_path):
+    (tmp_path / "a.json").write_text(
+        '{"requests": [\n {"date":"2024-01-01","product_id":"P1",\n"price":2.5,"snap_day":1.0},\n'
+        '{"date":"2024-01-02","product_id":"P2","price":3.0,"snap_day":"x"}]}')
+    (tmp_path / "b.json").write_text(
+        '[\n {"date":"2024-01-03","product_id":"P3","price":1,"holiday":0.7}\n]')
+    got = sources.read_requests_json(spark, str(tmp_path), whole_files=True)
+    checked = validate_requests(got, []).orderBy("date").collect()
+    assert [(r.product_id, list(r.reasons)) for r in checked] == [
+        ("P1", []), ("P2", ["bad_snap_day"]), ("P3", ["bad_holiday"])]
+
+
+def test_flags_of_csv_requests_are_checked_before_any_cast(spark, tmp_path):
+    path = tmp_path / "r.csv"
+    path.write_text("date,product_id,price,snap_day\n2024-01-01,P1,2.5,0.7\n"
+                    "2024-01-02,P2,1,99999999999\n2024-01-03,P3,1,yes\n2024-01-04,P4,1,1.0\n")
+    checked = validate_requests(sources.read_requests_csv(spark, str(path)), [])
+    assert [(r.product_id, list(r.reasons)) for r in checked.orderBy("date").collect()] == [
+        ("P1", ["bad_snap_day"]), ("P2", ["bad_snap_day"]), ("P3", ["bad_snap_day"]), ("P4", [])]
+
+
 # ---- validation -----------------------------------------------------------------------
 
 SALES = "date string, product_id string, sales_quantity string, price string, store_id string"

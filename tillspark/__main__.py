@@ -14,9 +14,9 @@ def main() -> None:
                                         "train", "compare"])
     parser.add_argument("input")
     parser.add_argument("output", nargs="?")
-    parser.add_argument("--store", default="CA_1")
-    parser.add_argument("--category", default="FOODS")
-    parser.add_argument("--top-n", type=int, default=50)
+    parser.add_argument("--store")
+    parser.add_argument("--category")
+    parser.add_argument("--top-n", type=int)
     parser.add_argument("--fill-date-gaps", action="store_true")
     parser.add_argument("--strict", action="store_true")
     parser.add_argument("--master")

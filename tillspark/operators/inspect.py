@@ -12,7 +12,9 @@ from ..schema import flag_columns
 def describe_measures(df: DataFrame) -> DataFrame:
     """Count, mean, std, min, exact quartiles and max of sales and price.
 
-    The table is read once, into a histogram of distinct values.
+    The table is read into a histogram of distinct values. The deviation is
+    taken around the mean, as a difference of sums of squares loses its digits
+    when the values are large and close together.
     """
     measures = [c for c in ("sales_quantity", "price") if c in df.columns]
     pair = F.explode(F.array(*[
@@ -22,11 +24,12 @@ def describe_measures(df: DataFrame) -> DataFrame:
               .where(F.col("v").isNotNull() & ~F.isnan("v")))
     histogram = values.groupBy("measure", "v").agg(F.count(F.lit(1)).alias("n"))
     v, n, count = F.col("v"), F.col("n"), F.sum("n")
-    mean = quotient(F.sum(v * n), count)
-    var = quotient(F.sum(v * v * n) - count * mean * mean, count - 1)
-    stats = histogram.groupBy("measure").agg(
-        count.alias("count"), settled(mean, 2).alias("mean"),
-        settled(F.sqrt(F.greatest(var, F.lit(0.0) * var)), 2).alias("std"),
+    means = histogram.groupBy("measure").agg(quotient(F.sum(v * n), count).alias("_mean"))
+    away = v - F.col("_mean")
+    var = quotient(F.sum(away * away * n), count - 1)
+    stats = histogram.join(means, "measure").groupBy("measure").agg(
+        count.alias("count"), settled(F.first("_mean"), 2).alias("mean"),
+        settled(F.sqrt(var), 2).alias("std"),
         F.min(v).alias("min"), F.max(v).alias("max"))
     quartiles = exact_quantiles(histogram, ["measure"], "v", "n",
                                 {"q25": 0.25, "q50": 0.5, "q75": 0.75})

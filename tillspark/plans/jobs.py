@@ -15,9 +15,9 @@ from . import training
 from .cleaning import preprocess_sales
 
 
-def prepare(spark: SparkSession, raw_dir: str, output: str, store_id: str | None = "CA_1",
-            category: str | None = "FOODS", top_n: int | None = 50) -> DataFrame:
-    """Raw wide files to a sales table."""
+def prepare(spark: SparkSession, raw_dir: str, output: str, store_id: str | None = None,
+            category: str | None = None, top_n: int | None = None) -> DataFrame:
+    """Raw wide files to a sales table; all of them unless a subset is asked for."""
     table = sources.prepare_subset(*sources.read_raw_files(spark, raw_dir),
                                    store_id, category, top_n)
     sources.write_parquet(table, output)

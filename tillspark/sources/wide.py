@@ -108,16 +108,16 @@ def canonical_sales(priced: DataFrame) -> DataFrame:
 
 
 def prepare_subset(wide: DataFrame, calendar: DataFrame, prices: DataFrame,
-                   store_id: str | None = "CA_1",
-                   category: str | None = "FOODS",
-                   top_n: int | None = 50) -> DataFrame:
+                   store_id: str | None = None,
+                   category: str | None = None,
+                   top_n: int | None = None) -> DataFrame:
     """The whole preparation: filter and top-N before the melt, then joins.
 
-    With ``store_id=None``, ``category=None`` and ``top_n=None`` the whole
-    matrix is converted.
+    Everything is converted unless a store, a category or a number of items
+    is asked for. A subset without rows is an error.
     """
     kept = filter_wide(wide, store_id, category)
-    if kept.limit(1).isEmpty():
+    if kept is not wide and kept.limit(1).isEmpty():
         raise ValueError(
             f"no rows for store_id={store_id!r} and category={category!r}")
     if top_n is not None:

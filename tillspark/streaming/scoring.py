@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from ..operators.scoring import score_requests
-from ..schema import REQUEST_SCHEMA
+from ..sources.requests import JSON_SCHEMA, parse_requests
 
 STATUSES = ("success", "error")
 
@@ -21,9 +21,9 @@ def score_stream(spark: SparkSession, source: str, bundle, output: str,
     told apart by ``status``, so that each file is read once and the file
     sink's log makes the output exactly-once after a restart.
     """
-    arriving = (spark.readStream.schema(REQUEST_SCHEMA)
+    arriving = (spark.readStream.schema(JSON_SCHEMA)
                 .option("maxFilesPerTrigger", files_per_trigger).json(source))
-    scored = score_requests(arriving, bundle).withColumn(
+    scored = score_requests(parse_requests(arriving), bundle).withColumn(
         "scored_at", F.current_timestamp())
     writer = (scored.writeStream.format("parquet").outputMode("append")
               .option("path", output).option("checkpointLocation", checkpoint)
