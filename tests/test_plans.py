@@ -136,12 +136,14 @@ def test_copies_of_one_row_collapse_before_the_shuffle(spark, skewed):
 # ---- jobs end to end ---------------------------------------------------------------
 
 def test_jobs_from_raw_files_to_features(spark, sf, tmp_path):
-    raw, days = tmp_path / "raw", fx.wide_period(spark, sf)[1]
-    sources.write_csv(fx.wide(spark, sf).coalesce(1), str(raw / "sales_train_evaluation.csv"))
+    raw, days = tmp_path / "raw", 365
+    wide = fx.wide(spark, sf).select(*sources.wide.ID_COLUMNS,
+                                     *[f"d_{i}" for i in range(1, days + 1)])
+    sources.write_csv(wide.coalesce(1), str(raw / "sales_train_evaluation.csv"))
     sources.write_csv(fx.wide_calendar(spark, sf), str(raw / "calendar.csv"))
     # Every week gets a price, so that the series have no gaps.
     weeks = F.sequence(F.lit(fx.FIRST_WEEK), F.lit(fx.FIRST_WEEK + days // 7))
-    dense = fx.wide(spark, sf).select(
+    dense = wide.select(
         "store_id", "item_id", F.explode(weeks).alias("wm_yr_wk"), F.lit(2.5).alias("sell_price"))
     sources.write_csv(dense, str(raw / "sell_prices.csv"))
 
