@@ -122,14 +122,40 @@ def test_large_bucket_keeps_what_belongs_together():
     rng = np.random.default_rng(0)
     base = rng.integers(0, 256, 64, dtype=np.uint8)
     marks = np.array([base] * 90 + [rng.integers(0, 256, 64, dtype=np.uint8)] * 10)
-    pairs = jaccard.leaf_pairs(marks)
+    pairs = jaccard.leaf_forest(marks)
     groups = list(range(100))
     for a, b in pairs:
         groups = [groups[a] if g == groups[b] else g for g in groups]
-    assert len(set(groups)) == 2 and len(pairs) < 1200
+    assert len(set(groups)) == 2 and len(pairs) == 98
     assert jaccard.runs_for(0.998, 0.8) >= 7
 
 
+def test_every_link_of_a_large_family_counts(spark, monkeypatch):
+    """Many different near texts, in one block and in several, against brute force."""
+    rng, texts = random.Random(9), []
+    for family in range(3):
+        base = prose(100 + family, 80).split()
+        for k in range(70):
+            words = list(base)
+            for _ in range(rng.randint(0, 3)):
+                words[rng.randrange(80)] = f"new{k}x{rng.randrange(99)}"
+            texts.append(" ".join(words))
+    sets = [{tuple(t.split()[k:k + 5]) for k in range(len(t.split()) - 4)} for t in texts]
+    near = [[a != b and len(a & b) >= 0.8 * len(a | b) for b in sets] for a in sets]
+    links = [len({texts[j] for j, hit in enumerate(row) if hit}) for row in near]
+    least = list(range(len(texts)))
+    for _ in texts:
+        least = [min([least[i], *(least[j] for j in range(len(texts))
+                                  if near[i][j] or texts[i] == texts[j])])
+                 for i in range(len(texts))]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+    for size in (2048, 20):
+        monkeypatch.setattr(jaccard, "BLOCK_TEXTS", size)
+        rows = by_id(jaccard.near_duplicates(df))
+        assert [rows[i].n_links for i in range(len(texts))] == links
+        assert [rows[i].class_id for i in range(len(texts))] == least
+
+
 def test_simhash(docs, nothing):
     rows = simhash.compare_edits(docs).collect()
     assert len(rows) == docs.count() and simhash.compare_edits(nothing).count() == 0

@@ -5,15 +5,24 @@ A text is the set of its five-word shingles (all its words when it has fewer);
 the Jaccard similarity. Each run splits the texts recursively: a node chooses
 one or two coordinates by a hash of its path (1 / similarity on average) and a
 text goes to the child of its own value there. Buckets of up to ``LEAF`` texts
-are compared pair by pair inside a task. All pairs go on to the exact check from
-buckets of up to ``PAIRS`` texts; a larger one, such as a group of thousands of
-copies, gives its spanning forest of greatest similarity and every text's eight
-nearest: that keeps what belongs together and grows with the texts, not with
-their pairs. A bucket beyond ``LEAF`` is first compared with one leader: texts
-almost equal to it are represented by it and leave, the others split further.
+are compared by brute force inside a task, which passes on the spanning forest of
+the pairs that the minima support: no pair is lost as a member of the same
+family, and what leaves the task grows with the texts, not with their pairs. A
+bucket beyond ``LEAF`` is first compared with one leader: texts almost equal to
+it are represented by it and leave, the others split further.
+
+Families are the components of these forests. Inside a family every pair that
+the minima support is confirmed on the whole texts, and every link is counted. A
+family is dealt into blocks of bounded size by a hash of the text, and each pair
+of blocks is a cell, compared in one task; a cell gives one row for each text,
+with the number of its links and the least text it can reach. So no group is
+ever in one task, and no list of pairs is ever stored. Exact counts of links take
+work that is quadratic in a family; a text is shuffled once for each block of its
+own family, which is once for nearly all.
+
 The number of runs follows from the chance that a pair right at the threshold
 survives to the deepest level, so that the target recall holds for the hardest
-pairs. Candidates are confirmed on the whole texts.
+pairs.
 
 Defined results: texts are the same when their bytes are, and equal texts are
 one class without further comparison; a null text is nobody's copy and a class
@@ -42,8 +51,8 @@ from .common import fresh, quoted, text_map
 SHINGLE = 5
 COORDINATES = 64
 LEAF = 4096
-PAIRS = 48
-NEAREST = 8
+#: Shingles and texts of a block of a family, on average.
+BLOCK_SHINGLES, BLOCK_TEXTS = 1 << 20, 2048
 DEPTH = 4
 MAX_DEPTH = 12
 #: Equal coordinates from which a pair is confirmed on its texts, and from
@@ -129,11 +138,12 @@ def _sketcher(runs: int, similarity: float):
         def compute(texts):
             if len(known) > 200_000:
                 known.clear()
-            keys, marks, paths = [], [], []
+            keys, marks, paths, sizes = [], [], [], []
             for text in texts:
                 raw = None if text is None else text.encode("utf-8", "surrogatepass")
                 keys.append(None if raw is None else hashlib.md5(raw).digest())
                 hashes = shingles(raw or b"", known)
+                sizes.append(len(hashes))
                 if not len(hashes):
                     marks.append(None)
                     paths.append(None)
@@ -141,15 +151,16 @@ def _sketcher(runs: int, similarity: float):
                 low = minima(hashes)
                 marks.append((low & np.uint32(255)).astype(np.uint8).tobytes())
                 paths.append([child(r, c, int(low[c])) for r, c in roots])
-            return keys, marks, paths
+            return keys, marks, paths, sizes
         return compute
     return setup
 
 
 def sketch(docs: DataFrame, text: str, runs: int, similarity: float, keep) -> DataFrame:
-    """Key of the text, one byte for each coordinate, first-level buckets."""
+    """Key of the text, one byte for each coordinate, first-level buckets, shingles."""
     return text_map(docs, text, [("key", T.BinaryType()), ("marks", T.BinaryType()),
-                                 ("paths", T.ArrayType(T.LongType()))],
+                                 ("paths", T.ArrayType(T.LongType())),
+                                 ("size", T.LongType())],
                     _sketcher(runs, similarity), keep)
 
 
@@ -157,13 +168,13 @@ def _frame(batch: pa.RecordBatch, name: str) -> list:
     return batch.column(batch.schema.get_field_index(name)).to_pylist()
 
 
-def agreement(marks: np.ndarray) -> np.ndarray:
-    """Equal coordinates of every pair of rows, zero on the diagonal."""
-    n = len(marks)
-    same = np.zeros((n, n), np.uint8)
+def agreement(left: np.ndarray, right: np.ndarray) -> np.ndarray:
+    """Equal coordinates of every row of ``left`` with every row of ``right``."""
+    if len(left) * len(right) <= 4096:
+        return (left[:, None, :] == right[None, :, :]).sum(axis=2, dtype=np.uint8)
+    same = np.zeros((len(left), len(right)), np.uint8)
     for c in range(COORDINATES):
-        same += marks[:, c][:, None] == marks[:, c][None, :]
-    np.fill_diagonal(same, 0)
+        same += left[:, c][:, None] == right[:, c][None, :]
     return same
 
 
@@ -183,19 +194,18 @@ def spanning(same: np.ndarray) -> list[tuple[int, int]]:
     return out
 
 
-def leaf_pairs(marks: np.ndarray) -> list[tuple[int, int]]:
-    """Pairs of a bucket that go on to the exact check, lower place first."""
-    same = agreement(marks)
-    if len(marks) <= PAIRS:
-        left, right = np.nonzero(np.triu(same) >= ENOUGH)
-        return list(zip(left.tolist(), right.tolist(), strict=True))
-    found = set()
-    near = np.argpartition(same, -NEAREST, axis=1)[:, -NEAREST:]
-    for i, row in enumerate(near.tolist()):
-        found.update((min(i, j), max(i, j)) for j in row if same[i, j] >= ENOUGH)
-    if found:
-        found.update((min(p), max(p)) for p in spanning(same))
-    return sorted(found)
+def leaf_forest(marks: np.ndarray) -> list[tuple[int, int]]:
+    """Links that hold together what the minima of a bucket support."""
+    same = agreement(marks, marks)
+    np.fill_diagonal(same, 0)
+    if len(marks) == 2:
+        return [(0, 1)] if same[0, 1] >= ENOUGH else []
+    return spanning(same)
+
+
+def _marks(rows: list[dict]) -> np.ndarray:
+    joined = b"".join(x["marks"] for x in rows)
+    return np.frombuffer(joined, np.uint8).reshape(len(rows), COORDINATES)
 
 
 def _compare_leaves(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -203,10 +213,9 @@ def _compare_leaves(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatc
         left, right = [], []
         for bucket in _frame(batch, "texts"):
             bucket.sort(key=lambda x: x["key"])
-            marks = np.frombuffer(b"".join(x["marks"] for x in bucket), np.uint8)
-            for i, j in leaf_pairs(marks.reshape(len(bucket), COORDINATES)):
-                left.append(bucket[i]["key"])
-                right.append(bucket[j]["key"])
+            for i, j in leaf_forest(_marks(bucket)):
+                left.append(bucket[min(i, j)]["key"])
+                right.append(bucket[max(i, j)]["key"])
         yield pa.RecordBatch.from_arrays([pa.array(left, pa.binary()),
                                           pa.array(right, pa.binary())], names=["a", "b"])
 
@@ -236,9 +245,9 @@ def _compare_leaders(similarity: float, split: bool):
 
 
 def candidates(texts: DataFrame, similarity: float) -> DataFrame:
-    """Pairs of keys that a bucket brought together and the marks support.
+    """Links between keys that a bucket brought together and the marks support.
 
-    ``texts`` has one row for each different text: key, marks, paths.
+    Their components hold every such pair. ``texts`` has one row for each different text: key, marks, paths.
     """
     found, depth = [], 1
     rows = texts.select(F.explode("paths").alias("path"), "key")
@@ -269,27 +278,79 @@ def candidates(texts: DataFrame, similarity: float) -> DataFrame:
     return reduce(DataFrame.union, found).distinct()
 
 
-def _confirm(similarity: float):
+def compare_cell(sets: list[np.ndarray], marks: np.ndarray, second: np.ndarray,
+                 similarity: float) -> tuple[np.ndarray, np.ndarray]:
+    """Links of each text of a cell and the first text it can reach.
+
+    ``sets`` holds different shingles; ``second`` marks the rows of the second
+    block, which are compared with those of the first alone. A cell of one block
+    has none of them, and all its rows are compared.
+    """
+    n, two = len(sets), bool(second.any())
+    size = np.array([len(x) for x in sets])
+    start = np.cumsum(size) - size
+    _, ids = np.unique(np.concatenate(sets), return_inverse=True)
+    rows = np.flatnonzero(~second)
+    others = np.flatnonzero(second) if two else rows
+    supported = agreement(marks[rows], marks[others]) >= ENOUGH
+    counts, least = np.zeros(n, np.int64), np.arange(n)
+    present = np.zeros(len(ids), bool)
+    for at, i in enumerate(rows.tolist()):
+        to = others[supported[at]]
+        if not two:
+            to = to[to > i]
+        if not len(to):
+            continue
+        mine = ids[start[i]:start[i] + size[i]]
+        present[mine] = True
+        ends = np.cumsum(size[to])
+        spots = np.arange(ends[-1]) + np.repeat(start[to] - ends + size[to], size[to])
+        both = np.add.reduceat(present[ids[spots]], ends - size[to], dtype=np.int64)
+        present[mine] = False
+        linked = to[both >= similarity * (size[i] + size[to] - both) - 1e-9]
+        if len(linked):
+            counts[i] += len(linked)
+            counts[linked] += 1
+            met = np.unique(np.append(least[linked], least[i]))
+            least[np.isin(least, met)] = met[0]
+    return counts, least
+
+
+def _compare_cells(similarity: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known, last = _WordHashes(), (None, None)
+        known = _WordHashes()
         for batch in batches:
-            if len(known) > 200_000:
-                known.clear()
-            keep = []
-            left, right = _frame(batch, "text_a"), _frame(batch, "text_b")
-            for a, b in zip(left, right, strict=True):
-                if last[0] != a:
-                    last = (a, np.unique(shingles(a.encode("utf-8", "surrogatepass"), known)))
-                other = np.unique(shingles(b.encode("utf-8", "surrogatepass"), known))
-                both = len(np.intersect1d(last[1], other, assume_unique=True))
-                keep.append(both >= similarity * (len(last[1]) + len(other) - both) - 1e-9)
-            index = batch.schema.get_field_index
+            keys, least, counts = [], [], []
+            for cell in batch.column(0):
+                if len(known) > 200_000:
+                    known.clear()
+                rows = sorted(cell.as_py(), key=lambda x: x["key"])
+                sets = [np.unique(shingles(x["text"].encode("utf-8", "surrogatepass"), known))
+                        for x in rows]
+                block = np.array([x["block"] for x in rows])
+                n, first = compare_cell(sets, _marks(rows), block > block.min(), similarity)
+                for at in np.flatnonzero(n).tolist():
+                    keys.append(rows[at]["key"])
+                    least.append(rows[first[at]]["key"])
+                    counts.append(int(n[at]))
             yield pa.RecordBatch.from_arrays(
-                [batch.column(index("a")), batch.column(index("b"))], names=["a", "b"]
-            ).filter(pa.array(keep, pa.bool_()))
+                [pa.array(keys, pa.binary()), pa.array(least, pa.binary()),
+                 pa.array(counts, pa.int64())], names=["key", "least", "n"])
     return run
 
 
+def _cells(members: DataFrame) -> DataFrame:
+    """Texts of each pair of blocks of a family: one row, of bounded size."""
+    last = F.col("blocks") - 1
+    pair = F.transform(F.sequence(F.lit(0).cast("long"), last), lambda other: F.struct(
+        F.least("block", other).alias("i"), F.greatest("block", other).alias("j")))
+    return (members.withColumn("block", F.pmod(F.xxhash64("key"), F.col("blocks")))
+            .select("family", F.explode(pair).alias("cell"),
+                    F.struct("key", "marks", "text", "block").alias("row"))
+            .groupBy("family", "cell").agg(F.collect_list("row").alias("rows"))
+            .where(F.size("rows") > 1).select("rows"))
+
+
 def components(links: DataFrame) -> DataFrame:
     """Key and class of every linked key: the least key it can reach.
 
@@ -343,23 +404,29 @@ def _classes(docs: DataFrame, marked: DataFrame, text: str, doc_id: str, similar
     known = marked.where(F.col("key").isNotNull())
     groups = stage(known.groupBy("key").agg(F.min("doc_id").alias("first_id"),
                                             F.count(F.lit(1)).alias("n_rows")), "texts")
-    one = known.where("paths is not null").dropDuplicates(["key"]).select("key", "marks", "paths")
-    pairs = stage(candidates(stage(one, "sketches"), similarity), "candidates")
-    wanted = stage(pairs.select(F.col("a").alias("key")).union(pairs.select("b")).distinct()
-                   .join(groups, "key").select(F.col("key").alias("wanted"), "first_id"), "wanted")
+    one = known.where("paths is not null").dropDuplicates(["key"])
+    one = stage(one.select("key", "marks", "paths", "size"), "sketches")
+    near = stage(candidates(one.select("key", "marks", "paths"), similarity), "candidates")
+    # Families and their members grow with the input: they are never broadcast.
+    members = (components(near).withColumnRenamed("class", "family").hint("merge")
+               .join(one.select("key", "marks", "size"), "key"))
+    blocks = members.groupBy("family").agg(F.greatest(
+        F.ceil(F.sum("size") / BLOCK_SHINGLES), F.ceil(F.count(F.lit(1)) / BLOCK_TEXTS),
+    ).cast("long").alias("blocks"))
+    wanted = stage(members.hint("merge").join(blocks, "family").hint("merge").join(groups, "key")
+                   .select(F.col("key").alias("wanted"), "family", "blocks", "marks",
+                           "first_id"), "wanted")
     body = docs.select(quoted(doc_id).alias("doc_id"), quoted(text).alias("text"),
                        F.unhex(F.md5(quoted(text))).alias("key"))
-    texts = stage(_maybe_wanted(body, wanted).join(wanted.hint("merge"), (F.col("key") == F.col("wanted"))
-                            & F.col("doc_id").eqNullSafe(F.col("first_id")), "left_semi")
-                  .dropDuplicates(["key"]).select("key", "text"), "bodies")
-    # Pairs and wanted keys grow with the input: they are never broadcast.
-    sides = (pairs.hint("merge").join(texts.toDF("b", "text_b"), "b").hint("merge")
-             .join(texts.toDF("a", "text_a"), "a")
-             .select("a", "b", "text_a", "text_b"))
-    links = stage(sides.mapInArrow(_confirm(similarity), "a binary, b binary"), "links")
-    state = components(links)
-    degree = (links.select(F.col("a").alias("key")).union(links.select("b"))
-              .groupBy("key").agg(F.count(F.lit(1)).alias("n_links")))
+    texts = (_maybe_wanted(body, wanted).join(
+        wanted.hint("merge"), (F.col("key") == F.col("wanted"))
+        & F.col("doc_id").eqNullSafe(F.col("first_id")))
+        .dropDuplicates(["key"]).select("key", "text", "family", "blocks", "marks"))
+    links = stage(_cells(texts).mapInArrow(_compare_cells(similarity),
+                                           "key binary, least binary, n bigint"), "links")
+    state = components(links.where("key != least")
+                       .select(F.col("least").alias("a"), F.col("key").alias("b")))
+    degree = links.groupBy("key").agg(F.sum("n").alias("n_links"))
     return stage(groups.join(state, "key", "left").join(degree, "key", "left").select(
         "key", "first_id", "n_rows", F.coalesce("class", "key").alias("class"),
         F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links")), "text-classes")
@@ -369,10 +436,8 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
                     similarity: float = 0.8, recall: float = 0.998) -> DataFrame:
     """doc_id, class_id, n_links and n_copies for every row of ``docs``.
 
-    ``class_id`` is the least id of the class. ``n_links`` counts the links of
-    the row's text to different texts: all of them in groups of up to ``PAIRS``
-    texts, those of the spanning forest and the nearest in larger ones. ``n_copies`` counts other rows
-    with the same text.
+    ``class_id`` is the least id of the class. ``n_links`` counts all links of
+    the row's text to different texts, ``n_copies`` other rows with the same text.
     """
     docs = docs.select(quoted(doc_id).alias("doc_id"), quoted(text).alias("text"))
     runs = runs_for(recall, similarity)
