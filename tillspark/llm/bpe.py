@@ -296,7 +296,7 @@ class Encoder:
 
     #: Bounds of what a worker remembers, in words and in chunks of a text.
     #: At the bound the memory becomes the older one, which is asked second.
-    WORDS, CHUNKS = 300_000, 300_000
+    WORDS, CHUNKS = 200_000, 200_000
 
     def __init__(self, vocabulary: Merger, lexicon: Lexicon | None = None):
         self.vocabulary, self.lexicon = vocabulary, lexicon

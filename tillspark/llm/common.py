@@ -17,6 +17,8 @@ from pyspark.sql import types as T
 #: and ``bytes.strip`` without arguments use exactly these.
 BLANKS = " \t\n\x0b\x0c\r"
 WORD = r"[^\x20\x09-\x0D]+"
+#: Texts that a task has in Python at one time.
+TEXTS_AT_ONCE = 1000
 
 
 def read_table(spark: SparkSession, sf_dir: str, name: str, *columns: str) -> DataFrame:
@@ -60,6 +62,12 @@ def quoted(name: str) -> Column:
     return F.col("`" + name.replace("`", "``") + "`")
 
 
+def _slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for at in range(0, batch.num_rows, TEXTS_AT_ONCE):
+            yield batch.slice(at, TEXTS_AT_ONCE)
+
+
 def text_map(df: DataFrame, column: str, fields: list[tuple[str, T.DataType]],
              setup: Callable[[], Callable], keep: bool | list[str] = True) -> DataFrame:
     """Add columns computed in Python from one text column, batch by batch.
@@ -76,12 +84,13 @@ def text_map(df: DataFrame, column: str, fields: list[tuple[str, T.DataType]],
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         compute = setup()
-        for batch in batches:
+        for batch in _slices(batches):
             made = compute(batch.column(batch.schema.get_field_index(column)).to_pylist())
             arrays = [batch.column(batch.schema.get_field_index(f.name)) for f in kept]
             arrays += [v if isinstance(v, pa.Array) else pa.array(v, t)
                        for v, t in zip(made, types, strict=True)]
             yield pa.RecordBatch.from_arrays(arrays, names=schema.names)
+        pa.default_memory_pool().release_unused()  # the worker waits for its next task
 
     inner = df.select(*[quoted(c) for c in dict.fromkeys([*(f.name for f in kept), column])])
     return inner.mapInArrow(run, schema)
