@@ -6,6 +6,7 @@ import tempfile
 import uuid
 from collections.abc import Iterator
 from contextlib import contextmanager
+from functools import cache
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -42,6 +43,12 @@ def shuffle_settings(table_bytes: int, target_mb: int = 200) -> dict[str, str]:
             "spark.sql.files.maxPartitionBytes": f"{target_mb}m"}
 
 
+@cache
+def _own_folder() -> str:
+    """One temporary folder a process; a running session's setting is fixed."""
+    return tempfile.mkdtemp(prefix="tillspark-")
+
+
 def shared_path(spark: SparkSession, name: str) -> str:
     """A fresh path in the folder that every executor can reach.
 
@@ -52,8 +59,7 @@ def shared_path(spark: SparkSession, name: str) -> str:
     if not root:
         if not spark.sparkContext.master.startswith("local"):
             raise ValueError(f"set {CHECKPOINT_SETTING} to a shared folder")
-        root = tempfile.mkdtemp(prefix="tillspark-")
-        spark.conf.set(CHECKPOINT_SETTING, root)
+        root = _own_folder()
     return f"{root.rstrip('/')}/tillspark/{name}-{uuid.uuid4().hex}"
 
 
