@@ -294,12 +294,13 @@ def build_lexicon(docs: DataFrame, spec, text: str = "text", most: int = LEXICON
 class Encoder:
     """Texts to ids and back; remembers words it has met, up to a bound."""
 
-    #: Bounds of what a worker remembers, in words and in chunks of a text.
-    #: At the bound the memory becomes the older one, which is asked second.
-    WORDS, CHUNKS = 200_000, 200_000
+    def __init__(self, vocabulary: Merger, lexicon: Lexicon | None = None,
+                 remember: int = 300_000):
+        """``remember`` bounds the words, and the chunks, that are kept in memory.
 
-    def __init__(self, vocabulary: Merger, lexicon: Lexicon | None = None):
-        self.vocabulary, self.lexicon = vocabulary, lexicon
+        At the bound the memory becomes the older one, which is asked second.
+        """
+        self.vocabulary, self.lexicon, self.remember = vocabulary, lexicon, remember
         self.words: dict[str, bytes] = {}
         self.older_words: dict[str, bytes] = {}
         self.chunks: dict[str, bytes] = {}
@@ -318,7 +319,7 @@ class Encoder:
                 if ids is None:
                     merged = self.vocabulary.merge(raw)
                     ids = struct.pack(f"<{len(merged)}I", *merged)
-            if len(self.words) >= self.WORDS:
+            if len(self.words) >= self.remember:
                 self.words, self.older_words = {}, self.words
             if len(word) <= LONGEST_WORD:
                 self.words[word] = ids
@@ -340,7 +341,7 @@ class Encoder:
                 ids = self.word(" " + chunk[:-1]) + self.word(chunk[-1])
             else:
                 ids = self.plain(" " + chunk)
-        if len(self.chunks) >= self.CHUNKS:
+        if len(self.chunks) >= self.remember:
             self.chunks, self.older_chunks = {}, self.chunks
         if len(chunk) <= LONGEST_WORD:
             self.chunks[chunk] = ids
@@ -401,11 +402,12 @@ def read_spec(path: str) -> str:
 _encoders: dict[str, Encoder] = {}
 
 
-def _encoder(spec, name: str) -> Encoder:
+def _encoder(spec, name: str, remember: int) -> Encoder:
     """The worker's encoder for a lexicon; later tasks find its words known."""
     if name not in _encoders:
         _encoders.clear()
-        _encoders[name] = Encoder(merger(spec.value), Lexicon.open(SparkFiles.get(name)))
+        _encoders[name] = Encoder(merger(spec.value), Lexicon.open(SparkFiles.get(name)), remember)
+    _encoders[name].remember = remember
     return _encoders[name]
 
 
@@ -415,12 +417,12 @@ def _open(spark: SparkSession, docs: DataFrame, vocabulary: str, text: str, most
 
 
 def digests(docs: DataFrame, vocabulary: str, doc_id: str = "doc_id", text: str = "text",
-            most: int = LEXICON_WORDS) -> DataFrame:
+            most: int = LEXICON_WORDS, remember: int = 300_000) -> DataFrame:
     """Number of ids and digests of the ids and of the decoded text."""
     spec, name = _open(docs.sparkSession, docs, vocabulary, text, most)
 
     def setup():
-        encoder = _encoder(spec, name)
+        encoder = _encoder(spec, name, remember)
 
         def compute(texts):
             counts, of_ids, of_text = [], [], []
@@ -438,12 +440,16 @@ def digests(docs: DataFrame, vocabulary: str, doc_id: str = "doc_id", text: str
 
 
 def token_table(docs: DataFrame, vocabulary: str, text: str = "text", most: int = LEXICON_WORDS,
-                keep: tuple[str, ...] = ("doc_id", "source")) -> DataFrame:
-    """``keep`` with n_tokens, ids (array of int) and whether decoding gives the text."""
+                keep: tuple[str, ...] = ("doc_id", "source"),
+                remember: int = 200_000) -> DataFrame:
+    """``keep`` with n_tokens, ids (array of int) and whether decoding gives the text.
+
+    A worker remembers less than for ``digests``: it also holds the ids.
+    """
     spec, name = _open(docs.sparkSession, docs, vocabulary, text, most)
 
     def setup():
-        encoder = _encoder(spec, name)
+        encoder = _encoder(spec, name, remember)
 
         def compute(texts):
             coded = [encoder.encode(t or "") for t in texts]
