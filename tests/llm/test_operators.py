@@ -3,6 +3,7 @@
 import hashlib
 import random
 import re
+import textwrap
 
 import numpy as np
 import pytest
@@ -245,6 +246,20 @@ def test_licenses(docs, nothing):
     assert scan("He has a driving license and a copyright claim.") == []
 
 
+@pytest.mark.parametrize("mark", ["", "# ", " * ", "//   "])
+@pytest.mark.parametrize("width", [16, 40, 72])
+def test_wrapped_licenses(mark, width):
+    """Every template as files have it, alone and amid other text."""
+    scan = licenses.Scanner().scan
+    for name, notices in licenses.TEMPLATES.items():
+        for notice in notices:
+            body = "\n".join(mark + x for x in textwrap.wrap(notice, width))
+            for text in (body, f"{prose(4, 150)}\n{body}\n{prose(5, 150)}"):
+                (start, end, found, n), = scan(text)
+                assert (found, n) == (name, 0)
+                assert licenses.wording(text[start:end]) == licenses.wording(notice)
+
+
 def test_url_filter(spark):
     events = spark.createDataFrame(
         [("bad.org", "2024-01-01", True), ("bad.org", "2024-02-01", False),

@@ -1,19 +1,21 @@
 """Licence notices by conditional compression against known templates.
 
-A text's candidate blocks are the sentences and lines around licence words.
-Each block is compressed alone and with every template as a raw zstandard
-dictionary; a template that says the same makes the block much smaller. The
-templates are ranked by the size they save and the best are confirmed by the
-exact differences of their wording from the best window of the block.
-
-Defined results: a null or empty text has no blocks and the empty list; equal
-savings are decided by the order of the templates; repeated rows are scanned
+A text's candidate blocks are the characters around licence words, over line
+ends. Stretches of a block that differ from a template in few words are
+candidates; their words are compressed alone and with the template as a raw
+zstandard dictionary, and a template that says the same makes them much smaller.
+The saving is taken on the stretch, since in a long block the code lengths of
+the other text hide it.
+
+Defined results: a null or empty text has no blocks and the empty list; of
+equal stretches the longest template counts, then the least name; repeated rows are scanned
 each; an empty table gives an empty result; other columns are not read.
 """
 
 from __future__ import annotations
 
 import re
+from collections import Counter
 from dataclasses import dataclass
 
 import zstandard
@@ -53,55 +55,61 @@ TEMPLATES: dict[str, tuple[str, ...]] = {
 }
 
 TRIGGER = re.compile(
-    r"(?ai:licen[sc]ed?\b|copyright\b|permission is|public domain|redistribut|spdx|"
-    r"free software|\bCC0\b)")
-_WORD = re.compile(r"[A-Za-z0-9][A-Za-z0-9.+-]*")
+    r"(?ai:licen[sc]ed?\b|copyright\b|permission\W{1,40}is|public\W{1,40}domain|redistribut|spdx|"
+    r"free\W{1,40}software|\bCC0\b)")
+#: The rest of a line after a hyphen, with the marks before the next line's text.
+_WRAP = r"(?<=-)[^\S\n]*\n[^\w\n]*(?=[A-Za-z0-9])"
+_WORD = re.compile(rf"[A-Za-z0-9](?:[A-Za-z0-9.+-]|{_WRAP})*")
+#: More words than a piece can have.
+_MANY = 1 << 20
 
 
 @dataclass(frozen=True)
 class ScanPolicy:
-    """``around`` characters on either side of a trigger form a block."""
+    """``around`` characters at least on either side of a trigger form a block."""
 
     around: int = 240
-    ranked: int = 3
     least_saving: float = 0.3
     most_differences: float = 0.15
 
 
 def wording(text: str) -> list[str]:
-    return [w.rstrip(".-").lower() for w in _WORD.findall(text)]
+    return [re.sub(_WRAP, "", w).rstrip(".-").lower() for w in _WORD.findall(text)]
 
 
 def blocks(text: str, around: int) -> list[tuple[int, int]]:
-    """Stretches around the trigger words, overlapping ones joined.
+    """Stretches of ``around`` characters on both sides of the trigger words.
 
-    They reach back and forth to a line end, at most ``around`` characters.
+    They run on over line ends, since notices are wrapped; stretches that
+    overlap or touch are joined.
     """
     out: list[tuple[int, int]] = []
     for m in TRIGGER.finditer(text):
-        start = max(text.rfind("\n", max(0, m.start() - around), m.start()) + 1,
-                    m.start() - around)
-        stop = text.find("\n", m.end(), m.end() + around)
-        end = stop if stop >= 0 else min(len(text), m.end() + around)
+        start, end = max(0, m.start() - around), min(len(text), m.end() + around)
         if out and start <= out[-1][1]:
-            out[-1] = (out[-1][0], max(end, out[-1][1]))
+            out[-1] = (out[-1][0], end)
         else:
             out.append((start, end))
     return out
 
 
-def differences(block: list[str], template: list[str]) -> int:
-    """Fewest words to add, drop or change to find the template in the block.
+def stretches(block: list[str], template: list[str], most: float) -> list[tuple[int, int, int]]:
+    """(words to add, drop or change, first word, end) where the block has the template.
 
-    Edit distance of the whole template to any stretch of the block: leading
-    and trailing words of the block cost nothing.
+    Edit distance of the whole template to a stretch of the block, one for each
+    end with at most ``most`` differences: the nearest, of equal ones the shortest.
     """
-    row = [0] * (len(block) + 1)
+    row = [-j for j in range(len(block) + 1)]  # differences * _MANY - first word
     for i, w in enumerate(template, 1):
-        last, row[0] = row[0], i
+        last, row[0] = row[0], i * _MANY
         for j, b in enumerate(block, 1):
-            last, row[j] = row[j], min(last + (w != b), row[j] + 1, row[j - 1] + 1)
-    return min(row)
+            last, row[j] = row[j], min(last + (w != b) * _MANY, row[j] + _MANY, row[j - 1] + _MANY)
+    found = []
+    for end, value in enumerate(row):
+        n = -(-value // _MANY)
+        if n <= most:
+            found.append((n, n * _MANY - value, end))
+    return found
 
 
 class Scanner:
@@ -114,53 +122,61 @@ class Scanner:
         self.known = []
         for name, notices in templates.items():
             for notice in notices:
+                words = wording(notice)
+                plain = " ".join(words).encode()
                 raw = zstandard.ZstdCompressionDict(
-                    notice.encode(), dict_type=zstandard.DICT_TYPE_RAWCONTENT)
+                    plain, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
                 self.known.append((name, zstandard.ZstdCompressor(level=3, dict_data=raw),
-                                   wording(notice), len(notice)))
+                                   words, len(plain)))
+        longest = max((len(n) for notices in templates.values() for n in notices), default=0)
+        #: A notice with comment marks and blanks at its line starts is longer than its template.
+        self.around = max(policy.around, 2 * longest)
 
-    def savings(self, block: str) -> list[tuple[float, int]]:
-        """(bytes saved over the template's length, template), best first."""
-        data = block.encode("utf-8", "surrogatepass")
-        alone = len(self.plain.compress(data))
-        saved = [((alone - len(z.compress(data))) / size, k)
-                 for k, (_, z, _, size) in enumerate(self.known)]
-        return sorted(saved, key=lambda s: (-s[0], s[1]))
+    def saving(self, words: list[str], k: int) -> float:
+        """Bytes that template ``k`` saves on the words, over its own length."""
+        _, given, _, size = self.known[k]
+        data = " ".join(words).encode()
+        return (len(self.plain.compress(data)) - len(given.compress(data))) / size
 
-    def confirm(self, block: str) -> list[tuple[str, int]]:
-        """(identifier, differing words) of the ranked templates that the wording bears out.
+    def confirm(self, piece: str) -> list[tuple[int, int, str, int, int]]:
+        """(differing words, -length, identifier, start, end) of each template's stretches.
 
-        Of templates that overlap in wording the one with the fewest differences wins.
+        The wording and the saving on the stretch bear them out; they may overlap.
         """
-        words, found = wording(block), []
-        for saving, k in self.savings(block)[:max(self.policy.ranked, 1) * 4]:
-            name, _, template, _ = self.known[k]
-            if saving < self.policy.least_saving:
-                break
-            n = differences(words, template)
-            if n <= self.policy.most_differences * len(template):
-                found.append((n, -len(template), name))
-        best: dict[str, int] = {}
-        for n, _, name in sorted(found):
-            best.setdefault(name, n)
-        if not best:
-            return []
-        exact = [(name, n) for name, n in best.items() if n == 0]
-        return exact or [min(best.items(), key=lambda x: (x[1], x[0]))]
+        spots = [m.span() for m in _WORD.finditer(piece)]
+        words, found = wording(piece), []
+        have = Counter(words)
+        for k, (name, _, template, _) in enumerate(self.known):
+            most = self.policy.most_differences * len(template)
+            if (Counter(template) - have).total() > most:  # each absent word is a difference
+                continue
+            for n, first, end in stretches(words, template, most):
+                if first < end and self.saving(words[first:end], k) >= self.policy.least_saving:
+                    found.append((n, -len(template), name, spots[first][0], spots[end - 1][1]))
+        return found
 
     def scan(self, text: str) -> list[tuple[int, int, str, int]]:
-        """(start, end, identifier, differing words) of each confirmed notice."""
+        """(start, end, identifier, differing words) of each confirmed notice.
+
+        Of notices that overlap the one with the fewest differences counts, then
+        the longest template.
+        """
         out = []
-        for start, end in blocks(text, self.policy.around):
+        for start, end in blocks(text, self.around):
             # A long block is read in overlapping pieces, so that a notice of
             # usual length lies whole in one of them.
-            for at in range(start, end, 2 * self.policy.around):
-                piece = text[at:min(end, at + 4 * self.policy.around)]
-                for name, n in self.confirm(piece):
-                    if (hit := (start, end, name, n)) not in out:
-                        out.append(hit)
-                if at + 4 * self.policy.around >= end:
+            found = set()
+            for at in range(start, end, self.around):
+                piece = text[at:min(end, at + 2 * self.around)]
+                found.update((n, size, name, at + a, at + b)
+                             for n, size, name, a, b in self.confirm(piece))
+                if at + 2 * self.around >= end:
                     break
+            taken: list[tuple[int, int, str, int]] = []
+            for n, _, name, a, b in sorted(found):
+                if all(b <= x or y <= a for x, y, _, _ in taken):
+                    taken.append((a, b, name, n))
+            out += sorted(taken)
         return out
 
 
@@ -169,7 +185,8 @@ def find(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
          policy: ScanPolicy = ScanPolicy()) -> DataFrame:
     """doc_id, n_blocks, n_notices, licenses (sorted, comma-joined), notices.
 
-    ``notices`` lists identifier:start:end:differences of each notice.
+    ``notices`` lists identifier:start:end:differences of each notice; start and
+    end are those of its own words.
     """
     known = dict(templates or TEMPLATES)
 
@@ -180,7 +197,7 @@ def find(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
             n_blocks, n_found, names, notices = [], [], [], []
             for t in texts:
                 hits = scanner.scan(t or "")
-                n_blocks.append(len(blocks(t or "", policy.around)))
+                n_blocks.append(len(blocks(t or "", scanner.around)))
                 n_found.append(len(hits))
                 names.append(",".join(sorted({h[2] for h in hits})))
                 notices.append(",".join(f"{n}:{s}:{e}:{d}" for s, e, n, d in hits))
