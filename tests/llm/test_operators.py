@@ -157,6 +157,55 @@ def test_every_link_of_a_large_family_counts(spark, monkeypatch):
         assert [rows[i].class_id for i in range(len(texts))] == least
 
 
+@pytest.mark.parametrize("depth", [12, 1])
+def test_every_pair_of_a_large_bucket_counts(spark, monkeypatch, depth):
+    """Buckets far beyond LEAF: chains whose ends differ, and texts with a common start."""
+    monkeypatch.setattr(jaccard, "LEAF", 20)
+    monkeypatch.setattr(jaccard, "MAX_DEPTH", depth)
+    rng, texts, start = random.Random(17), [], prose(31, 40)
+    for chain in range(3):
+        words = prose(40 + chain, 80).split()
+        for k in range(60):
+            texts.append(" ".join(words))
+            words[rng.randrange(80)] = f"step{k}"
+    for k in range(100):
+        body = prose(200 + k // 2, 60).split()
+        if k % 2:
+            body[rng.randrange(60)] = "other"
+        texts.append(" ".join([start, *body]))
+    sets = [{tuple(t.split()[k:k + 5]) for k in range(len(t.split()) - 4)} for t in texts]
+    near = [[i for i, b in enumerate(sets) if a is not b and len(a & b) >= 0.8 * len(a | b)]
+            for a in sets]
+    least = list(range(len(texts)))
+    for _ in texts:
+        least = [min([least[i], *(least[j] for j in near[i])]) for i in range(len(texts))]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+    rows = by_id(jaccard.near_duplicates(df))
+    assert [rows[i].n_links for i in range(len(texts))] == list(map(len, near))
+    assert [rows[i].class_id for i in range(len(texts))] == least
+
+
+def test_runs_follow_the_depth_reached(spark, monkeypatch):
+    taken, depths = [], [4, 9, 12]
+    empty = spark.createDataFrame([], "a binary, b binary")
+
+    def descend(rows, marks, similarity):
+        taken.append(rows.count())
+        return [empty], depths[len(taken) - 1]
+    monkeypatch.setattr(jaccard, "_descend", descend)
+    roots = jaccard.roots_of(jaccard.runs_for(0.998, 0.8, 12), 0.8)
+    one = spark.createDataFrame([(b"k", b"m", list(range(len(roots))))],
+                                "key binary, marks binary, paths array<bigint>")
+
+    def ask():
+        taken.clear()
+        jaccard.candidates(one, 0.8, 0.998)
+        return sum(taken)
+    assert ask() == len(jaccard.roots_of(jaccard.runs_for(0.998, 0.8), 0.8))
+    depths[:] = [9, 12, 12]
+    assert ask() == len(roots)
+
+
 def test_simhash(docs, nothing):
     rows = simhash.compare_edits(docs).collect()
     assert len(rows) == docs.count() and simhash.compare_edits(nothing).count() == 0

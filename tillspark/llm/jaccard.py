@@ -7,9 +7,11 @@ one or two coordinates by a hash of its path (1 / similarity on average) and a
 text goes to the child of its own value there. Buckets of up to ``LEAF`` texts
 are compared by brute force inside a task, which passes on the spanning forest of
 the pairs that the minima support: no pair is lost as a member of the same
-family, and what leaves the task grows with the texts, not with their pairs. A
-bucket beyond ``LEAF`` is first compared with one leader: texts almost equal to
-it are represented by it and leave, the others split further.
+family, and what leaves the task grows with the texts, not with their pairs. In a
+bucket beyond ``LEAF`` one text stands for those of the same minima. It splits
+further where that at least halves its pairs; otherwise, and at the last depth,
+it is dealt into blocks, each pair of blocks is a cell compared in one task, and
+only the cell's forest leaves it. So every pair of every bucket is compared.
 
 Families are the components of these forests. Inside a family every pair that
 the minima support is confirmed on the whole texts, and every link is counted. A
@@ -21,8 +23,8 @@ work that is quadratic in a family; a text is shuffled once for each block of it
 own family, which is once for nearly all.
 
 The number of runs follows from the chance that a pair right at the threshold
-survives to the deepest level, so that the target recall holds for the hardest
-pairs.
+survives to the deepest level reached, so that the target recall holds for the
+hardest pairs: where buckets went deeper than ``DEPTH``, runs are added.
 
 Defined results: texts are the same when their bytes are, and equal texts are
 one class without further comparison; a null text is nobody's copy and a class
@@ -55,9 +57,8 @@ LEAF = 4096
 BLOCK_SHINGLES, BLOCK_TEXTS = 1 << 20, 2048
 DEPTH = 4
 MAX_DEPTH = 12
-#: Equal coordinates from which a pair is confirmed on its texts, and from
-#: which a bucket's leader stands for the text.
-ENOUGH, ALIKE = 40, 56
+#: Equal coordinates from which a pair is confirmed on its texts.
+ENOUGH = 40
 #: Bits of the filter that keeps texts without candidates out of a shuffle.
 FILTER_BITS = 1 << 23
 
@@ -129,8 +130,13 @@ def runs_for(recall: float, similarity: float, depth: int = DEPTH) -> int:
     return math.ceil(math.log(1 - recall) / math.log(1 - survival(depth, similarity)))
 
 
+def roots_of(runs: int, similarity: float) -> list[tuple[int, int]]:
+    """Run and coordinate of the first-level buckets of a text, in this order."""
+    return [(r, c) for r in range(runs) for c in chosen(r, similarity)]
+
+
 def _sketcher(runs: int, similarity: float):
-    roots = [(r, c) for r in range(runs) for c in chosen(r, similarity)]
+    roots = roots_of(runs, similarity)
 
     def setup():
         known = _WordHashes()
@@ -220,43 +226,67 @@ def _compare_leaves(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatc
                                           pa.array(right, pa.binary())], names=["a", "b"])
 
 
-def _compare_leaders(similarity: float, split: bool):
-    """Compare with the leader; the texts it does not stand for go to children."""
+def _compare_parts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Forest of each cell of a bucket: of one block, or of the pairs between two."""
+    for batch in batches:
+        left, right = [], []
+        cells = batch.column(batch.schema.get_field_index("cell")).to_pylist()
+        for cell, rows in zip(cells, _frame(batch, "texts"), strict=True):
+            rows.sort(key=lambda x: (x["block"], x["key"]))
+            marks, n = _marks(rows), sum(x["block"] == cell["i"] for x in rows)
+            if cell["i"] == cell["j"]:
+                pairs = leaf_forest(marks)
+            else:
+                same = np.zeros((len(rows), len(rows)), np.uint8)
+                same[:n, n:] = agreement(marks[:n], marks[n:])
+                same[n:, :n] = same[:n, n:].T
+                pairs = spanning(same)
+            for i, j in pairs:
+                left.append(min(rows[i]["key"], rows[j]["key"]))
+                right.append(max(rows[i]["key"], rows[j]["key"]))
+        yield pa.RecordBatch.from_arrays([pa.array(left, pa.binary()),
+                                          pa.array(right, pa.binary())], names=["a", "b"])
+
+
+def _bucket_cells(large: DataFrame) -> DataFrame:
+    """Keys and marks of each pair of blocks of a bucket: one row, of bounded size.
+
+    Blocks have half of ``LEAF`` texts on average; a text goes out once for each
+    block of its bucket, with its marks alone.
+    """
+    blocks = F.ceil(F.col("n") * 2 / LEAF).cast("long")
+    pair = F.transform(F.sequence(F.lit(0).cast("long"), blocks - 1), lambda other: F.struct(
+        F.least("block", other).alias("i"), F.greatest("block", other).alias("j")))
+    return (large.withColumn("block", F.pmod(F.xxhash64("key"), blocks))
+            .select("path", F.explode(pair).alias("cell"),
+                    F.struct("key", "marks", "block").alias("row"))
+            .groupBy("path", "cell").agg(F.collect_list("row").alias("texts"))
+            .where(F.size("texts") > 1).select("cell", "texts"))
+
+
+def _children(similarity: float):
+    """Paths of the children of each row's bucket that the row goes to."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            paths, near = [], []
             marks = _frame(batch, "marks")
-            leaders = _frame(batch, "leader_marks")
-            keys, heads = _frame(batch, "key"), _frame(batch, "leader")
-            for at, path in enumerate(_frame(batch, "path")):
-                same = 0
-                if keys[at] != heads[at]:
-                    same = sum(map(int.__eq__, marks[at], leaders[at]))
-                near.append(same >= ENOUGH)
-                goes = keys[at] == heads[at] or same >= ALIKE
-                paths.append([] if goes or not split else
-                             [child(path, c, marks[at][c]) for c in chosen(path, similarity)])
+            paths = [[child(path, c, marks[at][c]) for c in chosen(path, similarity)]
+                     for at, path in enumerate(_frame(batch, "path"))]
             index = batch.schema.get_field_index
             yield pa.RecordBatch.from_arrays(
-                [batch.column(index(n)) for n in ("key", "marks", "leader")]
-                + [pa.array(near, pa.bool_()), pa.array(paths, pa.list_(pa.int64()))],
-                names=["key", "marks", "leader", "near", "paths"])
+                [batch.column(index(n)) for n in ("path", "key", "marks", "n")]
+                + [pa.array(paths, pa.list_(pa.int64()))],
+                names=["path", "key", "marks", "n", "paths"])
     return run
 
 
-def candidates(texts: DataFrame, similarity: float) -> DataFrame:
-    """Links between keys that a bucket brought together and the marks support.
-
-    Their components hold every such pair. ``texts`` has one row for each different text: key, marks, paths.
-    """
+def _descend(rows: DataFrame, marks: DataFrame, similarity: float) -> tuple[list[DataFrame], int]:
+    """Links of all buckets below the first-level ``rows`` (path, key), and the depth reached."""
     found, depth = [], 1
-    rows = texts.select(F.explode("paths").alias("path"), "key")
     while True:
-        size = (rows.groupBy("path").agg(F.count(F.lit(1)).alias("n"), F.min("key").alias("leader"))
-                .where("n > 1"))
+        size = rows.groupBy("path").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
         full = rows.join(size, "path")
         if depth == 1:
-            full = full.join(texts.select("key", "marks"), "key")
+            full = full.join(marks, "key")
         full = stage(full, f"buckets-{depth}")
         leaves = (full.where(F.col("n") <= LEAF).groupBy("path")
                   .agg(F.collect_list(F.struct("key", "marks")).alias("texts"))
@@ -264,17 +294,47 @@ def candidates(texts: DataFrame, similarity: float) -> DataFrame:
         found.append(leaves.mapInArrow(_compare_leaves, "a binary, b binary"))
         large = full.where(F.col("n") > LEAF)
         if large.isEmpty():
-            break
-        heads = (large.where(F.col("key") == F.col("leader"))
-                 .select("path", F.col("marks").alias("leader_marks")))
-        shape = "key binary, marks binary, leader binary, near boolean, paths array<bigint>"
-        led = stage(large.join(heads, "path")
-                    .select("path", "key", "marks", "leader", "leader_marks")
-                    .mapInArrow(_compare_leaders(similarity, depth < MAX_DEPTH), shape),
-                    f"leaders-{depth}")
-        found.append(led.where("near").select(F.col("leader").alias("a"), F.col("key").alias("b")))
-        rows = led.select(F.explode("paths").alias("path"), "key", "marks")
+            return found, depth
+        # One text stands for all of the same minima: what they support is the same.
+        heads = stage(large.groupBy("path", "marks").agg(
+            F.min("key").alias("key"), F.count(F.lit(1)).alias("alike")), f"heads-{depth}")
+        alike = heads.where("alike > 1").select("path", "marks", F.col("key").alias("a"))
+        found.append(large.hint("merge").join(alike, ["path", "marks"])
+                     .where("key != a").select("a", F.col("key").alias("b")))
+        counts = heads.groupBy("path").agg(F.count(F.lit(1)).alias("n"))
+        shape = "path bigint, key binary, marks binary, n bigint, paths array<bigint>"
+        kept = stage(heads.join(counts, "path").select("path", "key", "marks", "n")
+                     .mapInArrow(_children(similarity), shape), f"children-{depth}")
+        split = (kept.where(F.lit(depth < MAX_DEPTH) & (F.col("n") > LEAF))
+                 .select("path", "n", F.explode("paths").alias("child"))
+                 .groupBy("path", "n", "child").agg(F.count(F.lit(1)).alias("m"))
+                 .groupBy("path", "n").agg(F.sum(F.col("m").cast("double") ** 2).alias("pairs"))
+                 .where(F.col("pairs") * 2 <= F.col("n").cast("double") ** 2).select("path"))
+        split = stage(split, f"split-{depth}")
+        found.append(_bucket_cells(kept.join(split, "path", "left_anti"))
+                     .mapInArrow(_compare_parts, "a binary, b binary"))
+        if split.isEmpty():
+            return found, depth
+        rows = kept.join(split, "path", "left_semi").select(
+            F.explode("paths").alias("path"), "key", "marks")
         depth += 1
+
+
+def candidates(texts: DataFrame, similarity: float, recall: float) -> DataFrame:
+    """Links between keys that a bucket brought together and the marks support.
+
+    Their components hold every such pair. ``texts`` has one row for each
+    different text: key, marks and the paths of as many runs as ``MAX_DEPTH``
+    takes, of which only those are used that the depth reached asks for.
+    """
+    found, done, deepest = [], 0, DEPTH
+    while done < (need := runs_for(recall, similarity, deepest)):
+        first, end = (len(roots_of(r, similarity)) for r in (done, need))
+        rows = texts.select(F.explode(F.slice("paths", first + 1, end - first)).alias("path"),
+                            "key")
+        links, depth = _descend(rows, texts.select("key", "marks"), similarity)
+        found += links
+        done, deepest = need, max(deepest, depth)
     return reduce(DataFrame.union, found).distinct()
 
 
@@ -396,7 +456,8 @@ def _maybe_wanted(body: DataFrame, keys: DataFrame) -> DataFrame:
             .withColumn("byte", byte).where(on).select(*body.columns))
 
 
-def _classes(docs: DataFrame, marked: DataFrame, text: str, doc_id: str, similarity: float):
+def _classes(docs: DataFrame, marked: DataFrame, text: str, doc_id: str, similarity: float,
+             recall: float):
     """For each different text its class, links and copies.
 
     ``marked`` is stored: doc_id, key, marks, paths of every row of ``docs``.
@@ -406,7 +467,7 @@ def _classes(docs: DataFrame, marked: DataFrame, text: str, doc_id: str, similar
                                             F.count(F.lit(1)).alias("n_rows")), "texts")
     one = known.where("paths is not null").dropDuplicates(["key"])
     one = stage(one.select("key", "marks", "paths", "size"), "sketches")
-    near = stage(candidates(one.select("key", "marks", "paths"), similarity), "candidates")
+    near = stage(candidates(one.select("key", "marks", "paths"), similarity, recall), "candidates")
     # Families and their members grow with the input: they are never broadcast.
     members = (components(near).withColumnRenamed("class", "family").hint("merge")
                .join(one.select("key", "marks", "size"), "key"))
@@ -440,9 +501,9 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     the row's text to different texts, ``n_copies`` other rows with the same text.
     """
     docs = docs.select(quoted(doc_id).alias("doc_id"), quoted(text).alias("text"))
-    runs = runs_for(recall, similarity)
+    runs = runs_for(recall, similarity, max(DEPTH, MAX_DEPTH))
     marked = stage(sketch(docs, "text", runs, similarity, ["doc_id"]), "marked")
-    by_text = _classes(docs, marked, "text", "doc_id", similarity)
+    by_text = _classes(docs, marked, "text", "doc_id", similarity, recall)
     least = by_text.groupBy("class").agg(F.min("first_id").alias("class_id"))
     facts = by_text.join(least, "class").select("key", "class_id", "n_links", "n_rows")
     return (marked.select("doc_id", "key").join(facts, "key", "left")
@@ -459,9 +520,9 @@ def keep_one(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     numbered = stage(docs.withColumn(row, F.monotonically_increasing_id()), "numbered")
     plain = numbered.select(quoted(doc_id).alias("doc_id"), quoted(text).alias("text"),
                             F.col(row).alias("row"))
-    runs = runs_for(recall, similarity)
+    runs = runs_for(recall, similarity, max(DEPTH, MAX_DEPTH))
     marked = stage(sketch(plain, "text", runs, similarity, ["doc_id", "row"]), "marked")
-    by_text = _classes(plain, marked, "text", "doc_id", similarity)
+    by_text = _classes(plain, marked, "text", "doc_id", similarity, recall)
     best = (marked.join(by_text.select("key", "class"), "key")
             .groupBy("class").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "row"))
                                   .alias("best")).select("best.row"))
