@@ -185,6 +185,17 @@ def test_every_pair_of_a_large_bucket_counts(spark, monkeypatch, depth):
     assert [rows[i].class_id for i in range(len(texts))] == least
 
 
+def test_links_of_few_texts_in_several_blocks(spark, monkeypatch):
+    """More blocks than texts: some block is empty, and no link counts twice."""
+    monkeypatch.setattr(jaccard, "BLOCK_SHINGLES", 20)
+    words, texts = prose(77, 80).split(), []
+    for k in range(3):
+        texts.append(" ".join([*words[:-1], f"end{k}"]))
+    rows = by_id(jaccard.near_duplicates(
+        spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")))
+    assert [(rows[i].n_links, rows[i].class_id) for i in range(3)] == [(2, 0)] * 3
+
+
 def test_runs_follow_the_depth_reached(spark, monkeypatch):
     taken, depths = [], [4, 9, 12]
     empty = spark.createDataFrame([], "a binary, b binary")

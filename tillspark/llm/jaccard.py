@@ -381,14 +381,17 @@ def _compare_cells(similarity: float):
         known = _WordHashes()
         for batch in batches:
             keys, least, counts = [], [], []
-            for cell in batch.column(0):
+            pairs = _frame(batch, "cell")
+            for pair, cell in zip(pairs, batch.column(batch.schema.get_field_index("rows"))):
                 if len(known) > 200_000:
                     known.clear()
                 rows = sorted(cell.as_py(), key=lambda x: x["key"])
+                if pair["i"] != pair["j"] and len({x["block"] for x in rows}) == 1:
+                    continue  # the other block is empty; this one has its own cell
                 sets = [np.unique(shingles(x["text"].encode("utf-8", "surrogatepass"), known))
                         for x in rows]
                 block = np.array([x["block"] for x in rows])
-                n, first = compare_cell(sets, _marks(rows), block > block.min(), similarity)
+                n, first = compare_cell(sets, _marks(rows), block > pair["i"], similarity)
                 for at in np.flatnonzero(n).tolist():
                     keys.append(rows[at]["key"])
                     least.append(rows[first[at]]["key"])
@@ -408,7 +411,7 @@ def _cells(members: DataFrame) -> DataFrame:
             .select("family", F.explode(pair).alias("cell"),
                     F.struct("key", "marks", "text", "block").alias("row"))
             .groupBy("family", "cell").agg(F.collect_list("row").alias("rows"))
-            .where(F.size("rows") > 1).select("rows"))
+            .where(F.size("rows") > 1).select("cell", "rows"))
 
 
 def components(links: DataFrame) -> DataFrame:
