@@ -20,11 +20,6 @@ from . import fixtures as fx
 
 QUERIES: dict = {}
 
-# Small settings: a check run trains several models in minutes.
-QUICK_BOOSTING = {"maxIter": 4, "maxDepth": 4, "stepSize": 0.3}
-QUICK_FOREST = {"numTrees": 8, "maxDepth": 6}
-QUICK_GRID = {"maxDepth": [2, 3], "maxIter": [2]}
-
 
 def query(fn):
     QUERIES[fn.__name__] = fn
@@ -532,7 +527,7 @@ def evaluate_metrics(spark, sf):
 
 @cache
 def _baseline(spark, sf):
-    return training.train_baseline(fx.staged_features(spark, sf), params=QUICK_BOOSTING)
+    return training.train_baseline(fx.staged_features(spark, sf))
 
 
 @query
@@ -558,14 +553,12 @@ def test_predictions(spark, sf):
 def tune_grid(spark, sf):
     rows = fx.staged_features(spark, sf)
     vectors = training.training_vectors(rows, split.select_features(rows))
-    return training.tune_boosting(vectors, QUICK_GRID, {"stepSize": 0.3}, 2).table
+    return training.tune_boosting(vectors).table
 
 
 @query
 def compare_models(spark, sf):
-    return training.compare_models(
-        fx.staged_features(spark, sf), grid=QUICK_GRID, base_params={"stepSize": 0.3},
-        forest_params=QUICK_FOREST, fixed_params=QUICK_BOOSTING, n_splits=2).table
+    return training.compare_models(fx.staged_features(spark, sf)).table
 
 
 # ---- scoring --------------------------------------------------------------------------
@@ -605,7 +598,7 @@ def _bundle(spark, sf):
     rows = fx.staged_features(spark, sf)
     result = training.train_baseline(
         rows.select("date", "product_id", "store_id", "sales_quantity", "lag_28",
-                    *fx.REQUEST_FEATURES), params=QUICK_BOOSTING)
+                    *fx.REQUEST_FEATURES))
     path = shared_path(spark, "bundle")
     training.save_bundle(spark, path, result.model, result.feature_names,
                          "boosting_baseline", metrics=result.metrics)

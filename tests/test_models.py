@@ -2,6 +2,8 @@ import datetime as dt
 import json
 import random
 
+from unittest.mock import MagicMock
+
 import pytest
 from conftest import days
 from pyspark.ml.regression import DecisionTreeRegressor
@@ -212,3 +214,24 @@ def test_missing_values_lie_below_the_training_minimum(spark):
     vectors = [r[0].toArray().tolist() for r in
                training.fit_encoder(df, ["f", "g"]).transform(df).select("features_vec").collect()]
     assert vectors == [[3.0, 1.0], [2.0, 2.0], [5.0, 3.0]]
+
+
+def test_queries_fit_the_full_settings(monkeypatch):
+    """No registered query passes settings of its own to the jobs."""
+    from checks import queries
+
+    asked = []
+
+    def job(*args, **settings):
+        asked.append((len(args), settings))
+        raise InterruptedError
+    for name in ("train_baseline", "tune_boosting", "compare_models"):
+        monkeypatch.setattr(training, name, job)
+    monkeypatch.setattr(training, "training_vectors", lambda *_: None)
+    monkeypatch.setattr(queries.split, "select_features", lambda _: [])
+    monkeypatch.setattr(queries.fx, "staged_features", lambda *_: MagicMock())
+    for fit in (queries._baseline.__wrapped__, queries.tune_grid, queries.compare_models,
+                queries._bundle.__wrapped__):
+        with pytest.raises(InterruptedError):
+            fit(None, "sf")
+    assert asked == [(1, {})] * 4
