@@ -320,6 +320,15 @@ def test_wrapped_licenses(mark, width):
                 assert licenses.wording(text[start:end]) == licenses.wording(notice)
 
 
+def test_licenses_beside_each_other():
+    """Two notices of one line, one of them with a changed word, and the rights notice."""
+    hits = licenses.Scanner().scan(
+        "Code: Released under the MIT License. Texts: This work is licensed under any GNU "
+        "General Public License, version 3. All rights reserved.")
+    assert [(name, n) for _, _, name, n in hits] == [
+        ("MIT", 0), ("GPL-3.0", 1), ("LicenseRef-All-Rights-Reserved", 0)]
+
+
 def test_url_filter(spark):
     events = spark.createDataFrame(
         [("bad.org", "2024-01-01", True), ("bad.org", "2024-02-01", False),

@@ -1,7 +1,6 @@
 import datetime as dt
 import json
 import random
-
 from unittest.mock import MagicMock
 
 import pytest

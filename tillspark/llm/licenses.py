@@ -24,7 +24,8 @@ from pyspark.sql import types as T
 
 from .common import quoted, text_map
 
-#: Short notices as they are commonly written, with their SPDX identifiers.
+#: Short notices as they are commonly written, with their SPDX identifiers. The
+#: rights notice has none, so its name is one of SPDX's own kind for others.
 TEMPLATES: dict[str, tuple[str, ...]] = {
     "Apache-2.0": (
         "Licensed under the Apache License, Version 2.0.",
@@ -52,11 +53,12 @@ TEMPLATES: dict[str, tuple[str, ...]] = {
     "CC-BY-SA-4.0": ("Licensed under CC BY-SA 4.0.",),
     "CC-BY-NC-4.0": ("Licensed under CC BY-NC 4.0.",),
     "CC-BY-ND-4.0": ("Licensed under CC BY-ND 4.0.",),
+    "LicenseRef-All-Rights-Reserved": ("All rights reserved.",),
 }
 
 TRIGGER = re.compile(
     r"(?ai:licen[sc]ed?\b|copyright\b|permission\W{1,40}is|public\W{1,40}domain|redistribut|spdx|"
-    r"free\W{1,40}software|\bCC0\b)")
+    r"free\W{1,40}software|rights\W{1,40}reserved|\bCC0\b)")
 #: The rest of a line after a hyphen, with the marks before the next line's text.
 _WRAP = r"(?<=-)[^\S\n]*\n[^\w\n]*(?=[A-Za-z0-9])"
 _WORD = re.compile(rf"[A-Za-z0-9](?:[A-Za-z0-9.+-]|{_WRAP})*")
