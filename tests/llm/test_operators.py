@@ -343,3 +343,15 @@ def test_url_filter(spark):
     got = {r.page_id: r.blocked for r in url_filter.judge(seen, events).collect()}
     assert got == {1: True, 2: False, 3: True, 4: False, 5: False, 6: False}
     assert url_filter.judge(seen.limit(0), events).count() == 0
+
+
+def test_url_list_has_all_kinds_of_entries(spark):
+    pages = spark.createDataFrame(
+        [(1, "http://a.ok.org/page?q"), (2, "http://b.ok.org/"), (3, None), (4, "none")],
+        "page_id bigint, url string")
+    events = queries._list_events(pages)
+    keys = {"a.ok.org", "b.ok.org", "ok.org", "a.ok.org/page", "b.ok.org/"}
+    assert {r.key for r in events.collect()} == keys
+    late = pages.withColumn("fetched", F.to_timestamp(F.lit("2026-01-01")))
+    got = {r.page_id: r.n_entries for r in url_filter.judge(late, events).collect()}
+    assert got == {1: 3, 2: 3, 3: 0, 4: 0}

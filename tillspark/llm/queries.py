@@ -42,13 +42,14 @@ def op3_license_compression(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def _list_events(pages: DataFrame) -> DataFrame:
-    """A dated list made of the table's own hosts and domains.
+    """A dated list made of the table's own hosts, parent domains and addresses.
 
     The digest of a name sets when it is listed, delisted and listed again.
     """
     host = url_filter.host_of(F.col("url"))
     domain = F.regexp_extract(host, r"([^.]+\.[^.]+)$", 1)
-    names = (pages.select(F.explode(F.array(host, F.concat(F.lit("x."), domain))).alias("key"))
+    address = url_filter.address_of(F.col("url"))
+    names = (pages.where(host != "").select(F.explode(F.array(host, domain, address)).alias("key"))
              .where("key != ''").distinct())
     number = lambda at: F.conv(F.substring(F.md5("key"), at, 4), 16, 10).cast("long")
     first = F.lit(1_704_067_200) + F.pmod(number(1), F.lit(300)) * 86_400
