@@ -6,12 +6,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import (
-    bpe, jaccard, licenses, mixing, pii, quality, secret_scan, simhash, url_filter, warc,
+    bpe, collocations, golay, jaccard, licenses, manifest, mixing, oracles, pii, quality,
+    secret_scan, simhash, url_filter, warc,
 )
 from .common import read_table
 
 QUERIES: dict = {}
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = dict(oracles.ORACLES)
 
 
 def query(fn):
@@ -99,3 +100,18 @@ def op9_warc_index(spark: SparkSession, sf: str) -> DataFrame:
 @query
 def op10_lexicon_bpe(spark: SparkSession, sf: str) -> DataFrame:
     return bpe.digests(read_table(spark, sf, "documents", "doc_id", "text"), vocabulary_path())
+
+
+@query
+def op11_golay_simhash(spark: SparkSession, sf: str) -> DataFrame:
+    return golay.near_duplicates(read_table(spark, sf, "documents", "doc_id", "text"))
+
+
+@query
+def op12_merkle_manifest(spark: SparkSession, sf: str) -> DataFrame:
+    return manifest.verify(manifest.build(read_table(spark, sf, "documents")))
+
+
+@query
+def op13_phrase_collocations(spark: SparkSession, sf: str) -> DataFrame:
+    return collocations.collocations(read_table(spark, sf, "documents", "lang", "text"))
