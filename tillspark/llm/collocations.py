@@ -5,11 +5,12 @@ Vertical partitioning: a suffix belongs to the partition of its first word,
 or, where that word occurs more often than the budget, of its first two words,
 and so on; one pass over the texts counts the extensions of all prefixes that
 are still too heavy. Partitions are grouped by hash so that a group expects a
-budget of suffixes. A group's sorted suffixes are the leaves of its truncated
-suffix tree in order: a walk along them keeps one path open and gives each
-branch the total of its leaves, so a group needs memory for one path only.
-Nodes above a partition's prefix have a part of their leaves in each of
-several groups, and their totals are summed at the end.
+budget of suffixes. Tasks send a group its suffixes in blocks, equal ones
+counted once, words as numbers beside the block's own list of words. A group
+is built in one task: its sorted suffixes are the leaves of its truncated
+suffix tree in order, and each node's count is the total of its leaves. Nodes
+above a partition's prefix have leaves in several groups, and their totals are
+summed at the end.
 
 Defined results: a null text counts as empty and a null language as ``und``;
 repeated rows count again; ties in a list go by score, frequency and phrase;
@@ -20,11 +21,9 @@ from __future__ import annotations
 
 from collections import Counter
 from collections.abc import Iterator
-from itertools import islice
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -43,10 +42,9 @@ _BREAKS = b".,;:!?\n\x0b\x0c\r"
 BUDGET = 1_000_000
 #: The budget rises with the table so that fewer prefixes than this exceed it.
 MOST_HEAVY = 10_000
-#: Bits of the map of frequent words; its 4 MB do not grow with the table.
-MAP_BITS = 1 << 25
-#: Suffixes that a task counts before it hands them on.
+#: Keys or suffixes that a task counts before it hands them on.
 HELD = 200_000
+SUFFIXES_HELD = 500_000
 
 #: Stands between language and words; below every byte of an escaped word.
 _GAP = b"\x00"
@@ -69,22 +67,6 @@ def pieces(text: str) -> Iterator[list[bytes]]:
             yield words
 
 
-def _bit(key: bytes) -> int:
-    return xxhash.xxh64_intdigest(key, 11) % MAP_BITS
-
-
-class _Frequent(dict):
-    """Whether a language's word may be frequent, by the map of bits."""
-
-    def __init__(self, bits: np.ndarray, lang: bytes) -> None:
-        self.bits, self.lang = bits, lang
-
-    def __missing__(self, word: bytes) -> bool:
-        at = _bit(self.lang + _GAP + word)
-        found = self[word] = bool(self.bits[at >> 3] >> (at & 7) & 1)
-        return found
-
-
 def _texts(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[bytes, str]]:
     for batch in batches:
         for at in range(0, batch.num_rows, TEXTS_AT_ONCE):
@@ -136,139 +118,183 @@ def _extensions(heavy: set[bytes]):
     return run
 
 
-def partition_prefix(suffix: bytes, heavy: set[bytes]) -> bytes:
-    """The shortest prefix of language and words that isn't heavy."""
-    end = suffix.find(_GAP, suffix.find(_GAP) + 1)
-    while end >= 0 and suffix[:end] in heavy:
-        end = suffix.find(_GAP, end + 1)
-    return suffix if end < 0 else suffix[:end]
+# ---- suffixes ------------------------------------------------------------------------
+
+class _Numbers(dict):
+    """Numbers of words from 1 on; 0 stands for the end of a piece."""
+
+    def __missing__(self, word: bytes) -> int:
+        number = self[word] = len(self) + 1
+        return number
+
+
+def _mix(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    out = (a ^ b) * np.uint64(0x9E3779B97F4A7C15)
+    return out ^ (out >> np.uint64(29))
+
+
+def _sorted_runs(columns: np.ndarray) -> np.ndarray:
+    """Order by the rows (columns) of numbers, the first one leading."""
+    bits = max(1, int(columns.max(initial=0)).bit_length())
+    per, keys = 63 // bits, []
+    for at in range(0, len(columns), per):
+        key = np.zeros(columns.shape[1], np.int64)
+        for column in columns[at:at + per]:
+            key = key << bits | column
+        keys.append(key)
+    return np.lexsort(keys[::-1])
+
+
+class HeavyPrefixes:
+    """The heavy prefixes as a trie of (parent's place, word)."""
+
+    def __init__(self, heavy: set[bytes]) -> None:
+        self.levels: list[list[tuple[int, bytes, bytes]]] = []
+        place: dict[bytes, int] = {}
+        for depth in range(1, LONGEST):
+            level = sorted(p for p in heavy if p.count(_GAP) == depth)
+            self.levels.append([(place.get(p.rpartition(_GAP)[0], 0), p.partition(_GAP)[0],
+                                 p.rpartition(_GAP)[2]) for p in level])
+            place = {p: k for k, p in enumerate(level)}
+
+    def depth(self, columns: np.ndarray, numbers: dict) -> np.ndarray:
+        """Words of each suffix's shortest prefix that isn't heavy, its end included."""
+        size = len(numbers) + 1
+        out = np.ones(columns.shape[1], np.int64)
+        rows = np.arange(columns.shape[1])
+        above = columns[0].astype(np.int64)
+        for d, level in enumerate(self.levels):
+            codes = {}
+            for k, (parent, lang, word) in enumerate(level):
+                if word in numbers and lang in numbers:
+                    codes[(parent if d else numbers[lang]) * size + numbers[word]] = k
+            if not codes or not len(rows):
+                break
+            known = np.array(sorted(codes))
+            code = above * size + columns[d + 1][rows]
+            at = np.minimum(np.searchsorted(known, code), len(known) - 1)
+            hit = known[at] == code
+            rows = rows[hit]
+            above = np.array([codes[c] for c in known.tolist()])[at[hit]]
+            out[rows] += 1
+        return out
 
 
-def suffixes(words: list[bytes], frequent: _Frequent, head: bytes) -> list[bytes]:
-    """Truncated suffixes of a piece, cut where a word can't be frequent."""
-    good = [frequent[w] for w in words]
-    out, end = [], 0
-    for k in range(len(words)):
-        if not good[k]:
-            continue
-        if end <= k:
-            end = k + 1
-        while end < len(words) and end < k + LONGEST and good[end]:
-            end += 1
-        out.append(head + _GAP.join(words[k:end]))
-    return out
+def windows(ids: list[int], langs: list[int], lengths: list[int]) -> np.ndarray:
+    """Language and five words of every suffix, one a column; 0 after the piece's end."""
+    flat = np.array([*ids, *[0] * LONGEST], np.int64)
+    n = len(ids)
+    out = np.zeros((LONGEST + 1, n), np.int64)
+    out[0] = np.repeat(np.array(langs, np.int64), lengths)
+    out[1] = flat[:n]
+    for j in range(1, LONGEST):
+        out[j + 1] = np.where(out[j] > 0, flat[j:n + j], 0)
+    return out[:, out[1] > 0]
+
+
+_BLOCK = pa.schema([("grp", pa.int64()), ("words", pa.binary()), ("ids", pa.binary()),
+                    ("wide", pa.bool_()), ("depth", pa.binary()), ("n", pa.binary())])
+
+
+def _blocks(numbers: dict, columns: np.ndarray, heavy: HeavyPrefixes,
+            groups: int) -> pa.RecordBatch:
+    """One row for each group: its different suffixes and how often each came."""
+    order = _sorted_runs(columns)
+    columns = columns[:, order]
+    new = np.ones(columns.shape[1], bool)
+    new[1:] = (columns[:, 1:] != columns[:, :-1]).any(0)
+    starts = np.flatnonzero(new)
+    count = np.diff(np.append(starts, columns.shape[1])).astype(np.uint32)
+    columns = columns[:, starts]
+    depth = heavy.depth(columns, numbers)
+    words = [b"", *numbers]
+    hashes = np.fromiter((xxhash.xxh64_intdigest(w, 5) for w in words), np.uint64, len(words))
+    mixed = hashes[columns[0]]
+    for j in range(LONGEST):
+        mixed = np.where(j < depth, _mix(mixed, hashes[columns[j + 1]]), mixed)
+    group = (mixed % np.uint64(groups)).astype(np.int64)
+    order = np.argsort(group, kind="stable")
+    group, columns, depth, count = group[order], columns[:, order], depth[order], count[order]
+    edges = [*np.flatnonzero(np.diff(group, prepend=-1)).tolist(), len(group)]
+    rows = []
+    for low, high in zip(edges, edges[1:], strict=False):
+        used, local = np.unique(columns[:, low:high], return_inverse=True)
+        if used[0] != 0:
+            used, local = np.concatenate(([0], used)), local + 1
+        wide = len(used) > 1 << 16
+        rows.append((int(group[low]), _GAP.join(words[k] for k in used[1:].tolist()),
+                     local.astype("<u4" if wide else "<u2").tobytes(), wide,
+                     depth[low:high].astype(np.uint8).tobytes(), count[low:high].tobytes()))
+    return pa.RecordBatch.from_arrays(
+        [pa.array([r[k] for r in rows], f.type) for k, f in enumerate(_BLOCK)], schema=_BLOCK)
 
 
-def _emit_suffixes(slices, heavy: set[bytes], groups: int):
+def _emit_blocks(heavy: HeavyPrefixes, groups: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bits = np.zeros(MAP_BITS // 8, np.uint8)
-        for at, piece in slices.value:
-            bits[at:at + len(piece)] = np.frombuffer(piece, np.uint8)
-        known: dict[bytes, _Frequent] = {}
-
-        def add(held: Counter) -> pa.RecordBatch:
-            group = [xxhash.xxh64_intdigest(partition_prefix(s, heavy), 5) % groups
-                     for s in held]
-            return pa.RecordBatch.from_arrays(
-                [pa.array(group, pa.int64()), pa.array(list(held), pa.binary()),
-                 pa.array(list(held.values()), pa.int64())], names=["grp", "suffix", "n"])
-
-        def keys():
-            for lang, text in _texts(batches):
-                frequent = known.setdefault(lang, _Frequent(bits, lang))
-                if len(frequent) > 200_000:
-                    frequent.clear()
-                head = lang + _GAP
-                yield [s for words in pieces(text) for s in suffixes(words, frequent, head)]
-        yield from _counted(keys(), add)
+        numbers, ids, langs, lengths = _Numbers(), [], [], []
+
+        def flush() -> Iterator[pa.RecordBatch]:
+            if ids:
+                yield _blocks(numbers, windows(ids, langs, lengths), heavy, groups)
+            for held in (numbers, ids, langs, lengths):
+                held.clear()
+
+        for lang, text in _texts(batches):
+            for words in pieces(text):
+                ids.extend(map(numbers.__getitem__, words))
+                ids.append(0)
+                langs.append(numbers[lang])
+                lengths.append(len(words) + 1)
+                if len(ids) >= SUFFIXES_HELD:
+                    yield from flush()
+        yield from flush()
     return run
 
 
-def walk(suffix_counts: Iterator[tuple[bytes, int]]) -> Iterator[tuple[bytes, int]]:
-    """(path, total) of every node of the tree whose sorted leaves are given.
-
-    The open path holds each node's number of leaves so far. Where the next
-    suffix leaves the path, the nodes below hand their totals up.
-    """
-    path: list[bytes] = []
-    totals: list[int] = []
-
-    def back(depth: int) -> Iterator[tuple[bytes, int]]:
-        while len(path) > depth:
-            total = totals.pop()
-            yield _GAP.join(path), total
-            path.pop()
-            if totals:
-                totals[-1] += total
-
-    for suffix, n in suffix_counts:
-        nodes = suffix.split(_GAP)
-        common = 0
-        for a, b in zip(path, nodes, strict=False):
-            if a != b:
-                break
-            common += 1
-        yield from back(common)
-        path += nodes[common:]
-        totals += [0] * (len(path) - len(totals))
-        totals[-1] += n
-    yield from back(0)
-
-
-def _leaves(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[bytes, int]]:
-    """Different suffixes of each batch with their number."""
-    for batch in batches:
-        if batch.num_rows:
-            runs = pc.run_end_encode(batch.column(0))
-            ends = np.asarray(runs.run_ends)
-            sums = np.add.reduceat(batch.column(1).to_numpy(), np.concatenate(([0], ends[:-1])))
-            yield from zip(runs.values.to_pylist(), sums.tolist(), strict=True)
+# ---- trees ---------------------------------------------------------------------------
 
+def node_totals(columns: np.ndarray, depth: np.ndarray, n: np.ndarray,
+                least: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(row, total) of the nodes of each depth of the tree over these suffixes.
 
-def _walk_groups(heavy: set[bytes], least: int):
-    """Totals of the nodes of this part's groups.
-
-    Only a heavy prefix (and the language) may have leaves in other groups;
+    Sorted, the suffixes are the tree's leaves in order, and a node is a run of
+    them that agree so far. Only a heavy prefix may have leaves in other groups;
     other nodes below ``least`` go no further.
     """
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        found = ((path, total) for path, total in walk(_leaves(batches))
-                 if _GAP in path and (total >= least or path in heavy))
-        while rows := list(islice(found, HELD)):
-            yield pa.RecordBatch.from_arrays(
-                [pa.array([r[0] for r in rows], pa.binary()),
-                 pa.array([r[1] for r in rows], pa.int64())], names=["key", "n"])
-    return run
-
-
-def _bitmap(words: DataFrame, least: int):
-    """Broadcast slices of the map of frequent words, fixed in size."""
-    def mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        width = 1 << 16
-        found: dict[int, set] = {}
-        for batch in batches:
-            for key in batch.column(0).to_pylist():
-                at = _bit(key)
-                found.setdefault((at >> 3) // width, set()).add(at)
-        for piece, ats in found.items():
-            bits = np.zeros(width, np.uint8)
-            for at in ats:
-                bits[(at >> 3) - piece * width] |= 1 << (at & 7)
-            yield pa.RecordBatch.from_arrays(
-                [pa.array([piece * width], pa.int64()), pa.array([bits.tobytes()], pa.binary())],
-                names=["start", "bits"])
-
-    def merge(table: pa.Table) -> pa.Table:
-        bits = np.zeros(1 << 16, np.uint8)
-        for piece in table.column("bits").to_pylist():
-            bits |= np.frombuffer(piece, np.uint8)
-        return pa.table({"start": table.column("start")[:1].combine_chunks().cast(pa.int64()),
-                         "bits": pa.array([bits.tobytes()], pa.binary())})
-
-    shape = "start bigint, bits binary"
-    slices = (words.where(F.col("n") >= least).select("key").mapInArrow(mark, shape)
-              .groupBy("start").applyInArrow(merge, shape).collect())
-    return words.sparkSession.sparkContext.broadcast([(r.start, bytes(r.bits)) for r in slices])
+    order = _sorted_runs(columns)
+    columns, total = columns[:, order], n[order]
+    new = np.zeros(columns.shape[1], bool)
+    new[:1] = True
+    new[1:] |= columns[0, 1:] != columns[0, :-1]
+    for d in range(1, LONGEST + 1):
+        new[1:] |= columns[d, 1:] != columns[d, :-1]
+        starts = np.flatnonzero(new)
+        sums = np.add.reduceat(total, starts)
+        keep = (columns[d, starts] > 0) & ((sums >= least) | (depth[order[starts]] > d))
+        yield order[starts[keep]], sums[keep]
+
+
+def _build(least: int):
+    """All nodes of a group's truncated suffix tree from its blocks."""
+    def build(table: pa.Table) -> pa.Table:
+        numbers, parts = _Numbers(), []
+        for words, ids, wide in zip(*(table.column(c).to_pylist()
+                                      for c in ("words", "ids", "wide")), strict=True):
+            own = np.array([0, *map(numbers.__getitem__, words.split(_GAP))], np.int64)
+            local = np.frombuffer(ids, "<u4" if wide else "<u2").reshape(LONGEST + 1, -1)
+            parts.append(own[local])
+        columns = np.concatenate(parts, axis=1)
+        depth = np.frombuffer(b"".join(table.column("depth").to_pylist()), np.uint8)
+        n = np.frombuffer(b"".join(table.column("n").to_pylist()), np.uint32).astype(np.int64)
+        words = [b"", *numbers]
+        keys, sums = [], []
+        for d, (rows, totals) in enumerate(node_totals(columns, depth, n, least), 1):
+            keys += [_GAP.join([words[w] for w in path])
+                     for path in columns[:d + 1, rows].T.tolist()]
+            sums.append(totals)
+        return pa.table({"key": pa.array(keys, pa.binary()),
+                         "n": pa.array(np.concatenate(sums), pa.int64())})
+    return build
 
 
 def phrase_counts(docs: DataFrame, lang: str = "lang", text: str = "text",
@@ -293,12 +319,10 @@ def phrase_counts(docs: DataFrame, lang: str = "lang", text: str = "text",
         heavy |= level
         prefixes = sums(rows.mapInArrow(_extensions(level), shape))
     groups = max(1, -(-total // budget))
-    slices = _bitmap(words, least)
-    grouped = rows.mapInArrow(_emit_suffixes(slices, heavy, groups),
-                              "grp bigint, suffix binary, n bigint")
-    # Groups share a part when there are more of them than parts.
-    counts = (grouped.repartition("grp").sortWithinPartitions("suffix").select("suffix", "n")
-              .mapInArrow(_walk_groups(heavy, least), shape))
+    blocks = rows.mapInArrow(_emit_blocks(HeavyPrefixes(heavy), groups),
+                             "grp bigint, words binary, ids binary, wide boolean, "
+                             "depth binary, n binary")
+    counts = blocks.groupBy("grp").applyInArrow(_build(least), shape)
     return stage(sums(counts).where(F.col("n") >= least), "phrases"), words
 
 
