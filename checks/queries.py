@@ -533,32 +533,32 @@ def _baseline(spark, sf):
 @query
 def train_baseline(spark, sf):
     result = _baseline(spark, sf)
-    rows = [(part, m["mae"], m["rmse"], m["r2"], result.split_sizes[part])
-            for part, m in result.metrics.items()]
+    rows = [(part, m["mae"], m["rmse"], m["r2"], result.sizes[part])
+            for part, m in result.scores.items()]
     return spark.createDataFrame(
         rows, "split string, mae double, rmse double, r2 double, n_rows bigint")
 
 
 @query
 def feature_importance(spark, sf):
-    return _baseline(spark, sf).importance
+    return _baseline(spark, sf).tables["importance"]
 
 
 @query
 def test_predictions(spark, sf):
-    return _baseline(spark, sf).test_predictions
+    return _baseline(spark, sf).tables["test_predictions"]
 
 
 @query
 def tune_grid(spark, sf):
     rows = fx.staged_features(spark, sf)
-    vectors = training.training_vectors(rows, split.select_features(rows))
-    return training.tune_boosting(vectors).table
+    features = split.select_features(rows)
+    return training.tune_boosting(training.training_rows(rows, features), features).table
 
 
 @query
 def compare_models(spark, sf):
-    return training.compare_models(fx.staged_features(spark, sf)).table
+    return training.compare_models(fx.staged_features(spark, sf)).tables["comparison"]
 
 
 # ---- scoring --------------------------------------------------------------------------
@@ -600,8 +600,8 @@ def _bundle(spark, sf):
         rows.select("date", "product_id", "store_id", "sales_quantity", "lag_28",
                     *fx.REQUEST_FEATURES))
     path = shared_path(spark, "bundle")
-    training.save_bundle(spark, path, result.model, result.feature_names,
-                         "boosting_baseline", metrics=result.metrics)
+    training.save_bundle(spark, path, result.model, result.features,
+                         "boosting_baseline", metrics=result.scores)
     return training.load_bundle(spark, path)
 
 

@@ -119,43 +119,43 @@ def test_constant_target(spark):
 # ---- one model -----------------------------------------------------------------
 
 def test_baseline(baseline, featured):
-    assert baseline.test_predictions.columns == ["date", "product_id", "actual", "predicted"]
-    assert baseline.test_predictions.count() == baseline.split_sizes["test"] == 28
-    assert sum(baseline.split_sizes.values()) == 180
-    assert set(baseline.metrics) == {"validation", "test"}
-    assert all(set(m) == {"mae", "rmse", "r2"} for m in baseline.metrics.values())
+    assert baseline.tables["test_predictions"].columns == ["date", "product_id", "actual", "predicted"]
+    assert baseline.tables["test_predictions"].count() == baseline.sizes["test"] == 28
+    assert sum(baseline.sizes.values()) == 180
+    assert set(baseline.scores) == {"validation", "test"}
+    assert all(set(m) == {"mae", "rmse", "r2"} for m in baseline.scores.values())
     naive = metrics.evaluate(featured.where(F.col("date") >= "2024-03-17"),
                              "sales_quantity", "lag_1").first()
-    assert baseline.metrics["test"]["rmse"] < naive.rmse
+    assert baseline.scores["test"]["rmse"] < naive.rmse
 
 
 def test_importance_is_ranked_and_complete(baseline):
-    got = baseline.importance.collect()
-    assert {r.feature for r in got} == set(baseline.feature_names)
+    got = baseline.tables["importance"].collect()
+    assert {r.feature for r in got} == set(baseline.features)
     weights = [r.importance for r in got]
     assert weights == sorted(weights, reverse=True)
 
 
 def test_equal_seeds_give_equal_models(baseline, featured):
     again = training.train_baseline(featured, params=FAST)
-    assert again.metrics == baseline.metrics
+    assert again.scores == baseline.scores
 
 
 def test_another_estimator(featured):
     got = training.train_baseline(featured, params={"maxDepth": 2},
                                   estimator=DecisionTreeRegressor)
-    assert got.params == {"maxDepth": 2}
-    assert got.test_predictions.count() == 28
+    assert got.settings == {"maxDepth": 2}
+    assert got.tables["test_predictions"].count() == 28
 
 
 def test_saved_files(spark, baseline, tmp_path):
     training.save_training(spark, baseline, str(tmp_path))
     bundle = training.load_bundle(spark, f"{tmp_path}/baseline_model")
-    assert bundle.feature_names == baseline.feature_names
+    assert bundle.feature_names == baseline.features
     assert bundle.metadata["target"] == "sales_quantity"
     assert {"metrics", "trained_at", "params"} <= set(bundle.metadata)
     read = spark.read.option("header", True).csv
-    assert read(f"{tmp_path}/feature_importance").count() == len(baseline.feature_names)
+    assert read(f"{tmp_path}/feature_importance").count() == len(baseline.features)
     assert read(f"{tmp_path}/test_predictions").count() == 28
 
 
@@ -171,20 +171,20 @@ def test_bundles_that_cannot_be_used(spark, tmp_path):
 # ---- comparison -----------------------------------------------------------------
 
 def test_comparison(comparison):
-    table = comparison.table.collect()
+    table = comparison.tables["comparison"].collect()
     assert {r.model for r in table} == {training.TUNED, training.FOREST, training.FIXED}
     assert all(r.training_time_seconds >= 0 for r in table)
     best = max(table, key=lambda r: r.validation_r2)
-    assert comparison.winner_name == best.model
-    assert (comparison.winner_params is not None) == (best.model == training.TUNED)
+    assert comparison.name == best.model
+    assert (comparison.settings is not None) == (best.model == training.TUNED)
     assert comparison.dropped_rows == 56
-    assert sum(comparison.split_sizes.values()) == 180 - 56
-    assert comparison.test_predictions.count() == comparison.split_sizes["test"]
+    assert sum(comparison.sizes.values()) == 180 - 56
+    assert comparison.tables["test_predictions"].count() == comparison.sizes["test"]
 
 
 def test_best_settings_are_saved_only_for_the_tuned_model(spark, comparison, tmp_path):
     for name, params in ((training.TUNED, {"maxDepth": 3}), (training.FOREST, None)):
-        comparison.winner_name, comparison.winner_params = name, params
+        comparison.name, comparison.settings = name, params
         training.save_comparison(spark, comparison, f"{tmp_path}/{name}")
         assert (tmp_path / name / "best_params").exists() == (params is not None)
         assert training.load_bundle(spark, f"{tmp_path}/{name}/best_model").model_type == name
@@ -204,7 +204,7 @@ def test_winner_rule(spark):
 def test_grid_is_capped(featured):
     big = {"maxIter": [1, 2, 3, 4, 5], "maxDepth": [2, 3, 4, 5, 6]}
     with pytest.raises(TrainingInputError, match="maximum"):
-        training.tune_boosting(featured, big)
+        training.tune_boosting(featured, [], big)
     assert len(training.grid_points(training.BOOSTING_GRID)) == 12
 
 
@@ -226,11 +226,11 @@ def test_queries_fit_the_full_settings(monkeypatch):
         raise InterruptedError
     for name in ("train_baseline", "tune_boosting", "compare_models"):
         monkeypatch.setattr(training, name, job)
-    monkeypatch.setattr(training, "training_vectors", lambda *_: None)
+    monkeypatch.setattr(training, "training_rows", lambda *_: None)
     monkeypatch.setattr(queries.split, "select_features", lambda _: [])
     monkeypatch.setattr(queries.fx, "staged_features", lambda *_: MagicMock())
     for fit in (queries._baseline.__wrapped__, queries.tune_grid, queries.compare_models,
                 queries._bundle.__wrapped__):
         with pytest.raises(InterruptedError):
             fit(None, "sf")
-    assert asked == [(1, {})] * 4
+    assert asked == [(1, {}), (2, {}), (1, {}), (1, {})]

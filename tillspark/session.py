@@ -4,10 +4,13 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+import zipfile
 from collections.abc import Iterator
 from contextlib import contextmanager
 from functools import cache
+from pathlib import Path
 
+from pyspark import SparkFiles
 from pyspark.sql import DataFrame, SparkSession
 
 CHECKPOINT_SETTING = "spark.checkpoint.dir"
@@ -63,6 +66,24 @@ def shared_path(spark: SparkSession, name: str) -> str:
     return f"{root.rstrip('/')}/tillspark/{name}-{uuid.uuid4().hex}"
 
 
+def ship(spark: SparkSession) -> None:
+    """Give the package to the Python workers, once for each Spark context.
+
+    A worker may start where the driver's import path means nothing.
+    """
+    sc = spark.sparkContext
+    if getattr(sc, "_tillspark_given", False):
+        return
+    package = Path(__file__).resolve().parent
+    archive = Path(SparkFiles.getRootDirectory()) / "given" / f"{package.name}.zip"
+    archive.parent.mkdir(parents=True, exist_ok=True)
+    with zipfile.ZipFile(archive, "w") as z:
+        for file in sorted(package.rglob("*.py")):
+            z.write(file, str(file.relative_to(package.parent)))
+    sc.addPyFile(str(archive))
+    sc._tillspark_given = True
+
+
 def stage(df: DataFrame, name: str, path: str | None = None) -> DataFrame:
     """Write ``df`` once as a table in the shared folder and read it back.
 
