@@ -320,6 +320,8 @@ oracle("join_weekly_price", f"""SELECT item_id, store_id, {DAY}, wm_yr_wk,
   q AS sales_quantity, sell_price FROM wpriced""")
 oracle("drop_prelaunch", f"""SELECT item_id, store_id, {DAY}, q AS sales_quantity, sell_price
   FROM wpriced WHERE sell_price IS NOT NULL""")
+oracle("prelaunch_count", """SELECT count(*) AS n_cells,
+  count(*) FILTER (WHERE sell_price IS NULL) AS n_prelaunch FROM wpriced""")
 oracle("canonical_project", "SELECT * FROM wcanon")
 oracle("prepare_subset", """SELECT c.* FROM wcanon c WHERE store_id = 'CA_1'
   AND product_id IN (SELECT item_id FROM wlong WHERE store_id = 'CA_1' AND cat_id = 'FOODS'
@@ -448,6 +450,8 @@ KEY = "date, product_id, store_id"
 oracle("calendar_features", f"SELECT {KEY}, {CALENDAR} FROM series")
 oracle("lag_features", f"SELECT {KEY}, sales_quantity, {LAGS} FROM dense")
 oracle("rolling_features", f"SELECT {KEY}, sales_quantity, {ROLLING} FROM dense")
+oracle("rolling_fractions", f"""SELECT {KEY}, sales_quantity, {ROLLING} FROM (
+  SELECT * REPLACE (sales_quantity / 10.0::DOUBLE + 1000.0::DOUBLE AS sales_quantity) FROM dense)""")
 oracle("rolling_median", f"SELECT {KEY}, sales_quantity, {MEDIANS} FROM dense")
 oracle("expanding_mean", f"SELECT {KEY}, sales_quantity, {EXPANDING} FROM dense")
 oracle("price_change", f"SELECT {KEY}, {CHANGE} FROM dc")

@@ -104,6 +104,12 @@ def drop_prelaunch(spark, sf):
         "item_id", "store_id", "d", "sales_quantity", "sell_price")
 
 
+@query
+def prelaunch_count(spark, sf):
+    return sources.prelaunch_count(
+        fx.wide(spark, sf), fx.wide_calendar(spark, sf), fx.wide_prices(spark, sf))
+
+
 @query
 def canonical_project(spark, sf):
     return sources.canonical_sales(sources.drop_prelaunch(_priced(spark, sf)))
@@ -296,6 +302,17 @@ def rolling_features(spark, sf):
     return _rounded(features.rolling_features(_plain(spark, sf), median_windows=()))
 
 
+def _tenths(spark, sf):
+    """Fractional demand: a large base, so that sums of squares would not do."""
+    return _plain(spark, sf).withColumn(
+        "sales_quantity", F.col("sales_quantity") / F.lit(10.0) + F.lit(1000.0))
+
+
+@query
+def rolling_fractions(spark, sf):
+    return _rounded(features.rolling_features(_tenths(spark, sf), median_windows=()))
+
+
 @query
 def rolling_median(spark, sf):
     return features.rolling_median(_plain(spark, sf))

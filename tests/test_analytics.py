@@ -1,5 +1,6 @@
 import datetime as dt
 import math
+import statistics
 
 import pytest
 from conftest import days
@@ -236,3 +237,13 @@ def test_event_frequency(frame):
         F.col("event_name") != "none", F.col("event_name")))
     assert [tuple(r) for r in inspect.event_frequency(raw).collect()] == [
         ("SuperBowl", 2, 10.0, 50.0)]
+
+
+def test_deviation_of_fractional_demand(spark):
+    sales = [1e6 + x for x in (0.1, 0.4, 0.9, 0.2, 0.2)]
+    rows = [(d, "P", s, q) for s in ("S1", "S2") for d, q in zip(days("2024-01-01", 5), sales)]
+    df = spark.createDataFrame(
+        rows, "date date, product_id string, store_id string, sales_quantity double")
+    got = an.product_metrics(df).first()
+    assert got.std_daily_units == round(statistics.stdev(sales * 2), 3)
+    assert got.avg_daily_units == round(statistics.fmean(sales), 3)

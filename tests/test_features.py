@@ -190,3 +190,44 @@ def test_optional_columns_may_be_absent(series):
     out, names = ft.build_features(series([1, 2, 3]).drop("price", "event_name", "store_id"))
     assert "price_change" not in names and "has_named_event" not in names
     assert values(out, "lag_1") == [None, 1, 2]
+
+
+def fractional(spark, sales, start="2024-01-01"):
+    return spark.createDataFrame(
+        [(d, "P1", "S1", q) for d, q in zip(days(start, len(sales)), sales)],
+        "date date, product_id string, store_id string, sales_quantity double")
+
+
+def test_rolling_figures_of_fractions_do_not_drift(spark):
+    sales = [1e9] * 5 + [0.4] * 8 + [0.1, 0.7]
+    out = ft.rolling_features(fractional(spark, sales), (7,), (7,))
+    assert values(out, "rolling_mean_7")[12] == 0.4
+    assert values(out, "rolling_std_7")[12] == 0.0
+    want = statistics.stdev([0.4] * 6 + [0.1])
+    assert values(out, "rolling_std_7")[14] == pytest.approx(want, rel=1e-12)
+    assert values(out, "rolling_median_7")[14] == 0.4
+
+
+def test_rolling_figures_of_random_fractions(spark):
+    rng = random.Random(4)
+    sales = [rng.choice([rng.random(), 1e6 + rng.random(), None, float("nan")])
+             if i < 40 else rng.random() for i in range(120)]
+    out = ft.rolling_features(fractional(spark, sales), (7, 14), ())
+    for w in (7, 14):
+        mean, std = values(out, f"rolling_mean_{w}"), values(out, f"rolling_std_{w}")
+        for i in range(len(sales)):
+            last = [x for x in sales[max(0, i - w):i] if x is not None and x == x]
+            if len(last) < w:
+                assert mean[i] is None and std[i] is None
+            else:
+                assert mean[i] == pytest.approx(statistics.fmean(last), rel=1e-12)
+                assert std[i] == pytest.approx(statistics.stdev(last), rel=1e-9)
+
+
+def test_features_of_fractional_demand(spark):
+    table, names = ft.build_features(fractional(spark, [i / 10 for i in range(40)]))
+    row = table.orderBy(F.desc("date")).first()
+    last = [i / 10 for i in range(32, 39)]
+    assert row.rolling_mean_7 == pytest.approx(statistics.fmean(last))
+    assert row.rolling_std_7 == pytest.approx(statistics.stdev(last))
+    assert row.rolling_max_7 == 3.8

@@ -6,7 +6,8 @@ from pyspark.sql import functions as F
 from tillspark import sources
 from tillspark.operators import validate
 from tillspark.operators.scoring import validate_requests
-from tillspark.schema import RequestError
+from tillspark.plans import jobs
+from tillspark.schema import DataQualityError, RequestError
 
 WIDE = "item_id string, cat_id string, store_id string, state_id string, " \
        "d_1 bigint, d_2 bigint, d_3 bigint"
@@ -201,3 +202,38 @@ def test_csv_quotes_and_line_breaks(spark, tmp_path):
     sources.write_csv(back, str(tmp_path / "out"))
     again = sources.read_sales_csv(spark, str(tmp_path / "out"), multi_line=True)
     assert sorted(again.collect()) == sorted(back.collect())
+
+
+def test_raw_cells_without_a_number_are_counted(spark, tmp_path):
+    (tmp_path / "sales_train_evaluation.csv").write_text(
+        "item_id,cat_id,store_id,state_id,d_1,d_2,d_3\n"
+        "A,FOODS,CA_1,CA,3.0,x,4\nB,FOODS,CA_1,CA,,1d,5\n")
+    (tmp_path / "calendar.csv").write_text(
+        "d,date,wm_yr_wk,event_name_1,snap_CA\nd_1,2024-01-01,1,,0\n"
+        "d_2,2024-01-02,1,,1\nd_3,2024-01-08,2,,zero\n")
+    (tmp_path / "sell_prices.csv").write_text(
+        "store_id,item_id,wm_yr_wk,sell_price\nCA_1,A,1,2.5\nCA_1,B,2,3\nCA_1,A,2,free\n")
+    wide, calendar, prices = sources.read_raw_files(spark, str(tmp_path))
+    assert [(r.d_1, r.d_2, r.d_3) for r in wide.orderBy("item_id").collect()] == [
+        (3, None, 4), (None, None, 5)]
+    found = {r.file: (r.n_rows, r.n_cells, r.n_unreadable)
+             for r in sources.unreadable_cells(spark, str(tmp_path)).collect()}
+    assert found == {"sales": (2, 5, 2), "calendar": (3, 6, 1), "prices": (3, 6, 1)}
+    # A has a price in week 1 of two days, B in week 2 of one.
+    assert jobs.preparation_counts(spark, str(tmp_path)) == {
+        "unreadable_sales": 2, "unreadable_calendar": 1, "unreadable_prices": 1,
+        "n_cells": 6, "n_prelaunch": 3}
+    assert sources.prepare_subset(wide, calendar, prices).count() == 3
+    with pytest.raises(DataQualityError, match="sales: no number in 2 of 5"):
+        jobs.prepare(spark, str(tmp_path), str(tmp_path / "out"))
+
+
+def test_prelaunch_count_equals_the_dropped_rows(raw):
+    wide, calendar, prices = raw
+    counted = sources.prelaunch_count(wide, calendar, prices).first()
+    dated = sources.join_calendar(sources.melt_wide(wide), calendar, "CA")
+    priced = sources.join_weekly_price(dated, prices)
+    assert counted.n_cells == priced.count()
+    assert counted.n_prelaunch == priced.where("sell_price IS NULL").count()
+    none = sources.prelaunch_count(wide.limit(0), calendar, prices).first()
+    assert (none.n_cells, none.n_prelaunch) == (0, 0)

@@ -26,6 +26,7 @@ def main() -> None:
     spark = get_spark("tillspark", args.master)
     if args.job == "prepare":
         jobs.prepare(spark, args.input, args.output, args.store, args.category, args.top_n)
+        print(jobs.preparation_counts(spark, args.input, args.store, args.category, args.top_n))
     elif args.job == "inspect":
         result, tables = jobs.first_look(spark, args.input)
         print(result.summary())

@@ -44,6 +44,28 @@ def to_number(df: DataFrame, name: str) -> Column:
     return num
 
 
+def plain_number(df: DataFrame, name: str) -> Column:
+    """Text that holds a number in its shortest plain form (``5.0`` and `` 5``
+    become ``5``); other text and other types stay as they are.
+
+    Decimals rather than doubles, so that no two different numbers of up to 20
+    digits before and 18 behind the point look alike; longer ones stay as written.
+    """
+    col = F.col(name)
+    if not isinstance(_type(df, name), T.StringType):
+        return col
+    exact = col.try_cast("decimal(38,18)")
+    digits = F.regexp_replace(exact.cast("string"), r"^([^E]*?)\.?0+$", "$1")
+    return (F.when(~F.coalesce(col.rlike(NUMBER_PATTERN), F.lit(False)) | exact.isNull()
+                   | (exact.cast("double") != col.try_cast("double")), col)
+            .when(exact == 0, F.lit("0")).otherwise(digits))
+
+
+def is_fraction(df: DataFrame, name: str) -> bool:
+    """Whether the column's type can hold fractions."""
+    return isinstance(_type(df, name), T.FractionalType)
+
+
 def to_date(df: DataFrame, name: str = "date", fmt: str = DATE_FORMAT) -> Column:
     """The column as date; text not written in ``fmt`` becomes NULL."""
     col = F.col(name)

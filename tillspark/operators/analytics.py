@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..functions import np_round, quotient, settled, units
+from ..functions import is_fraction, np_round, quotient, settled, units
 from ..schema import (
     ANALYTICS_COLUMNS, NO_EVENT, AnalyticsInputError, flag_columns,
     missing_columns, series_columns,
@@ -152,7 +152,9 @@ def product_metrics(df: DataFrame, ordered: bool = True) -> DataFrame:
 
     Rows are first reduced per series and name with plain sums, which hash
     aggregation holds in place; the name of the earliest row and the
-    deviation then come from one row per series.
+    deviation then come from one row per series. The squares of fractional
+    demand do not add up exactly; its deviation is merged from partial moments
+    of the rows, a second aggregation by product.
     """
     real = real_rows(df).where(F.col("product_id").isNotNull())
     keys = series_columns(real)
@@ -170,6 +172,9 @@ def product_metrics(df: DataFrame, ordered: bool = True) -> DataFrame:
     # Whole numbers keep the difference of the two large terms exact.
     gap = (whole("n") * whole("t") - whole("s") * whole("s")).cast("double")
     std = F.sqrt(quotient(gap, n.cast("double") * (n - 1)))
+    if is_fraction(real, "sales_quantity"):
+        spread = real.groupBy("product_id").agg(F.stddev_samp(q.cast("double")).alias("_std"))
+        series, std = series.join(spread, "product_id"), F.first("_std")
     place = F.struct(*keys[1:], "date")
     named = [F.min_by(c, F.when(F.col(c).isNotNull(), place)).alias(c) for c in name]
     out = series.groupBy("product_id").agg(

@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..functions import calendar_columns, quotient
+from ..functions import calendar_columns, is_fraction, quotient
 from ..schema import (
     FEATURE_COLUMNS, NO_EVENT, FeatureInputError, missing_columns,
     series_columns,
@@ -122,15 +122,24 @@ def lag_features(df: DataFrame, lags=DEFAULT_LAGS) -> DataFrame:
     return df.withColumns(_lags(_Frames.of(df), lags))
 
 
-def _rolling_inputs(fr: _Frames, windows, median_windows) -> dict[str, Column]:
+def _demand(df: DataFrame) -> Column:
+    """Sales, with NaN as missing."""
+    q = F.col("sales_quantity")
+    if isinstance(df.schema["sales_quantity"].dataType, (T.DoubleType, T.FloatType)):
+        return F.when(~F.isnan(q), q.cast("double"))
+    return q.cast("double") if is_fraction(df, "sales_quantity") else q
+
+
+def _rolling_inputs(df: DataFrame, fr: _Frames, windows, median_windows) -> dict[str, Column]:
     """Running totals up to yesterday, and the last values as a list.
 
     Running frames cost one update per row whatever the window length; a
-    window's total is the difference of two of them.
+    window's total is the difference of two of them. That is exact for whole
+    units; the figures of fractional demand come from the list of last values.
     """
-    q = F.col("sales_quantity")
+    q = _demand(df)
     out = {"_n": F.count(q).over(fr.before), "_s": F.sum(q).over(fr.before)}
-    if windows:
+    if windows and not is_fraction(df, "sales_quantity"):
         out["_t"] = F.sum(q * q).over(fr.before)
     longest = max([*windows, *median_windows], default=0)
     if longest:
@@ -138,11 +147,11 @@ def _rolling_inputs(fr: _Frames, windows, median_windows) -> dict[str, Column]:
     return out
 
 
-def _rolling_differences(fr: _Frames, windows, median_windows) -> dict[str, Column]:
+def _rolling_differences(df: DataFrame, fr: _Frames, windows, median_windows) -> dict[str, Column]:
     out = {}
     for w in sorted({*windows, *median_windows}):
         for c in ("_n", "_s", "_t"):
-            if c == "_n" or w in windows:
+            if c == "_n" or w in windows and not is_fraction(df, "sales_quantity"):
                 out[f"{c}{w}"] = F.coalesce(F.col(c), F.lit(0)) - F.coalesce(
                     F.lag(c, w).over(fr.order), F.lit(0))
         # A full window of values means that the tail of the list is it.
@@ -151,13 +160,31 @@ def _rolling_differences(fr: _Frames, windows, median_windows) -> dict[str, Colu
     return out
 
 
-def _rolling_outputs(windows, median_windows) -> dict[str, Column]:
+def _listed_moments(ordered: Column, w: int) -> tuple[Column, Column]:
+    """Mean and sample variance of a full list, from distances to its middle
+    and then to the mean: no large terms are subtracted."""
+    middle = ordered[w // 2]
+    mean = middle + F.aggregate(
+        ordered, F.lit(0.0), lambda done, x: done + (x - middle)) / F.lit(float(w))
+    start = F.struct(F.lit(0.0).alias("sum"), mean.alias("mean"))
+    squares = F.aggregate(
+        ordered, start, lambda done, x: F.struct(
+            (done["sum"] + (x - done["mean"]) * (x - done["mean"])).alias("sum"),
+            done["mean"].alias("mean")), lambda done: done["sum"])
+    return mean, squares / F.lit(float(w - 1))
+
+
+def _rolling_outputs(df: DataFrame, windows, median_windows) -> dict[str, Column]:
     out = {}
     for w in windows:
-        full = F.col(f"_n{w}") == w
-        s, t, ordered = F.col(f"_s{w}"), F.col(f"_t{w}"), F.col(f"_sorted{w}")
-        spread = (w * t - s * s).cast("double") / float(w * (w - 1))
-        out[f"rolling_mean_{w}"] = F.when(full, s / F.lit(float(w)))
+        full, ordered = F.col(f"_n{w}") == w, F.col(f"_sorted{w}")
+        if is_fraction(df, "sales_quantity"):
+            mean, spread = _listed_moments(ordered, w)
+        else:
+            s, t = F.col(f"_s{w}"), F.col(f"_t{w}")
+            mean = s / F.lit(float(w))
+            spread = (w * t - s * s).cast("double") / float(w * (w - 1))
+        out[f"rolling_mean_{w}"] = F.when(full, mean)
         out[f"rolling_std_{w}"] = F.when(full, F.sqrt(spread))
         out[f"rolling_min_{w}"] = ordered[0].cast("double")
         out[f"rolling_max_{w}"] = ordered[w - 1].cast("double")
@@ -171,8 +198,8 @@ def _rolling_outputs(windows, median_windows) -> dict[str, Column]:
 def _with_rolling(df: DataFrame, fr: _Frames, windows, median_windows,
                   first: dict[str, Column]) -> DataFrame:
     """Adds the inputs together with ``first``, then the window totals."""
-    return (df.withColumns({**first, **_rolling_inputs(fr, windows, median_windows)})
-            .withColumns(_rolling_differences(fr, windows, median_windows)))
+    return (df.withColumns({**first, **_rolling_inputs(df, fr, windows, median_windows)})
+            .withColumns(_rolling_differences(df, fr, windows, median_windows)))
 
 
 def rolling_features(df: DataFrame, windows=DEFAULT_WINDOWS,
@@ -183,7 +210,7 @@ def rolling_features(df: DataFrame, windows=DEFAULT_WINDOWS,
     """
     check_settings((), (*windows, *median_windows))
     wide = _with_rolling(df, _Frames.of(df), windows, median_windows, {})
-    out = _rolling_outputs(windows, median_windows)
+    out = _rolling_outputs(df, windows, median_windows)
     return wide.select(*df.columns, *[c.alias(n) for n, c in out.items()])
 
 
@@ -251,7 +278,7 @@ def build_features(df: DataFrame, lags=DEFAULT_LAGS, windows=DEFAULT_WINDOWS,
 
     out = dict(calendar_columns(F.col("date")))
     out.update({n: F.col(n) for n in first})
-    out.update(_rolling_outputs(windows, median_windows))
+    out.update(_rolling_outputs(df, windows, median_windows))
     out["expanding_mean"] = quotient(F.col("_s"), F.col("_n"))
     out.update({n: F.col(n) for n in prices})
     if "event_name" in df.columns:

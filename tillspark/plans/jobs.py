@@ -11,19 +11,40 @@ from pyspark.sql import DataFrame, SparkSession
 from .. import sources
 from ..operators import analytics, clean, features, inspect
 from ..operators.validate import ValidationResult, validate_sales
+from ..schema import MAX_UNREADABLE_FRACTION, DataQualityError
 from . import training
 from .cleaning import preprocess_sales
 
 
 def prepare(spark: SparkSession, raw_dir: str, output: str, store_id: str | None = None,
             category: str | None = None, top_n: int | None = None) -> DataFrame:
-    """Raw wide files to a sales table; all of them unless a subset is asked for."""
+    """Raw wide files to a sales table; all of them unless a subset is asked for.
+
+    A file of which more than ``MAX_UNREADABLE_FRACTION`` of the filled cells
+    hold no number is an error.
+    """
+    for file in sources.unreadable_cells(spark, raw_dir).collect():
+        if file["n_unreadable"] > MAX_UNREADABLE_FRACTION * file["n_cells"]:
+            raise DataQualityError([
+                f"{file['file']}: no number in {file['n_unreadable']:,} of "
+                f"{file['n_cells']:,} cells."])
     table = sources.prepare_subset(*sources.read_raw_files(spark, raw_dir),
                                    store_id, category, top_n)
     sources.write_parquet(table, output)
     return sources.read_sales_parquet(spark, output)
 
 
+def preparation_counts(spark: SparkSession, raw_dir: str, store_id: str | None = None,
+                       category: str | None = None, top_n: int | None = None) -> dict[str, int]:
+    """What ``prepare`` leaves out: cells without a number by file, and the
+    cells before an item's launch."""
+    wide, calendar, prices = sources.read_raw_files(spark, raw_dir)
+    kept = sources.subset_of(wide, store_id, category, top_n)
+    out = {f"unreadable_{r['file']}": r["n_unreadable"]
+           for r in sources.unreadable_cells(spark, raw_dir).collect()}
+    return out | sources.prelaunch_count(kept, calendar, prices).first().asDict()
+
+
 def first_look(spark: SparkSession, path: str) -> tuple[ValidationResult, dict[str, DataFrame]]:
     """Validation and the first figures of a sales table."""
     df = sources.read_sales_parquet(spark, path)

@@ -21,6 +21,7 @@ FLAG_COLUMNS = ("holiday", "snap_day", "promotion")
 NO_EVENT = "none"
 TARGET = "sales_quantity"
 MISSING_WARN_FRACTION = 0.05
+MAX_UNREADABLE_FRACTION = 0.05  # of the filled numeric cells of a raw file
 MAX_BAD_DATE_FRACTION = 0.05
 IQR_MULTIPLIER = 3.0
 STD_MULTIPLIER = 4.0

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions import to_date, to_number
+from ..functions.columns import NUMBER_PATTERN
 from ..schema import DATE_FORMAT, MISSING_TEXT, SALES_TYPES, series_columns
 
 # ---- fixed values: names of the raw files, first sales file found wins ----
@@ -75,9 +76,7 @@ def _read_if_there(spark: SparkSession, path: str) -> DataFrame | None:
         raise
 
 
-def read_raw_files(spark: SparkSession, raw_dir: str,
-                   ) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """The wide sales matrix, the calendar and the weekly prices."""
+def _raw_texts(spark: SparkSession, raw_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
     base = raw_dir.rstrip("/")
     tables = (_read_if_there(spark, f"{base}/{n}") for n in RAW_SALES_FILES)
     sales = next((t for t in tables if t is not None), None)
@@ -90,16 +89,52 @@ def read_raw_files(spark: SparkSession, raw_dir: str,
         if table is None:
             raise FileNotFoundError(f"missing raw file {base}/{name}")
         rest.append(table)
-    sales = sales.withColumns({
-        c: F.col(c).try_cast("bigint") for c in sales.columns
-        if c.startswith("d_")})
-    calendar = rest[0].withColumns({
-        c: F.col(c).try_cast("int") for c in rest[0].columns
-        if c.startswith("snap_") or c == "wm_yr_wk"})
-    prices = rest[1].withColumns({
-        "sell_price": F.col("sell_price").try_cast("double"),
-        "wm_yr_wk": F.col("wm_yr_wk").try_cast("int")})
-    return sales, calendar, prices
+    return sales, *rest
+
+
+def _whole_columns(df: DataFrame) -> list[str]:
+    """Columns of a raw file that hold whole numbers."""
+    return [c for c in df.columns if c.startswith(("d_", "snap_")) or c == "wm_yr_wk"]
+
+
+def read_raw_files(spark: SparkSession, raw_dir: str,
+                   ) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """The wide sales matrix, the calendar and the weekly prices.
+
+    ``3.0`` is a whole number. Cells that hold no number become NULL;
+    ``unreadable_cells`` counts them.
+    """
+    sales, calendar, prices = (
+        t.withColumns({c: F.coalesce(F.col(c).try_cast("bigint"),
+                                     to_number(t, c).try_cast("bigint"))
+                       for c in _whole_columns(t)})
+        for t in _raw_texts(spark, raw_dir))
+    return (sales, calendar.withColumns({c: F.col(c).try_cast("int")
+                                         for c in _whole_columns(calendar)}),
+            prices.withColumns({"sell_price": to_number(prices, "sell_price"),
+                                "wm_yr_wk": F.col("wm_yr_wk").try_cast("int")}))
+
+
+def unreadable_cells(spark: SparkSession, raw_dir: str) -> DataFrame:
+    """One row per raw file: its rows, filled numeric cells, and how many of
+    these hold no number.
+
+    The cells of a row travel as one array, so a matrix of years needs one
+    expression, not one per day.
+    """
+    out = None
+    for name, df in zip(("sales", "calendar", "prices"), _raw_texts(spark, raw_dir), strict=True):
+        cols = [c for c in df.columns if c in _whole_columns(df) or c == "sell_price"]
+        cells = F.expr("array(" + ", ".join(f"`{c}`" for c in cols) + ")").cast("array<string>")
+        number = lambda x: x.try_cast("bigint").isNotNull() | x.rlike(NUMBER_PATTERN)
+        n = df.select(
+            F.size(F.filter(cells, lambda x: x.isNotNull())).alias("filled"),
+            F.size(F.filter(cells, lambda x: x.isNotNull() & ~number(x))).alias("bad"))
+        row = n.agg(F.lit(name).alias("file"), F.count(F.lit(1)).alias("n_rows"),
+                    F.coalesce(F.sum("filled"), F.lit(0)).cast("bigint").alias("n_cells"),
+                    F.coalesce(F.sum("bad"), F.lit(0)).cast("bigint").alias("n_unreadable"))
+        out = row if out is None else out.unionByName(row)
+    return out
 
 
 def write_parquet(df: DataFrame, path: str, mode: str = "overwrite") -> None:

@@ -92,6 +92,30 @@ def drop_prelaunch(priced: DataFrame) -> DataFrame:
     return priced.where(F.col("sell_price").isNotNull())
 
 
+def prelaunch_count(wide: DataFrame, calendar: DataFrame, prices: DataFrame) -> DataFrame:
+    """One row: cells of the matrix, and those that ``drop_prelaunch`` drops.
+
+    Counted from items, weeks and prices without the melt: a priced week keeps
+    as many cells of an item as it has days in the matrix. Every table is reduced
+    before its join; repeated rows of the matrix count each, repeated calendar
+    days or prices once.
+    """
+    days = F.array(*[F.lit(d) for d in day_columns(wide)])
+    weeks = (calendar.where(F.array_contains(days, F.col("d"))).dropDuplicates(["d"])
+             .groupBy("wm_yr_wk").agg(F.count(F.lit(1)).alias("n_days")))
+    priced = (prices.where(F.col("sell_price").isNotNull())
+              .select("store_id", "item_id", "wm_yr_wk").distinct()
+              .join(weeks, "wm_yr_wk").groupBy("store_id", "item_id")
+              .agg(F.sum("n_days").alias("n_kept")))
+    items = wide.groupBy("store_id", "item_id").agg(F.count(F.lit(1)).alias("n_lines"))
+    return (items.join(priced, ["store_id", "item_id"], "left")
+            .agg(F.coalesce(F.sum("n_lines"), F.lit(0)).alias("lines"),
+                 F.coalesce(F.sum(F.col("n_lines") * F.col("n_kept")), F.lit(0)).alias("kept"))
+            .select((F.col("lines") * len(day_columns(wide))).alias("n_cells"),
+                    (F.col("lines") * len(day_columns(wide)) - F.col("kept"))
+                    .alias("n_prelaunch")))
+
+
 def canonical_sales(priced: DataFrame) -> DataFrame:
     """The columns of the sales model in their order."""
     return priced.select(
@@ -107,6 +131,16 @@ def canonical_sales(priced: DataFrame) -> DataFrame:
         "store_id")
 
 
+def subset_of(wide: DataFrame, store_id: str | None = None, category: str | None = None,
+              top_n: int | None = None) -> DataFrame:
+    """The rows of the matrix that a preparation asks for."""
+    kept = filter_wide(wide, store_id, category)
+    if kept is not wide and kept.limit(1).isEmpty():
+        raise ValueError(
+            f"no rows for store_id={store_id!r} and category={category!r}")
+    return kept if top_n is None else top_items(kept, top_n)
+
+
 def prepare_subset(wide: DataFrame, calendar: DataFrame, prices: DataFrame,
                    store_id: str | None = None,
                    category: str | None = None,
@@ -116,12 +150,7 @@ def prepare_subset(wide: DataFrame, calendar: DataFrame, prices: DataFrame,
     Everything is converted unless a store, a category or a number of items
     is asked for. A subset without rows is an error.
     """
-    kept = filter_wide(wide, store_id, category)
-    if kept is not wide and kept.limit(1).isEmpty():
-        raise ValueError(
-            f"no rows for store_id={store_id!r} and category={category!r}")
-    if top_n is not None:
-        kept = top_items(kept, top_n)
+    kept = subset_of(wide, store_id, category, top_n)
     state = store_id.split("_")[0] if store_id is not None else None
     dated = join_calendar(melt_wide(kept), calendar, state)
     return canonical_sales(drop_prelaunch(join_weekly_price(dated, prices)))
