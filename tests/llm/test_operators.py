@@ -268,6 +268,33 @@ def test_warc(spark):
     assert warc.archive_pages(pages.limit(0)).count() == 0
 
 
+def test_archives_are_bound_by_bytes(spark, tmp_path):
+    rng = random.Random(8)
+    sizes = [rng.choice([0, 40, 90, 100, 101, 350, 900, 5000]) for _ in range(300)]
+    rows = [(k, f"http://h{k % 7}.org/{k}", f"{k % 250}" + "é" * (n // 2))
+            for k, n in enumerate(sizes)]
+    pages = spark.createDataFrame(rows, "page_id bigint, url string, html string").repartition(2)
+    path = str(tmp_path / "warc")
+    warc.write_archives(pages, path, archive_bytes=1000, limits=(100, 400, 1600))
+    found = warc.read_runs(spark, path)
+    held = found.where("record_type = 'response'").groupBy("archive").agg(
+        F.sum("payload_bytes").alias("bytes"), F.count(F.lit(1)).alias("n")).collect()
+    assert all(r.bytes <= 1000 or r.n == 1 for r in held) and max(r.n for r in held) > 1
+    merged = warc.merge_runs(found, range_bytes=2000).collect()
+    assert sorted(r.page_id for r in merged) == list(range(300))
+    assert all(r.verified for r in merged)
+    order = [(r.url_key, r.time, r.page_id) for r in merged]
+    assert order == sorted(order)
+    text = {k: html for k, _, html in rows}
+    assert {r.page_id: r.payload_bytes for r in merged} == {
+        k: len(t.encode()) for k, t in text.items()}
+    least = {}
+    for k in sorted(text):
+        least.setdefault(text[k], k)
+    assert {r.page_id: r.refers_to for r in merged} == {
+        k: None if least[t] == k else least[t] for k, t in text.items()}
+
+
 def test_loser_tree():
     rng = random.Random(3)
     for k in range(9):

@@ -112,4 +112,25 @@ FROM (SELECT o.* FROM lowest o LEFT JOIN inside i ON i.lang = o.lang AND i.phras
 QUALIFY rank <= {best}"""
 
 
-ORACLES = {"op12_merkle_manifest": merkle(), "op13_phrase_collocations": phrases()}
+def archives() -> str:
+    """The index of all pages; the SHA-1 in base 32, five hex digits at a time."""
+    digits = "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"
+    group = "CAST('0x' || substr(h, CAST(1 + 5 * (k // 4) AS INT), 5) AS BIGINT)"
+    coded = (f"list_aggregate(list_transform(range(32), lambda k: substr('{digits}', CAST("
+             f"1 + (({group} >> CAST(15 - 5 * (k % 4) AS INT)) & 31) AS INT), 1)), 'string_agg', '')")
+    key = ("list_aggregate(list_reverse(string_split(regexp_replace(parts.host, '^www\\.', ''), '.')),"
+           " 'string_agg', ',') || ')' || CASE WHEN parts.path = '' THEN '/' ELSE parts.path END"
+           " || CASE WHEN parts.query IN ('', '?') THEN '' ELSE parts.query END")
+    return f"""WITH hashed AS (SELECT page_id, strlen(coalesce(html, '')) AS payload_bytes,
+        sha1(coalesce(html, '')) AS h, regexp_extract(lower(url[:8]) || url[9:],
+          '^https?://([^/?#:]*)[^/?#]*([^?#]*)([^#]*)', ['host', 'path', 'query']) AS parts
+      FROM pages),
+    first AS (SELECT *, min(page_id) OVER (PARTITION BY h) AS best FROM hashed)
+    SELECT page_id, payload_bytes, {coded} AS payload_digest,
+      CASE WHEN page_id = best THEN 'response' ELSE 'revisit' END AS record_type,
+      CASE WHEN page_id <> best THEN best END AS refers_to, {key} AS url_key,
+      strftime(TIMESTAMP '2024-01-01' + to_seconds(page_id), '%Y-%m-%dT%H:%M:%SZ') AS time,
+      true AS verified FROM first"""
+
+
+ORACLES = {"op9_warc_index": archives(), "op12_merkle_manifest": merkle(), "op13_phrase_collocations": phrases()}

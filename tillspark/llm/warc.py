@@ -30,8 +30,15 @@ from .common import quoted, ship
 
 VERSION = "WARC/1.1"
 END = "\r\n"
-RECORDS_PER_ARCHIVE = 4000
-MERGE_ROWS = 10_000
+#: Most bytes of payload in an archive; a larger record has one of its own.
+ARCHIVE_BYTES = 4000 * 65_536
+#: Pages are archived by size, up to each of these bytes and beyond, so that a
+#: number of records, which is what Spark's writer can bound, bounds the bytes.
+SIZE_LIMITS = (65_536, 16 * 65_536, 256 * 65_536)
+#: Bytes of captures that one range merges, and the most ranges: beyond their
+#: product (80 GB of captures) the ranges grow.
+RANGE_BYTES = 4 << 20
+MOST_RANGES = 20_000
 
 
 def payload_digest(payload: Column) -> Column:
@@ -97,19 +104,31 @@ def records(pages: DataFrame, date: Column) -> DataFrame:
     return pages.select(F.concat(head, F.lit(END), block).alias("record"))
 
 
+def size_class(limits: Sequence[int] = SIZE_LIMITS) -> Column:
+    """Place of a page's bytes among ``limits``."""
+    n = F.coalesce(F.octet_length("html"), F.lit(0))
+    return sum(((n > limit).cast("int") for limit in limits), F.lit(0))
+
+
 def write_archives(pages: DataFrame, path: str, date: Column | None = None,
-                   per_archive: int = RECORDS_PER_ARCHIVE, least_bytes: int = 0) -> None:
+                   least_bytes: int = 0, archive_bytes: int = ARCHIVE_BYTES,
+                   limits: Sequence[int] = SIZE_LIMITS) -> None:
     """Write page_id, url, html as gzipped WARC files through Spark's writer.
 
-    Without ``date`` a capture's time is 2024-01-01 plus its id in seconds.
+    Equal payloads have one size, hence one folder of ``path``. Without ``date``
+    a capture's time is 2024-01-01 plus its id in seconds.
     """
     if date is None:
         date = F.date_format(F.timestamp_seconds(
             F.lit(1_704_067_200) + F.coalesce(F.col("page_id"), F.lit(0))),
             "yyyy-MM-dd'T'HH:mm:ss'Z'")
-    (records(with_responses(pages, least_bytes), date)
-     .write.mode("overwrite").option("lineSep", END * 2).option("compression", "gzip")
-     .option("maxRecordsPerFile", per_archive).text(path))
+    found = {r[0] for r in pages.select(size_class(limits)).distinct().collect()}
+    marked = with_responses(pages, least_bytes)
+    for k in sorted(found | {0}):
+        most = archive_bytes // limits[k] if k < len(limits) else 1
+        (records(marked.where(size_class(limits) == k), date)
+         .write.mode("overwrite").option("lineSep", END * 2).option("compression", "gzip")
+         .option("maxRecordsPerFile", max(1, most)).text(f"{path}/size-{k}"))
 
 
 # ---- reading -------------------------------------------------------------------
@@ -246,18 +265,21 @@ def _batch(rows: list) -> pa.RecordBatch:
 def read_runs(spark: SparkSession, path: str) -> DataFrame:
     """The captures of all archives, stored with each archive's run in order."""
     ship(spark)
-    files = spark.read.format("binaryFile").load(path).select("path", "content")
+    files = (spark.read.format("binaryFile").option("recursiveFileLookup", True)
+             .load(path).select("path", "content"))
     return stage(files.mapInArrow(_captures, _CAPTURE_SQL), "runs")
 
 
-def merge_runs(runs: DataFrame, rows_per_range: int = MERGE_ROWS) -> DataFrame:
+def merge_runs(runs: DataFrame, range_bytes: int = RANGE_BYTES) -> DataFrame:
     """All captures in global order of (url_key, time, page_id).
 
     The ranges are cut by key, time and id, so one URL with very many captures
-    spreads over several; a range holds about ``rows_per_range`` captures.
+    spreads over several; a range holds about ``range_bytes`` of captures.
     """
     ship(runs.sparkSession)
-    parts = max(1, -(-runs.count() // rows_per_range))
+    width = 200 + sum(F.coalesce(F.octet_length(c), F.lit(0)) for c in ("url", "url_key"))
+    size = runs.agg(F.coalesce(F.sum(width), F.lit(0))).first()[0]
+    parts = min(MOST_RANGES, max(1, -(-size // range_bytes)))
     keys = ["url_key", "time", F.col("page_id").asc_nulls_last()]
     return (runs.repartitionByRange(parts, *keys)
             .sortWithinPartitions("archive", *keys, "offset")
