@@ -28,9 +28,12 @@ from pyspark.sql import types as T
 from .common import quoted, ship, text_map
 
 KINDS = ("email", "ip", "card", "phone")
+#: Most tokens of a candidate segment: the model's segment length.
 LONGEST = 6
 #: Bound of the training sample (runs), fixed and independent of the input.
 SAMPLE_RUNS = 3000
+#: Most characters of a run in the training sample; finding reads runs of any length.
+SAMPLE_RUN_CHARS = 400
 #: By how much an added span must beat "no entity" in log score.
 MARGIN = 3.0
 
@@ -294,10 +297,11 @@ def _sample_runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def train(docs: DataFrame, text: str = "text", sample: int = SAMPLE_RUNS) -> SemiCRF:
-    """Fit on ``sample`` runs at most: the least by hash among all texts' runs."""
+    """Fit on ``sample`` runs at most: the least by hash among all texts' runs
+    of up to ``SAMPLE_RUN_CHARS`` characters."""
     ship(docs.sparkSession)
     rows = (docs.select(quoted(text)).mapInArrow(_sample_runs, "run string")
-            .where(F.length("run") <= 400).distinct()
+            .where(F.length("run") <= SAMPLE_RUN_CHARS).distinct()
             .orderBy(F.xxhash64("run"), "run").limit(sample).collect())
     return fit([r.run.split("\x00") for r in rows])
 
