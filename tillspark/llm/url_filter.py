@@ -21,7 +21,6 @@ from pyspark.sql import functions as F
 from .common import quoted
 
 HOST = r"^[a-z][a-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]+)"
-MAX_LABELS = 8
 
 
 def host_of(url: Column) -> Column:
@@ -38,8 +37,8 @@ def address_of(url: Column) -> Column:
 def keys_of(url: Column) -> Column:
     """The host and its parents of two labels or more, and the address.
 
-    Of a host with more than ``MAX_LABELS`` labels every parent is a key as
-    well: the number of labels is bounded by the length of a host name.
+    Every parent counts, however many labels the host has: a host name's
+    length bounds their number.
     """
     host = host_of(url)
     labels = F.split(host, r"\.")
