@@ -617,6 +617,38 @@ oracle("request_features", f"""SELECT request_id, {r('price', 6)} AS price,
   FROM checked WHERE reasons = ''""")
 
 
+# ---- models without their figures, scores of a formula --------------------------------------
+CTES["scored"] = """SELECT request_id, day, date, product_id, reasons,
+    CASE WHEN reasons = '' THEN 'success' ELSE 'error' END AS status,
+    CASE WHEN reasons = '' THEN greatest(
+      0.5::DOUBLE * coalesce(CASE WHEN n <> 9 THEN f_lag_1 END, 0)
+      + 0.25::DOUBLE * coalesce(CASE WHEN n NOT IN (8, 9, 10) THEN f_lag_7 END, 0)
+      + CASE n WHEN 10 THEN 99 ELSE month(day) END + isodow(day) - 1 - 15, 0::DOUBLE) END
+      AS predicted_sales FROM checked"""
+oracle("score_batch_formula", """SELECT request_id, date, product_id, status, predicted_sales,
+    'Formula' AS model_type, reasons FROM scored""")
+oracle("score_stream_formula",
+       "SELECT date, product_id, status, predicted_sales, reasons FROM scored")
+LOG = """SELECT CAST(date_trunc('month', day) AS DATE) AS day,
+    concat_ws(' ', product_id, date) AS label, predicted_sales AS prediction, status FROM scored"""
+oracle("prediction_log_formula", LOG)
+oracle("latest_predictions", f"""SELECT * FROM ({LOG})
+  ORDER BY day DESC, label, status, prediction NULLS FIRST LIMIT 500""")
+oracle("tuning_points", f"""SELECT fold, train_end, valid_start, valid_end,
+    CAST(a * 6 + b * 2 + c AS INT) AS position, max_iter, max_depth, step_size
+  FROM ({ORACLES['date_folds']})
+  CROSS JOIN (VALUES (0, 150), (1, 300)) x(a, max_iter)
+  CROSS JOIN (VALUES (0, 4), (1, 6), (2, 8)) y(b, max_depth)
+  CROSS JOIN (VALUES (0, 0.05::DOUBLE), (1, 0.1::DOUBLE)) z(c, step_size)""")
+oracle("test_actuals", f"""SELECT date, product_id, sales_quantity AS actual, true AS plausible
+  FROM dense JOIN ddates USING (date) WHERE {split_of('i', 'n')} = 'test'""")
+oracle("baseline_facts", f"""SELECT concat('rows_', {split_of('i', 'n')}) AS fact,
+    CAST(count(*) AS VARCHAR) AS value FROM dense JOIN ddates USING (date) GROUP BY 1
+  UNION ALL SELECT unnest(['importance_is_a_share', 'rmse_at_least_mae', 'r2_at_most_1',
+    'reloaded_predicts_the_same']), 'true'
+  UNION ALL SELECT 'features', '{",".join(["price", "snap_day", "holiday", *FEATURE_NAMES])}'""")
+
+
 def _needed(sql: str, found: set[str]) -> None:
     for name in CTES:
         if name not in found and re.search(rf"\b{name}\b", sql):

@@ -566,6 +566,56 @@ def test_predictions(spark, sf):
     return _baseline(spark, sf).tables["test_predictions"]
 
 
+@query
+def test_actuals(spark, sf):
+    """The test rows of the baseline without its figures, and whether they are sound."""
+    result = _baseline(spark, sf)
+    ends = fx.staged_features(spark, sf).agg(
+        F.struct(F.min("sales_quantity").alias("lo"), F.max("sales_quantity").alias("hi"))).scalar()
+    room = ends["hi"] - ends["lo"]
+    return result.tables["test_predictions"].select(
+        "date", "product_id", "actual",
+        F.col("predicted").between(ends["lo"] - room, ends["hi"] + room).alias("plausible"))
+
+
+@query
+def baseline_facts(spark, sf):
+    """What holds for the baseline whatever its trees are: one fact per row."""
+    result = _baseline(spark, sf)
+    path = shared_path(spark, "baseline")
+    training.save_training(spark, result, path)
+    loaded = training.load_bundle(spark, f"{path}/baseline_model")
+    rows = fx.staged_features(spark, sf).where(F.col("date") >= result.ranges["test"][0])
+    pair = [m.transform(rows).select("date", "product_id", "store_id", "prediction")
+            for m in (result.model, loaded.model)]
+    share = result.tables["importance"].agg(F.sum("share_pct"), F.min("importance")).first()
+    facts = {
+        **{f"rows_{s}": n for s, n in result.sizes.items()},
+        "features": ",".join(loaded.feature_names),
+        "importance_is_a_share": abs(share[0] - 100) < 0.1 * len(result.features)
+        and share[1] >= 0,
+        "rmse_at_least_mae": all(m["rmse"] >= m["mae"] >= 0 for m in result.scores.values()),
+        "r2_at_most_1": all(m["r2"] <= 1 for m in result.scores.values()),
+        "reloaded_predicts_the_same": pair[0].exceptAll(pair[1]).isEmpty(),
+    }
+    return spark.createDataFrame([(k, str(v).lower()) for k, v in facts.items()],
+                                 "fact string, value string")
+
+
+@query
+def tuning_points(spark, sf):
+    """Every grid point on every fold, as the search fits them."""
+    points = spark.createDataFrame(
+        [(i, p["maxIter"], p["maxDepth"], p["stepSize"])
+         for i, p in enumerate(training.grid_points(training.BOOSTING_GRID))],
+        "position int, max_iter int, max_depth int, step_size double")
+    folds = split.date_folds(fx.series(spark, sf)).select(
+        "fold", "train_end", "valid_start", "valid_end", F.sequence(
+            F.lit(0), F.lit(points.count() - 1)).alias("points"))
+    return folds.select("*", F.explode("points").alias("position")).drop("points").join(
+        points, "position")
+
+
 @query
 def tune_grid(spark, sf):
     rows = fx.staged_features(spark, sf)
@@ -653,4 +703,55 @@ def prediction_log(spark, sf):
     return read_log(spark, path).select("label", "prediction", "status")
 
 
+# A formula instead of a fitted model: every figure of a score has SQL.
+FORMULA = ("0.5 * coalesce(lag_1, 0) + 0.25 * coalesce(lag_7, 0) + month + day_of_week - 15")
+
+
+def _formula_bundle(spark):
+    path = shared_path(spark, "formula")
+    training.save_bundle(spark, path, training.formula_model(FORMULA),
+                         list(fx.REQUEST_FEATURES), "Formula")
+    return training.load_bundle(spark, path)
+
+
+@query
+def score_batch_formula(spark, sf):
+    return scoring.score_batch(fx.requests(spark, sf), _formula_bundle(spark), mode="SPLIT").select(
+        "request_id", "date", "product_id", "status", "predicted_sales", "model_type",
+        F.array_join("reasons", ",").alias("reasons"))
+
+
+@query
+def score_stream_formula(spark, sf):
+    base = shared_path(spark, "stream")
+    sources.write_json(fx.requests(spark, sf), f"{base}/in")
+    score_stream(spark, f"{base}/in", _formula_bundle(spark), f"{base}/out",
+                 f"{base}/state").awaitTermination()
+    return spark.read.parquet(f"{base}/out").select(
+        "date", "product_id", "status", "predicted_sales",
+        F.array_join("reasons", ",").alias("reasons"))
+
+
+@query
+def prediction_log_formula(spark, sf):
+    """The log of all requests, appended on the days that their ids name."""
+    scored = scoring.score_batch(fx.requests(spark, sf), _formula_bundle(spark), mode="SPLIT")
+    path = shared_path(spark, "log")
+    month = F.trunc(F.substring_index("request_id", "/", -1).cast("date"), "month")
+    append_log(scored, path, month.cast("timestamp"))
+    return read_log(spark, path).select(F.col("time").cast("date").alias("day"), "label",
+                                        "prediction", "status")
+
+
+@query
+def latest_predictions(spark, sf):
+    """The newest entries of the log: a top list by time, then label."""
+    scored = scoring.score_batch(fx.requests(spark, sf), _formula_bundle(spark), mode="SPLIT")
+    path = shared_path(spark, "log")
+    day = F.substring_index("request_id", "/", -1).cast("date")
+    append_log(scored, path, F.trunc(day, "month").cast("timestamp"))
+    return read_log(spark, path, 500).select(F.col("time").cast("date").alias("day"), "label",
+                                             "prediction", "status")
+
+
 QUERIES["score_stream"] = QUERIES.pop("score_stream_rows")

@@ -6,7 +6,9 @@ from pyspark.ml.regression import GBTRegressor
 from pyspark.ml import PipelineModel
 
 from tillspark.operators import scoring
-from tillspark.plans import training
+from conftest import plan_of
+from tillspark.__main__ import main as command
+from tillspark.plans import jobs, training
 from tillspark.schema import REQUEST_SCHEMA, RequestError
 from tillspark.streaming import append_log, read_log, score_stream
 
@@ -147,3 +149,37 @@ def test_log_shows_the_newest_first(spark, requests, bundle, tmp_path):
     assert [(r.label, r.status, r.prediction is None) for r in got] == [
         ("NEW 2016-03-01", "error", True), ("OLD 2016-03-01", "success", False)]
     assert read_log(spark, path, 1).count() == 1
+
+
+def test_limit_reads_the_newest_days_only(spark, requests, bundle, tmp_path):
+    path = str(tmp_path / "log")
+    for day in range(1, 6):
+        scored = scoring.score_batch(requests({"product_id": f"D{day}"}, {"product_id": "X"}), bundle)
+        append_log(scored, path, F.to_timestamp(F.lit(f"2024-01-0{day} 08:00:00")))
+    append_log(scoring.score_batch(requests({"product_id": "UNDATED"}), bundle), path,
+               F.lit(None).cast("timestamp"))
+    got = read_log(spark, path, 3)
+    assert [r.label.split()[0] for r in got.collect()] == ["D5", "X", "D4"]
+    read = [f for f in got.inputFiles()]
+    assert read and plan_of(got).count("PartitionFilters: [isnotnull(day") == 1
+    assert "2024-01-04" in plan_of(got)
+    assert [r.label for r in read_log(spark, path, 11).collect()][-1].startswith("UNDATED")
+    assert read_log(spark, path, 100).count() == read_log(spark, path).count() == 11
+
+
+def test_scoring_commands(spark, requests, tmp_path, capsys):
+    model, src, out, log = (str(tmp_path / n) for n in ("model", "in", "out", "log"))
+    training.save_bundle(spark, model, training.formula_model("lag_1 * 2 - price"), FEATURES,
+                         "Formula")
+    requests({}, {"price": -1.0}).write.json(src)
+    with pytest.raises(RequestError):
+        jobs.score(spark, src, out, model)
+    assert jobs.score(spark, src, out, model, split=True, log=log) == {"success": 1, "error": 1}
+    assert {r.predicted_sales for r in spark.read.parquet(out).collect()} == {20.52, None}
+    assert read_log(spark, log).count() == 2
+    stream = jobs.score_arrivals(spark, src, f"{out}-stream", model)
+    assert {r.predicted_sales for r in stream.collect()} == {20.52, None}
+    assert jobs.score_arrivals(spark, src, f"{out}-stream", model).count() == 2
+    with pytest.raises(SystemExit):
+        command(["score", src, out])
+    assert "needs --model" in capsys.readouterr().err

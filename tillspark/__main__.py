@@ -6,12 +6,13 @@ import argparse
 
 from .plans import jobs
 from .session import get_spark
+from .streaming import read_log
 
 
-def main() -> None:
+def main(argv: list[str] | None = None) -> None:
     parser = argparse.ArgumentParser(prog="tillspark")
     parser.add_argument("job", choices=["prepare", "inspect", "clean", "reports", "features",
-                                        "train", "compare"])
+                                        "train", "compare", "score", "score-stream", "log"])
     parser.add_argument("input")
     parser.add_argument("output", nargs="?")
     parser.add_argument("--store")
@@ -19,10 +20,16 @@ def main() -> None:
     parser.add_argument("--top-n", type=int)
     parser.add_argument("--fill-date-gaps", action="store_true")
     parser.add_argument("--strict", action="store_true")
+    parser.add_argument("--model", help="bundle that scores the requests")
+    parser.add_argument("--split", action="store_true", help="keep bad requests with reasons")
+    parser.add_argument("--log", help="prediction log to add to")
+    parser.add_argument("--limit", type=int, default=20, help="newest entries of the log")
     parser.add_argument("--master")
-    args = parser.parse_args()
-    if args.job != "inspect" and not args.output:
+    args = parser.parse_args(argv)
+    if args.job not in ("inspect", "log") and not args.output:
         parser.error("this job needs an output path")
+    if args.job in ("score", "score-stream") and not args.model:
+        parser.error("scoring needs --model")
     spark = get_spark("tillspark", args.master)
     if args.job == "prepare":
         jobs.prepare(spark, args.input, args.output, args.store, args.category, args.top_n)
@@ -43,11 +50,18 @@ def main() -> None:
         print(f"{len(names)} features")
         gaps.show(len(names), truncate=False)
     elif args.job == "train":
-        print(jobs.train(spark, args.input, args.output).metrics)
-    else:
+        print(jobs.train(spark, args.input, args.output).scores)
+    elif args.job == "compare":
         result = jobs.compare(spark, args.input, args.output)
-        result.table.show(truncate=False)
-        print(f"winner: {result.winner_name}")
+        result.tables["comparison"].show(truncate=False)
+        print(f"winner: {result.name}")
+    elif args.job == "score":
+        print(jobs.score(spark, args.input, args.output, args.model, args.split, args.log))
+    elif args.job == "score-stream":
+        jobs.score_arrivals(spark, args.input, args.output, args.model) \
+            .groupBy("status").count().show()
+    else:
+        read_log(spark, args.input, args.limit).show(args.limit, truncate=False)
 
 
 if __name__ == "__main__":

@@ -9,9 +9,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from .. import sources
-from ..operators import analytics, clean, features, inspect
+from ..operators import analytics, clean, features, inspect, scoring
 from ..operators.validate import ValidationResult, validate_sales
 from ..schema import MAX_UNREADABLE_FRACTION, DataQualityError
+from ..streaming import append_log, score_stream
 from . import training
 from .cleaning import preprocess_sales
 
@@ -120,13 +121,39 @@ def feature_table(spark: SparkSession, path: str, output: str,
     return names, features.feature_null_report(written, names)
 
 
-def train(spark: SparkSession, path: str, output: str, **settings) -> training.TrainingResult:
+def train(spark: SparkSession, path: str, output: str, **settings) -> training.ModelReport:
     result = training.train_baseline(sources.read_sales_parquet(spark, path), **settings)
     training.save_training(spark, result, output)
     return result
 
 
-def compare(spark: SparkSession, path: str, output: str, **settings) -> training.ComparisonResult:
+def compare(spark: SparkSession, path: str, output: str, **settings) -> training.ModelReport:
     result = training.compare_models(sources.read_sales_parquet(spark, path), **settings)
     training.save_comparison(spark, result, output)
     return result
+
+
+def score(spark: SparkSession, path: str, output: str, model: str, split: bool = False,
+          log: str | None = None, whole_files: bool = False) -> dict[str, int]:
+    """Requests from CSV or JSON to a table of predictions; rows by status.
+
+    A bad request refuses the batch; with ``split`` it is kept with its
+    reasons. ``log`` names a prediction log that the written rows are added to.
+    """
+    requests = (sources.read_requests_csv(spark, path) if path.rstrip("/").endswith("csv")
+                else sources.read_requests_json(spark, path, whole_files))
+    scored = scoring.score_batch(requests, training.load_bundle(spark, model),
+                                 "SPLIT" if split else "FAILFAST")
+    scored.write.mode("overwrite").parquet(output)
+    written = spark.read.parquet(output)
+    if log is not None:
+        append_log(written, log)
+    return {r["status"]: r["count"] for r in written.groupBy("status").count().collect()}
+
+
+def score_arrivals(spark: SparkSession, source: str, output: str, model: str) -> DataFrame:
+    """All request files that have arrived since the last call; every row so far."""
+    running = score_stream(spark, source, training.load_bundle(spark, model), output,
+                           f"{output.rstrip('/')}.state")
+    running.awaitTermination()
+    return spark.read.parquet(output)
