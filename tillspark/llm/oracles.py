@@ -133,4 +133,34 @@ def archives() -> str:
       true AS verified FROM first"""
 
 
-ORACLES = {"op9_warc_index": archives(), "op12_merkle_manifest": merkle(), "op13_phrase_collocations": phrases()}
+def dated_list() -> str:
+    """Pages against the intervals of the list that is made of their own names."""
+    first = "1704067200 + (CAST('0x' || substr(md5(key), 1, 4) AS BIGINT) % 300) * 86400"
+    stay = "(1 + CAST('0x' || substr(md5(key), 5, 4) AS BIGINT) % 60) * 86400"
+    at = "make_timestamp(CAST({} AS BIGINT) * 1000000)"
+    return f"""WITH seen AS (SELECT page_id, url,
+        {at.format("1704067200 + 60 * ((page_id * 7) % 525600)")} AS fetched,
+        regexp_replace(regexp_extract(lower(coalesce(url, '')),
+          '^[a-z][a-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]+)', 1), '\\.$', '') AS host,
+        regexp_extract(coalesce(url, ''), '^[^:/?#]+://[^/?#]*(/[^?#]*)', 1) AS path FROM pages),
+    named AS (SELECT *, host || CASE WHEN path = '' THEN '/' ELSE path END AS address,
+        string_split(host, '.') AS labels FROM seen),
+    entries AS (SELECT DISTINCT unnest([host, regexp_extract(host, '([^.]+\\.[^.]+)$', 1), address])
+        AS key FROM named WHERE host <> ''),
+    dated AS (SELECT key, {first} AS f, {stay} AS s FROM entries WHERE key <> ''),
+    spans AS (SELECT key, {at.format("f")} AS valid_from, {at.format("f + s")} AS valid_to FROM dated
+      UNION ALL SELECT key, {at.format("f + 2 * s")}, NULL FROM dated),
+    keyed AS (SELECT DISTINCT page_id, fetched, unnest(list_append(list_transform(
+        range(1, greatest(len(labels) - 1, 1) + 1),
+        lambda i: list_aggregate(labels[i:], 'string_agg', '.')), address)) AS key
+      FROM named WHERE host <> ''),
+    hits AS (SELECT page_id, count(*) AS n, arg_max(key, (length(key), key)) AS entry,
+        arg_max(valid_from, (length(key), key)) AS valid_from
+      FROM keyed JOIN spans USING (key)
+      WHERE fetched >= valid_from AND (valid_to IS NULL OR fetched < valid_to) GROUP BY 1)
+    SELECT page_id, CASE WHEN url IS NOT NULL THEN host END AS host, fetched, n IS NOT NULL AS blocked,
+      coalesce(n, 0) AS n_entries, entry, valid_from FROM named LEFT JOIN hits USING (page_id)"""
+
+
+ORACLES = {"op4_dated_url_list": dated_list(), "op9_warc_index": archives(),
+           "op12_merkle_manifest": merkle(), "op13_phrase_collocations": phrases()}

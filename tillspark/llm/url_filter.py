@@ -1,10 +1,13 @@
 """URL filters with dated lists: which entries were active at fetch time.
 
 List entries are dated events (listed, delisted) for a host, a parent domain
-or a whole address. They become validity intervals. A capture has a key for its
-host, for each parent domain and for its address; the join on key and day takes
-only the intervals that touch the day, so a host with very many captures or an
-entry with very many changes meets no more than one day of the other side.
+or a whole address. They become validity intervals, kept as their
+beginnings and ends. A capture has a key for its
+host, for each parent domain and for its address. The join is an as-of join: a
+key's list changes and its fetch times are put in one order, and each fetch time
+takes the change last before it. The order is cut into days; what holds at a day's
+beginning is carried over from the days before, of which a key has one row each. So
+a host with very many captures or an entry with very many changes is spread over its days.
 
 Defined results: a null URL has no key and is not blocked; a null time is at no
 time and not blocked; an entry counts from its date on and no longer from its
@@ -49,18 +52,32 @@ def keys_of(url: Column) -> Column:
         F.array_distinct(F.array_append(parents, address_of(url))))
 
 
-def intervals(events: DataFrame) -> DataFrame:
-    """key, valid_from, valid_to (null: open) from key, time, listed.
+def as_of(points: DataFrame, before: bool = False) -> DataFrame:
+    """Adds ``found``: the last non-null ``state`` of the key up to a point's time.
 
-    The window is one key's own history of list changes.
+    Points are (key, time, state, ...); at one time states come first. With
+    ``before`` the point's own state does not count.
     """
-    order = Window.partitionBy("key").orderBy("time")
-    one = (events.where("key is not null and time is not null")
-           .groupBy("key", "time").agg(F.min("listed").alias("listed")))
-    changed = one.withColumn("was", F.lag("listed").over(order)).where(
-        F.coalesce(F.col("was"), F.lit(False)) != F.col("listed"))
-    return (changed.withColumn("valid_to", F.lead("time").over(order)).where("listed")
-            .select("key", F.col("time").alias("valid_from"), "valid_to"))
+    points = points.withColumn("day", F.to_date("time"))
+    days = points.groupBy("key", "day").agg(F.max(F.when(
+        F.col("state").isNotNull(), F.struct("time", "state")))["state"].alias("last"))
+    earlier = Window.partitionBy("key").orderBy("day").rowsBetween(
+        Window.unboundedPreceding, -1)
+    carried = days.select("key", "day", F.last("last", ignorenulls=True).over(earlier)
+                          .alias("carried"))
+    inside = Window.partitionBy("key", "day").orderBy("time", F.col("state").isNull()).rowsBetween(
+        Window.unboundedPreceding, -1 if before else Window.currentRow)
+    return points.join(carried, ["key", "day"]).withColumn("found", F.coalesce(
+        F.last("state", ignorenulls=True).over(inside), "carried")).drop("day", "carried")
+
+
+def changes(events: DataFrame) -> DataFrame:
+    """key, time, listed: the events that change whether an entry is listed."""
+    one = (events.where("key is not null and time is not null and listed is not null")
+           .groupBy("key", "time").agg(F.min("listed").alias("state")))
+    return as_of(one, before=True).where(
+        F.coalesce("found", F.lit(False)) != F.col("state")).select(
+        "key", "time", F.col("state").alias("listed"))
 
 
 def judge(captures: DataFrame, events: DataFrame, capture_id: str = "page_id", url: str = "url",
@@ -72,20 +89,17 @@ def judge(captures: DataFrame, events: DataFrame, capture_id: str = "page_id", u
     row = captures.select(quoted(capture_id).alias("capture_id"), quoted(url).alias("url"),
                           quoted(time).alias("fetched"))
     keyed = row.withColumn("key", F.explode_outer(keys_of(F.coalesce(F.col("url"), F.lit("")))))
-    keyed = keyed.withColumn("day", F.to_date("fetched"))
-    wanted = keyed.where("key is not null and day is not null").select("key", "day").distinct()
-    spans = intervals(events).withColumnRenamed("key", "entry")
-    # The intervals that touch a day on which the key was fetched at all.
-    touching = wanted.join(spans, (F.col("key") == F.col("entry"))
-                           & (F.to_date("valid_from") <= F.col("day"))
-                           & (F.col("valid_to").isNull()
-                              | (F.to_date("valid_to") >= F.col("day"))))
-    touching = touching.select(F.col("entry"), F.col("day").alias("entry_day"), "valid_from",
-                               "valid_to")
-    active = keyed.join(
-        touching, (F.col("key") == F.col("entry")) & (F.col("day") == F.col("entry_day"))
-        & (F.col("fetched") >= F.col("valid_from"))
-        & (F.col("valid_to").isNull() | (F.col("fetched") < F.col("valid_to"))))
+    wanted = keyed.where("key is not null and fetched is not null").select(
+        "key", F.col("fetched").alias("time")).distinct()
+    turned = changes(events).select(
+        "key", "time", F.struct("listed", F.col("time").alias("since")).alias("state"))
+    points = turned.unionByName(wanted.withColumn(
+        "state", F.lit(None).cast("struct<listed:boolean,since:timestamp>")))
+    listed = as_of(points).where("state is null and found.listed").select(
+        F.col("key").alias("entry"), F.col("time").alias("at"),
+        F.col("found.since").alias("valid_from"))
+    active = keyed.join(listed, (F.col("key") == F.col("entry"))
+                        & (F.col("fetched") == F.col("at")))
     hits = active.groupBy("capture_id", "url", "fetched").agg(
         F.countDistinct("entry").alias("n_entries"),
         F.max(F.struct(F.length("entry").alias("size"), "entry", "valid_from")).alias("best"))
