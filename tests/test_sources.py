@@ -4,6 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tillspark import sources
+from tillspark.__main__ import main as command
 from tillspark.operators import validate
 from tillspark.operators.scoring import validate_requests
 from tillspark.plans import jobs
@@ -75,6 +76,21 @@ def test_raw_files(spark, raw, tmp_path):
     assert got.exceptAll(want).isEmpty() and want.exceptAll(got).isEmpty()
 
 
+def test_raw_files_with_line_breaks(spark, raw, tmp_path):
+    wide, calendar, prices = raw
+    broken = calendar.withColumn("event_name_1", F.regexp_replace("event_name_1", "Bowl", "\nBowl"))
+    for table, name in ((wide, "sales_train_validation"), (broken, "calendar"),
+                        (prices, "sell_prices")):
+        sources.write_csv(table, str(tmp_path / f"{name}.csv"))
+    again = sources.read_raw_files(spark, str(tmp_path), multi_line=True)
+    assert again[1].count() == calendar.count() < sources.read_raw_files(
+        spark, str(tmp_path))[1].count()
+    out = str(tmp_path / "out")
+    command(["prepare", str(tmp_path), out, "--store", "CA_1", "--multi-line", "--master", "local"])
+    names = {r.event_name for r in sources.read_sales_parquet(spark, out).collect()}
+    assert "Super\nBowl" in names
+
+
 def test_missing_marks_in_csv(spark, tmp_path):
     path = tmp_path / "s.csv"
     path.write_text("date,product_id,sales_quantity,price,store_id\n"

@@ -20,6 +20,8 @@ def main(argv: list[str] | None = None) -> None:
     parser.add_argument("--top-n", type=int)
     parser.add_argument("--fill-date-gaps", action="store_true")
     parser.add_argument("--strict", action="store_true")
+    parser.add_argument("--multi-line", action="store_true",
+                        help="CSV cells or JSON values of the input run over lines")
     parser.add_argument("--model", help="bundle that scores the requests")
     parser.add_argument("--split", action="store_true", help="keep bad requests with reasons")
     parser.add_argument("--log", help="prediction log to add to")
@@ -32,8 +34,9 @@ def main(argv: list[str] | None = None) -> None:
         parser.error("scoring needs --model")
     spark = get_spark("tillspark", args.master)
     if args.job == "prepare":
-        jobs.prepare(spark, args.input, args.output, args.store, args.category, args.top_n)
-        print(jobs.preparation_counts(spark, args.input, args.store, args.category, args.top_n))
+        asked = (args.store, args.category, args.top_n, args.multi_line)
+        jobs.prepare(spark, args.input, args.output, *asked)
+        print(jobs.preparation_counts(spark, args.input, *asked))
     elif args.job == "inspect":
         result, tables = jobs.first_look(spark, args.input)
         print(result.summary())
@@ -42,7 +45,7 @@ def main(argv: list[str] | None = None) -> None:
             table.show(truncate=False)
     elif args.job == "clean":
         print(jobs.clean_table(spark, args.input, args.output, args.fill_date_gaps,
-                               args.strict).summary())
+                               args.strict, args.multi_line).summary())
     elif args.job == "reports":
         print("\n".join(jobs.reports(spark, args.input, args.output)))
     elif args.job == "features":
@@ -56,7 +59,8 @@ def main(argv: list[str] | None = None) -> None:
         result.tables["comparison"].show(truncate=False)
         print(f"winner: {result.name}")
     elif args.job == "score":
-        print(jobs.score(spark, args.input, args.output, args.model, args.split, args.log))
+        print(jobs.score(spark, args.input, args.output, args.model, args.split, args.log,
+                         args.multi_line))
     elif args.job == "score-stream":
         jobs.score_arrivals(spark, args.input, args.output, args.model) \
             .groupBy("status").count().show()

@@ -18,31 +18,33 @@ from .cleaning import preprocess_sales
 
 
 def prepare(spark: SparkSession, raw_dir: str, output: str, store_id: str | None = None,
-            category: str | None = None, top_n: int | None = None) -> DataFrame:
+            category: str | None = None, top_n: int | None = None,
+            multi_line: bool = False) -> DataFrame:
     """Raw wide files to a sales table; all of them unless a subset is asked for.
 
     A file of which more than ``MAX_UNREADABLE_FRACTION`` of the filled cells
     hold no number is an error.
     """
-    for file in sources.unreadable_cells(spark, raw_dir).collect():
+    for file in sources.unreadable_cells(spark, raw_dir, multi_line).collect():
         if file["n_unreadable"] > MAX_UNREADABLE_FRACTION * file["n_cells"]:
             raise DataQualityError([
                 f"{file['file']}: no number in {file['n_unreadable']:,} of "
                 f"{file['n_cells']:,} cells."])
-    table = sources.prepare_subset(*sources.read_raw_files(spark, raw_dir),
+    table = sources.prepare_subset(*sources.read_raw_files(spark, raw_dir, multi_line),
                                    store_id, category, top_n)
     sources.write_parquet(table, output)
     return sources.read_sales_parquet(spark, output)
 
 
 def preparation_counts(spark: SparkSession, raw_dir: str, store_id: str | None = None,
-                       category: str | None = None, top_n: int | None = None) -> dict[str, int]:
+                       category: str | None = None, top_n: int | None = None,
+                       multi_line: bool = False) -> dict[str, int]:
     """What ``prepare`` leaves out: cells without a number by file, and the
     cells before an item's launch."""
-    wide, calendar, prices = sources.read_raw_files(spark, raw_dir)
+    wide, calendar, prices = sources.read_raw_files(spark, raw_dir, multi_line)
     kept = sources.subset_of(wide, store_id, category, top_n)
     out = {f"unreadable_{r['file']}": r["n_unreadable"]
-           for r in sources.unreadable_cells(spark, raw_dir).collect()}
+           for r in sources.unreadable_cells(spark, raw_dir, multi_line).collect()}
     return out | sources.prelaunch_count(kept, calendar, prices).first().asDict()
 
 
@@ -64,9 +66,9 @@ def first_look(spark: SparkSession, path: str) -> tuple[ValidationResult, dict[s
 
 
 def clean_table(spark: SparkSession, path: str, output: str, fill_date_gaps: bool = False,
-                strict: bool = False) -> clean.CleaningReport:
+                strict: bool = False, multi_line: bool = False) -> clean.CleaningReport:
     """Sales table or CSV folder to a clean table; returns the report."""
-    df = (sources.read_sales_csv(spark, path) if path.rstrip("/").endswith("csv")
+    df = (sources.read_sales_csv(spark, path, multi_line=multi_line) if path.rstrip("/").endswith("csv")
           else sources.read_sales_parquet(spark, path))
     return preprocess_sales(df, fill_date_gaps=fill_date_gaps, strict=strict,
                             output=output)[1]

@@ -67,25 +67,26 @@ def read_sales_parquet(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.parquet(path)
 
 
-def _read_if_there(spark: SparkSession, path: str) -> DataFrame | None:
+def _read_if_there(spark: SparkSession, path: str, multi_line: bool) -> DataFrame | None:
     try:
-        return _read_text_table(spark, path)
+        return _read_text_table(spark, path, multi_line)
     except AnalysisException as exc:
         if exc.getCondition() == "PATH_NOT_FOUND":
             return None
         raise
 
 
-def _raw_texts(spark: SparkSession, raw_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+def _raw_texts(spark: SparkSession, raw_dir: str, multi_line: bool,
+               ) -> tuple[DataFrame, DataFrame, DataFrame]:
     base = raw_dir.rstrip("/")
-    tables = (_read_if_there(spark, f"{base}/{n}") for n in RAW_SALES_FILES)
+    tables = (_read_if_there(spark, f"{base}/{n}", multi_line) for n in RAW_SALES_FILES)
     sales = next((t for t in tables if t is not None), None)
     if sales is None:
         raise FileNotFoundError(
             f"no sales file in {raw_dir}; expected one of {RAW_SALES_FILES}")
     rest = []
     for name in (RAW_CALENDAR_FILE, RAW_PRICES_FILE):
-        table = _read_if_there(spark, f"{base}/{name}")
+        table = _read_if_there(spark, f"{base}/{name}", multi_line)
         if table is None:
             raise FileNotFoundError(f"missing raw file {base}/{name}")
         rest.append(table)
@@ -97,25 +98,26 @@ def _whole_columns(df: DataFrame) -> list[str]:
     return [c for c in df.columns if c.startswith(("d_", "snap_")) or c == "wm_yr_wk"]
 
 
-def read_raw_files(spark: SparkSession, raw_dir: str,
+def read_raw_files(spark: SparkSession, raw_dir: str, multi_line: bool = False,
                    ) -> tuple[DataFrame, DataFrame, DataFrame]:
     """The wide sales matrix, the calendar and the weekly prices.
 
     ``3.0`` is a whole number. Cells that hold no number become NULL;
-    ``unreadable_cells`` counts them.
+    ``unreadable_cells`` counts them. With ``multi_line`` quoted cells may hold
+    line breaks, and one task then reads a file as a whole.
     """
     sales, calendar, prices = (
         t.withColumns({c: F.coalesce(F.col(c).try_cast("bigint"),
                                      to_number(t, c).try_cast("bigint"))
                        for c in _whole_columns(t)})
-        for t in _raw_texts(spark, raw_dir))
+        for t in _raw_texts(spark, raw_dir, multi_line))
     return (sales, calendar.withColumns({c: F.col(c).try_cast("int")
                                          for c in _whole_columns(calendar)}),
             prices.withColumns({"sell_price": to_number(prices, "sell_price"),
                                 "wm_yr_wk": F.col("wm_yr_wk").try_cast("int")}))
 
 
-def unreadable_cells(spark: SparkSession, raw_dir: str) -> DataFrame:
+def unreadable_cells(spark: SparkSession, raw_dir: str, multi_line: bool = False) -> DataFrame:
     """One row per raw file: its rows, filled numeric cells, and how many of
     these hold no number.
 
@@ -123,7 +125,8 @@ def unreadable_cells(spark: SparkSession, raw_dir: str) -> DataFrame:
     expression, not one per day.
     """
     out = None
-    for name, df in zip(("sales", "calendar", "prices"), _raw_texts(spark, raw_dir), strict=True):
+    tables = _raw_texts(spark, raw_dir, multi_line)
+    for name, df in zip(("sales", "calendar", "prices"), tables, strict=True):
         cols = [c for c in df.columns if c in _whole_columns(df) or c == "sell_price"]
         cells = F.expr("array(" + ", ".join(f"`{c}`" for c in cols) + ")").cast("array<string>")
         number = lambda x: x.try_cast("bigint").isNotNull() | x.rlike(NUMBER_PATTERN)
