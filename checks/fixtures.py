@@ -27,6 +27,7 @@ VALUE_TYPES = ("ECONOMY", "STANDARD", "SMALL")
 STORES = ("CA_1", "TX_1", "WI_1", "CA_2", "TX_2")
 CATEGORIES = ("FOODS", "HOBBIES", "HOUSEHOLD")
 FIRST_WEEK = 11101
+ROWS_A_PART = 250_000
 
 
 @cache
@@ -67,20 +68,23 @@ def _qty() -> Column:
     return F.sum("l_quantity").cast("bigint").alias("qty")
 
 
-def _supplier_region(spark: SparkSession, sf: str) -> DataFrame:
-    nation, region = table(spark, sf, "nation"), table(spark, sf, "region")
-    return (table(spark, sf, "supplier")
-            .join(nation, F.col("s_nationkey") == F.col("n_nationkey"))
-            .join(region, F.col("n_regionkey") == F.col("r_regionkey"))
-            .select("s_suppkey", "r_name", "r_regionkey"))
-
-
 def _lines(spark: SparkSession, sf: str) -> DataFrame:
-    """Order lines with their day and region."""
+    """Order lines with their day and region.
+
+    Each dimension is joined to the lines by itself: Spark knows the size of a
+    table before it runs, that of a join of dimensions only after all lines
+    have been shuffled for it.
+    """
     lines = table(spark, sf, "lineitem").select(
         "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice", "l_shipdate",
         F.col("l_shipdate").cast("date").alias("date"))
-    return lines.join(_supplier_region(spark, sf), F.col("l_suppkey") == F.col("s_suppkey"))
+    supplier = table(spark, sf, "supplier").select("s_suppkey", "s_nationkey")
+    nation = table(spark, sf, "nation").select("n_nationkey", "n_regionkey")
+    region = table(spark, sf, "region").select("r_regionkey", "r_name")
+    return (lines.join(supplier, F.col("l_suppkey") == F.col("s_suppkey"))
+            .join(nation, F.col("s_nationkey") == F.col("n_nationkey"))
+            .join(region, F.col("n_regionkey") == F.col("r_regionkey"))
+            .drop("s_suppkey", "s_nationkey", "n_nationkey", "n_regionkey"))
 
 
 def _typed_lines(spark: SparkSession, sf: str, *columns: str) -> DataFrame:
@@ -88,15 +92,37 @@ def _typed_lines(spark: SparkSession, sf: str, *columns: str) -> DataFrame:
     return _lines(spark, sf).join(part, F.col("l_partkey") == F.col("p_partkey"))
 
 
+def parts_of(spark: SparkSession, sf: str) -> int:
+    """Parts of the order lines, so that the rows of a task stay as they are
+    however large the table is."""
+    return max(1, -(-_line_count(spark, sf) // ROWS_A_PART))
+
+
+@cache
+def _line_count(spark: SparkSession, sf: str) -> int:
+    return table(spark, sf, "lineitem").count()
+
+
 def item(spark: SparkSession, sf: str) -> DataFrame:
-    """Sparse: one series per part and region."""
-    part = table(spark, sf, "part")
-    cells = _lines(spark, sf).groupBy("date", "l_partkey", "r_name").agg(_qty(), _ratio())
-    return with_events(cells.join(part, F.col("l_partkey") == F.col("p_partkey")).select(
-        "date", F.concat(F.lit("P"), F.col("l_partkey").cast("string")).alias("product_id"),
-        F.col("p_name").alias("product_name"), F.col("p_type").alias("category"),
-        F.col("qty").alias("sales_quantity"), _cents(F.col("ratio")).alias("price"),
-        F.col("r_name").alias("store_id")))
+    """Sparse: one series per part and region.
+
+    Hardly two lines share a cell, so combining them before the shuffle would
+    only fill a table of a whole split's lines; they are dealt by cell, which
+    spreads a part with a large share of them. Its cells, a few a day at most,
+    then go by product, and everything along a series finds them there.
+    """
+    parts, product = parts_of(spark, sf), lambda key: F.concat(
+        F.lit("P"), F.col(key).cast("string"))
+    part = table(spark, sf, "part").select(
+        product("p_partkey").alias("product_id"), "p_name", "p_type")
+    cells = (_lines(spark, sf).select(
+        "date", product("l_partkey").alias("product_id"), F.col("r_name").alias("store_id"),
+        "l_quantity", "l_extendedprice").repartition(parts, "date", "product_id", "store_id")
+        .groupBy("date", "product_id", "store_id").agg(_qty(), _ratio()))
+    return with_events(cells.repartition(parts, "product_id").join(part, "product_id").select(
+        "date", "product_id", F.col("p_name").alias("product_name"),
+        F.col("p_type").alias("category"), F.col("qty").alias("sales_quantity"),
+        _cents(F.col("ratio")).alias("price"), "store_id"))
 
 
 def series(spark: SparkSession, sf: str) -> DataFrame:
