@@ -22,6 +22,7 @@ import struct
 from collections import Counter
 from collections.abc import Iterator
 from functools import cache
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
@@ -39,6 +40,7 @@ PRETOKENS = (r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\p{White_Space}\p{L
              r"|\p{White_Space}+(?!\P{White_Space})|\p{White_Space}+")
 LEXICON_WORDS = 262_144
 LONGEST_WORD = 64
+STEM = 5
 
 
 def byte_characters() -> list[str]:
@@ -74,11 +76,11 @@ class Merger:
         if len(ids) > LONGEST_WORD:
             return self._merge_long(ids)
         rank, none = self.rank.get, len(self.joined)
-        ranks = [rank(pair, none) for pair in zip(ids, ids[1:], strict=False)]
+        ranks, joined = list(map(rank, zip(ids, ids[1:], strict=False), repeat(none))), self.joined
         while ranks and (least := min(ranks)) < none:
             at = ranks.index(least)
-            ids[at:at + 2] = [self.joined[least]]
-            del ranks[at]
+            ids[at] = joined[least]
+            del ids[at + 1], ranks[at]
             if at < len(ranks):
                 ranks[at] = rank((ids[at], ids[at + 1]), none)
             if at:
@@ -187,21 +189,37 @@ class Lexicon:
         self.first, self.final, self.target, self.number, self.offset = parts
         self.find, self.bytes_at = data.find, at  # the transitions' bytes
         self.ids = view[at + len(self.target):]
+        #: State and number after the first ``STEM`` bytes, of stems in the lexicon.
+        self.stems: dict[bytes, tuple[int, int]] = {}
 
     @classmethod
     def open(cls, path: str) -> Lexicon:
         with open(path, "rb") as f:
             return cls(mmap.mmap(f.fileno(), 0, access=mmap.ACCESS_READ))
 
-    def get(self, word: bytes) -> bytes | None:
-        """The word's ids as little-endian 32-bit numbers, or None."""
-        first, find, base, state, total = self.first, self.find, self.bytes_at, self.root, 0
-        for b in word:
+    def _walk(self, part: bytes, state: int, total: int) -> tuple[int, int] | None:
+        first, find, base = self.first, self.find, self.bytes_at
+        number, target = self.number, self.target
+        for b in part:
             edge = find(_ONE[b], base + first[state], base + first[state + 1])
             if edge < 0:
                 return None
-            total += self.number[edge - base]
-            state = self.target[edge - base]
+            total += number[edge - base]
+            state = target[edge - base]
+        return state, total
+
+    def get(self, word: bytes) -> bytes | None:
+        """The word's ids as little-endian 32-bit numbers, or None."""
+        known = self.stems.get(word[:STEM]) if len(word) > STEM else None
+        if known is None and len(word) > STEM:
+            known = self._walk(word[:STEM], self.root, 0)
+            if known is None:
+                return None
+            self.stems[word[:STEM]] = known
+        reached = self._walk(word[STEM:], *known) if known else self._walk(word, self.root, 0)
+        if reached is None:
+            return None
+        state, total = reached
         if not self.final[state]:
             return None
         return bytes(self.ids[self.offset[total]:self.offset[total + 1]])
@@ -210,13 +228,27 @@ class Lexicon:
 _PATTERN = regex.compile(PRETOKENS)
 
 
+def _words_of(chunk: str) -> list[str]:
+    """Words of a blank and a chunk of text that holds no blank.
+
+    The usual forms, a word and a word with a stop, need no pattern.
+    """
+    if chunk.isalpha():
+        return [" " + chunk]
+    if chunk[-1:] in (".", ",") and chunk[:-1].isalpha():
+        return [" " + chunk[:-1], chunk[-1]]
+    return _PATTERN.findall(" " + chunk)
+
+
 def _count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Words of the texts with their counts, in bounded pieces."""
-    def pieces(chunks: Counter):
-        words: Counter = Counter()
-        for chunk, n in chunks.items():
-            for w in _PATTERN.findall(chunk):
-                words[w] += n
+    def pieces(heads: Counter, chunks: Counter):
+        words: dict[str, int] = {}
+        get = words.get
+        for cut, found in ((_PATTERN.findall, heads), (_words_of, chunks)):
+            for chunk, n in found.items():
+                for w in cut(chunk):
+                    words[w] = get(w, 0) + n
         keys = list(words)
         for at in range(0, len(keys), 50_000):
             part = keys[at:at + 50_000]
@@ -224,17 +256,17 @@ def _count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 [pa.array(part, pa.string()), pa.array([words[w] for w in part], pa.int64())],
                 names=["word", "n"])
 
-    chunks: Counter = Counter()
+    heads, chunks = Counter(), Counter()
     for batch in batches:
         for text in batch.column(0).to_pylist():
             if text:
                 head, *rest = text.split(" ")
-                chunks[head] += 1
-                chunks.update([" " + c for c in rest])
-                if len(chunks) > 400_000:
-                    yield from pieces(chunks)
-                    chunks = Counter()
-    yield from pieces(chunks)
+                heads[head] += 1
+                chunks.update(rest)
+                if len(chunks) + len(heads) > 400_000:
+                    yield from pieces(heads, chunks)
+                    heads, chunks = Counter(), Counter()
+    yield from pieces(heads, chunks)
 
 
 def frequent_words(docs: DataFrame, text: str = "text", most: int = LEXICON_WORDS) -> DataFrame:
@@ -296,9 +328,10 @@ class Encoder:
 
     def __init__(self, vocabulary: Merger, lexicon: Lexicon | None = None,
                  remember: int = 300_000):
-        """``remember`` bounds the words, and the chunks, that are kept in memory.
+        """``remember`` bounds the words, and 3 / 2 of it the chunks, kept in memory.
 
-        At the bound the memory becomes the older one, which is asked second.
+        At the bound the memory becomes the older one, which is asked second. A
+        chunk that is one word is remembered as a chunk alone.
         """
         self.vocabulary, self.lexicon, self.remember = vocabulary, lexicon, remember
         self.words: dict[str, bytes] = {}
@@ -314,17 +347,21 @@ class Encoder:
         if ids is None:
             ids = self.older_words.get(word)
             if ids is None:
-                raw = word.encode("utf-8", "surrogatepass")
-                ids = self.lexicon.get(raw) if self.lexicon else None
-                if ids is None:
-                    merged = self.vocabulary.merge(raw)
-                    ids = struct.pack(f"<{len(merged)}I", *merged)
+                ids = self._new(word)
             if len(self.words) >= self.remember:
                 self.words, self.older_words = {}, self.words
             if len(word) <= LONGEST_WORD:
                 self.words[word] = ids
         return ids
 
+    def _new(self, word: str) -> bytes:
+        raw = word.encode("utf-8", "surrogatepass")
+        ids = self.lexicon.get(raw) if self.lexicon else None
+        if ids is None:
+            merged = self.vocabulary.merge(raw)
+            ids = struct.pack(f"<{len(merged)}I", *merged)
+        return ids
+
     def plain(self, text: str) -> bytes:
         return b"".join(map(self.word, _PATTERN.findall(text)))
 
@@ -336,12 +373,12 @@ class Encoder:
         if ids is None:
             # The usual forms, a word and a word with a stop, need no pattern.
             if chunk.isalpha():
-                ids = self.word(" " + chunk)
-            elif chunk[-1] in ".," and chunk[:-1].isalpha():
-                ids = self.word(" " + chunk[:-1]) + self.word(chunk[-1])
+                ids = self._new(" " + chunk)
+            elif chunk[-1] in ".," and (stem := chunk[:-1]).isalpha():
+                ids = (self.chunks.get(stem) or self._chunk(stem)) + self.word(chunk[-1])
             else:
                 ids = self.plain(" " + chunk)
-        if len(self.chunks) >= self.remember:
+        if len(self.chunks) >= 3 * self.remember // 2:
             self.chunks, self.older_chunks = {}, self.chunks
         if len(chunk) <= LONGEST_WORD:
             self.chunks[chunk] = ids
@@ -355,6 +392,15 @@ class Encoder:
         meets, the piece up to the next character is taken whole.
         """
         head, *rest = text.split(" ")
+        if head and not head[-1].isspace():
+            # No blank meets other white space in most texts.
+            found = list(map(self.chunks.get, rest))
+            for at in [k for k, ids in enumerate(found) if ids is None]:
+                found[at] = self.chunks.get(rest[at]) or self._chunk(rest[at])
+                if found[at] is None:
+                    break
+            else:
+                return self.plain(head) + b"".join(found)
         out, get, open_piece = [], self.chunks.get, head
         if not head or head[-1].isspace():
             pass
@@ -389,9 +435,21 @@ class Encoder:
         return b"".join([*out, self.part(text[at:])])
 
     def decode(self, ids: bytes) -> str:
+        return self._bytes(ids).decode("utf-8", "replace")
+
+    def _bytes(self, ids: bytes) -> bytes:
         token = self.vocabulary.token
         numbers = np.frombuffer(ids, "<u4").tolist()
-        return b"".join(map(token.__getitem__, numbers)).decode("utf-8", "replace")
+        return b"".join(map(token.__getitem__, numbers))
+
+    def decoded(self, ids: bytes) -> bytes:
+        """The decoded text in UTF-8; bytes that are UTF-8 already stand for themselves."""
+        raw = self._bytes(ids)
+        try:
+            raw.decode("utf-8")
+        except UnicodeDecodeError:
+            return raw.decode("utf-8", "replace").encode("utf-8")
+        return raw
 
 
 def read_spec(path: str) -> str:
@@ -428,7 +486,7 @@ def digests(docs: DataFrame, vocabulary: str, doc_id: str = "doc_id", text: str
             counts, of_ids, of_text = [], [], []
             for t in texts:
                 ids = encoder.encode(t or "")
-                back = encoder.decode(ids).encode("utf-8", "surrogatepass")
+                back = encoder.decoded(ids)
                 counts.append(len(ids) // 4)
                 of_ids.append(hashlib.sha256(ids).hexdigest())
                 of_text.append(hashlib.sha256(back).hexdigest())
