@@ -29,3 +29,19 @@ def test_words_are_counted_as_the_pattern_cuts_them():
         got |= dict(zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True))
     assert {w: n for w, n in got.items() if not w.isspace()} == {
         w: n for w, n in want.items() if not w.isspace()}
+
+
+def test_words_and_extensions_by_language():
+    from tillspark.llm import collocations as co
+    batch = pa.RecordBatch.from_arrays(
+        [pa.array(["en", "de", None, "en"]),
+         pa.array(["A b\ta b, a", "a b a\rc", "a", "\x01\x00 x"])], names=["lang", "text"])
+    rows = lambda run: {k: n for b in run for k, n in zip(
+        b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True)}
+    assert rows(co._count_words(iter([batch]))) == {
+        b"en\x00a": 3, b"en\x00b": 2, b"en\x00\x01\x02\x01\x01": 1, b"en\x00x": 1,
+        b"de\x00a": 2, b"de\x00b": 1, b"de\x00c": 1, b"und\x00a": 1}
+    assert rows(co._extensions({b"en\x00a"})(iter([batch]))) == {
+        b"en\x00a\x00b": 2, b"en\x00a": 1}
+    assert rows(co._extensions({b"en\x00a\x00b", b"de\x00b\x00a"})(iter([batch]))) == {
+        b"en\x00a\x00b\x00a": 1, b"en\x00a\x00b": 1, b"de\x00b\x00a": 1}

@@ -21,6 +21,7 @@ from __future__ import annotations
 
 from collections import Counter
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -62,7 +63,7 @@ def pieces(text: str) -> Iterator[list[bytes]]:
     """Words of each piece that has any, lower-cased and escaped."""
     raw = _escape(text.encode("utf-8", "surrogatepass").translate(_CLEAN))
     for piece in raw.split(b"\n"):
-        words = [w for w in piece.split(b" ") if w]
+        words = piece.split()  # of white space only blanks are left in a piece
         if words:
             yield words
 
@@ -90,26 +91,46 @@ def _counted(keys: Iterator[list[bytes]], add) -> Iterator[pa.RecordBatch]:
         yield add(held)
 
 
-def _key_rows(held: Counter) -> pa.RecordBatch:
+def _key_rows(held: dict[bytes, int]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays(
         [pa.array(list(held), pa.binary()), pa.array(list(held.values()), pa.int64())],
         names=["key", "n"])
 
 
 def _count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    yield from _counted(([lang + _GAP + w for words in pieces(text) for w in words]
-                         for lang, text in _texts(batches)), _key_rows)
+    """Words counted by language, which is written before them once they leave."""
+    held: dict[bytes, Counter] = {}
+
+    def rows() -> pa.RecordBatch:
+        return _key_rows({lang + _GAP + w: n for lang, words in held.items()
+                          for w, n in words.items()})
+    for lang, text in _texts(batches):
+        held.setdefault(lang, Counter()).update(chain.from_iterable(pieces(text)))
+        if sum(map(len, held.values())) >= HELD:
+            yield rows()
+            held = {}
+    if held:
+        yield rows()
 
 
 def _extensions(heavy: set[bytes]):
     """Counts of the heavy prefixes' extensions by one word, or by their piece's end."""
     depth = next(iter(heavy)).count(_GAP)
+    # Only a suffix whose first word begins a heavy prefix is looked at.
+    begins: dict[bytes, set[bytes]] = {}
+    for prefix in heavy:
+        lang, word = prefix.split(_GAP, 2)[:2]
+        begins.setdefault(lang, set()).add(word)
 
     def keys(lang: bytes, text: str) -> list[bytes]:
-        out = []
+        out, mine = [], begins.get(lang)
+        if mine is None:
+            return out
         for words in pieces(text):
-            for k in range(len(words)):
-                if _GAP.join((lang, *words[k:k + depth])) in heavy:
+            if mine.isdisjoint(words):
+                continue
+            for k, word in enumerate(words):
+                if word in mine and _GAP.join((lang, *words[k:k + depth])) in heavy:
                     out.append(_GAP.join((lang, *words[k:k + depth + 1])))
         return out
 
