@@ -121,3 +121,12 @@ def test_little_data(spark):
         .prediction == 3.0
     none = fit_many(one.limit(0), ["a", "b"], [Settings(maxIter=2)]).models[0]
     assert none.transform(one).first().prediction == 0.0
+
+
+def test_models_fitted_for_their_errors_alone_leave_their_trees_behind(noisy, monkeypatch):
+    whole = fit_many(noisy, ["a", "b", "c"], SETTINGS[::-1], {0: SPANS[2]}, (2, 5))
+    for most in (boosting.SMALL_TABLE, 100):
+        monkeypatch.setattr(boosting, "SMALL_TABLE", most)
+        got = fit_many(noisy, ["a", "b", "c"], SETTINGS[::-1], {0: SPANS[2]}, (2, 5), 1)
+        assert got.errors == whole.errors and not got.models[0].trees
+        assert [m.trees for m in got.models[1:]] == [m.trees for m in whole.models[1:]]

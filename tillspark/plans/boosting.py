@@ -24,6 +24,7 @@ import json
 from collections.abc import Callable, Iterator
 from dataclasses import asdict, dataclass, field, replace
 from datetime import date
+from typing import ClassVar
 
 import numpy as np
 import pandas as pd
@@ -47,7 +48,10 @@ CHECKPOINT_EVERY = 25
 #: Bits of a gradient. A count and a sum over ``SMALL_TABLE`` rows share one
 #: float without loss: the count in units of 2 ** 36.
 GRADIENT_BITS = 18
-_COUNT_UNIT = 2.0**36
+_COUNT_BITS = 36
+_COUNT_UNIT = 2.0**_COUNT_BITS
+#: Bins of nodes that are looked at together; they should stay in a core's cache.
+SUMS_AT_ONCE = 1 << 16
 #: Bits below one of a squared error, for exact sums.
 ERROR_BITS = 20
 LEAST_GAIN = 1e-6
@@ -135,121 +139,168 @@ class Layout:
     def total(self) -> int:
         return int(sum(self.sizes))
 
+    def only(self, columns: np.ndarray) -> Layout:
+        return Layout(tuple(self.sizes[c] for c in columns.tolist()))
 
-def best_splits(gradients: np.ndarray, counts: np.ndarray, layout: Layout,
+
+def up_to(sums: np.ndarray, layout: Layout) -> np.ndarray:
+    """Sums of each histogram from a feature's first bin to each of its bins."""
+    out = np.cumsum(sums, axis=1)
+    before = out[:, layout.starts[1:] - 1]
+    for k, (at, size) in enumerate(zip(layout.starts[1:].tolist(), layout.sizes[1:], strict=True)):
+        out[:, at:at + size] -= before[:, k:k + 1]
+    return out
+
+
+def unpacked(both: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Gradient sums and counts that share whole numbers."""
+    n = (both + (1 << (_COUNT_BITS - 1))) >> _COUNT_BITS
+    return both - (n << _COUNT_BITS), n
+
+
+def best_splits(g_left: np.ndarray, n_left: np.ndarray, layout: Layout,
                 columns: np.ndarray, s: Settings, unit: float) -> list[tuple | None]:
-    """The best split of each node from its histograms; ties by feature and bin."""
+    """The best split of each node from the sums ``up_to`` each bin of ``columns``.
+
+    Ties go by feature and bin. Missing values are tried on the right where a
+    node has any; they lie left of the other bins.
+    """
     starts, sizes = layout.starts, np.array(layout.sizes)
-    owner = np.repeat(np.arange(len(sizes)), sizes)
-    first = starts[owner]
-
-    def inside(h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        up_to = np.cumsum(h, axis=1)
-        before = np.concatenate((np.zeros((len(h), 1), h.dtype), up_to), axis=1)[:, first]
-        return up_to - before, h[:, first]
-    g_left, g_missing = inside(gradients)
-    n_left, n_missing = inside(counts)
-    size = sizes[0]
-    g_all = gradients[:, :size].sum(1, keepdims=True)
-    n_all = counts[:, :size].sum(1, keepdims=True)
-    allowed = np.isin(owner, columns)
-    found = []
-    for g, n in ((g_left, n_left), (g_left - g_missing, n_left - n_missing)):
-        low = np.maximum(s.minLeafRows, 1)
-        good = allowed & (n >= low) & (n_all - n >= low)
+    g_all, n_all = (h[:, sizes[0] - 1:sizes[0]] for h in (g_left, n_left))
+    total, low = g_all * unit, max(s.minLeafRows, 1)
+    least = total * total / np.maximum(n_all + s.l2, 1e-300)
+
+    def gains(g: np.ndarray, n: np.ndarray) -> np.ndarray:
+        a, rest = g * unit, n_all - n
+        b = total - a
+        a *= a
+        b *= b
         with np.errstate(divide="ignore", invalid="ignore"):
-            a, b, c = g * unit, (g_all - g) * unit, g_all * unit
-            gain = a * a / (n + s.l2) + b * b / (n_all - n + s.l2) - c * c / (n_all + s.l2)
-        found.append(np.where(good, gain, -np.inf))
-    both = np.concatenate(found, axis=1)
-    at = both.argmax(1)
+            a /= n + s.l2
+            b /= rest + s.l2
+        a += b
+        a -= least
+        np.putmask(a, np.minimum(n, rest) < low, -np.inf)
+        return a
+    gain = gains(g_left, n_left)
+    at = gain.argmax(1)
+    best = gain[np.arange(len(gain)), at]
+    found = [(float(x), k, True) for x, k in zip(best, at.tolist(), strict=True)]
+    gaps = np.flatnonzero((n_left[:, starts] > 0).any(0))
+    if len(gaps):
+        owner = np.repeat(gaps, sizes[gaps])
+        place = np.concatenate([np.arange(starts[k], starts[k] + sizes[k]) for k in gaps])
+        right = gains(*(h[:, place] - h[:, starts[owner]] for h in (g_left, n_left)))
+        at = right.argmax(1)
+        better = right[np.arange(len(right)), at]
+        for k in np.flatnonzero(better > best).tolist():
+            found[k] = (float(better[k]), int(place[at[k]]), False)
     out = []
-    for k, place in enumerate(at.tolist()):
-        gain, right = float(both[k, place]), place >= layout.total
-        place %= layout.total
-        if not gain > LEAST_GAIN:
+    for k, (value, place, left) in enumerate(found):
+        if not value > LEAST_GAIN:
             out.append(None)
             continue
-        g = int(g_left[k, place] - (g_missing[k, place] if right else 0))
-        n = int(n_left[k, place] - (n_missing[k, place] if right else 0))
-        out.append((gain, int(owner[place]), int(place - first[place]), not right, g, n))
+        feature = int(np.searchsorted(starts, place, side="right")) - 1
+        first = starts[feature]
+        g, n = (int(h[k, place] - (0 if left else h[k, first])) for h in (g_left, n_left))
+        out.append((value, int(columns[feature]), int(place - first), left, g, n))
     return out
 
 
-def histograms(places: np.ndarray, gradient: np.ndarray, slot: np.ndarray, slots: int,
-               layout: Layout, columns: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Gradient sums and counts by (slot, bin) of the chosen columns.
+def histograms(bins: np.ndarray, rows: np.ndarray, packed: np.ndarray, slot: np.ndarray,
+               slots: int, layout: Layout, columns: np.ndarray) -> np.ndarray:
+    """Gradient sums and counts, in one number, by (slot, bin) of ``columns``.
 
-    ``places`` are the columns' bins moved to their starts; at most
+    Feature by feature, so that the sums being added to are few; at most
     ``SMALL_TABLE`` rows.
     """
-    at = places + (slot * layout.total).astype(np.int32)[:, None]
-    weights = np.repeat(gradient + _COUNT_UNIT, places.shape[1])
-    both = np.bincount(at.ravel(), weights, slots * layout.total).reshape(slots, -1)
-    counts = np.rint(both / _COUNT_UNIT)
-    sums = (both - counts * _COUNT_UNIT).astype(np.int64)
-    counts = counts.astype(np.int64)
-    # Every node needs its totals; a first column left out holds them at bin 0.
-    if columns[0] != 0:
-        first = slice(layout.starts[columns[0]],
-                      layout.starts[columns[0]] + layout.sizes[columns[0]])
-        sums[:, 0], counts[:, 0] = sums[:, first].sum(1), counts[:, first].sum(1)
-    return sums, counts
-
-
-def placed(bins: np.ndarray, layout: Layout, columns: np.ndarray) -> np.ndarray:
-    return bins[:, columns] + layout.starts[columns].astype(np.int32)
-
-
-def route(bins: np.ndarray, nodes: list[Node], s: Settings, start: np.ndarray) -> np.ndarray:
-    """The node that each row reaches."""
-    table = np.full((len(nodes), 5), -1, np.int64)
-    for k in chosen(nodes, s):
-        node = nodes[k]
-        if node.left >= 0:
-            table[k] = (node.split[1], node.split[2], node.split[3], node.left, node.right)
-    at, rows = start.copy(), np.arange(len(bins))
-    while len(rows):
-        here = table[at[rows]]
-        rows, here = rows[here[:, 0] >= 0], here[here[:, 0] >= 0]
-        value = bins[rows, here[:, 0]]
-        left = np.where(value == 0, here[:, 2] == 1, value <= here[:, 1])
-        at[rows] = np.where(left, here[:, 3], here[:, 4])
-    return at
-
-
-def grow_here(bins: np.ndarray, gradient: np.ndarray, root: Node, s: Settings,
+    out = np.empty((slots, layout.total), np.int64)
+    at = np.empty(len(rows), np.int64)
+    for column, start, size in zip(columns.tolist(), layout.starts.tolist(), layout.sizes,
+                                   strict=True):
+        np.multiply(slot, size, out=at)
+        at += bins[column].take(rows)
+        out[:, start:start + size] = np.bincount(at, packed, slots * size).reshape(slots, size)
+    return out
+
+
+@dataclass
+class Turns:
+    """Where rows go from each node; a last node has feature -1, right follows left."""
+
+    feature: np.ndarray
+    cut: np.ndarray
+    shift: np.ndarray  # 1 where missing values go right, as bin 255 then
+    left: np.ndarray
+
+    @classmethod
+    def of(cls, size: int, splits: list[tuple]) -> Turns:
+        """From (node, feature, bin, missing left, left child)."""
+        out = cls(np.full(size, -1), np.zeros(size, np.uint8), np.zeros(size, np.uint8),
+                  np.zeros(size, np.int64))
+        if splits:
+            node, feature, cut, left, child = (np.array(x) for x in zip(*splits, strict=True))
+            out.feature[node], out.left[node] = feature, child
+            out.shift[node], out.cut[node] = 1 - left, cut - (1 - left)
+        return out
+
+
+def descend(bins: np.ndarray, rows: np.ndarray, at: np.ndarray, turns: Turns) -> None:
+    """Moves ``rows`` from their nodes ``at`` as far down as there are turns."""
+    flat, width = bins.ravel(), bins.shape[1]
+    go = np.flatnonzero(turns.feature.take(at) >= 0)
+    while len(go):
+        node = at.take(go)
+        value = flat.take(turns.feature.take(node) * width + rows.take(go))
+        value -= turns.shift.take(node)
+        node = turns.left.take(node) + (value > turns.cut.take(node))
+        at[go] = node
+        go = go[turns.feature.take(node) >= 0]
+
+
+def turns_of(nodes: list[Node], picked: list[int]) -> Turns:
+    return Turns.of(len(nodes), [(k, *nodes[k].split[1:3], int(nodes[k].split[3]), nodes[k].left)
+                                 for k in picked if nodes[k].left >= 0])
+
+
+def grow_here(bins: np.ndarray, rows: np.ndarray, gradient: np.ndarray, root: Node, s: Settings,
               layout: Layout, columns: np.ndarray, unit: float) -> list[Node]:
-    """The whole subtree below a node whose rows are all here.
+    """The whole subtree below a node whose ``rows`` are all here.
 
     Of two siblings the smaller one's histogram is added up, the other's is
     what remains of their parent's.
     """
-    nodes, wanted = [root], [0]
-    at = np.zeros(len(bins), np.int64)
-    places = placed(bins, layout, columns)
-    known: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+    nodes, wanted, count, pairs = [root], [0], [0], []
+    at, packed = np.zeros(len(rows), np.int64), gradient + _COUNT_UNIT
+    own = layout.only(columns)
+    known: dict[int, np.ndarray] = {}
     while wanted:
-        parents = [k for k, n in enumerate(nodes) if n.left in wanted or n.right in wanted]
-        pairs = [sorted((nodes[k].left, nodes[k].right), key=lambda c: (nodes[c].n, c))
-                 for k in parents]
-        count = [small for small, _ in pairs] or wanted
         slot = np.full(len(nodes), -1)
         slot[count] = np.arange(len(count))
-        mine = np.flatnonzero(slot[at] >= 0)
-        g, n = histograms(places[mine], gradient[mine], slot[at[mine]], len(count), layout, columns)
-        level = {k: (g[i], n[i]) for i, k in enumerate(count)}
-        for k, (small, large) in zip(parents, pairs, strict=True):
-            level[large] = tuple(a - b for a, b in zip(known[k], level[small], strict=True))
-        splits = best_splits(*(np.stack([level[k][i] for k in wanted]) for i in (0, 1)),
-                             layout, columns, s, unit)
-        for k, split in zip(wanted, splits, strict=True):
-            nodes[k].split, nodes[k].known = split, True
-        known.update(level)
-        if nodes[0].n < 0:
-            nodes[0].gradient, nodes[0].n = (int(h[0, :layout.sizes[0]].sum()) for h in (g, n))
+        here = slot.take(at)
+        mine = np.flatnonzero(here >= 0)
+        level = dict(zip(count, histograms(bins, rows.take(mine), packed.take(mine),
+                                           here.take(mine), len(count), own, columns),
+                         strict=True))
+        for parent, small, large in pairs:
+            level[large] = known.pop(parent) - level[small]
+        some = max(1, SUMS_AT_ONCE // own.total)
+        for k in range(0, len(wanted), some):
+            part = wanted[k:k + some]
+            left = unpacked(up_to(np.stack([level[x] for x in part]), own))
+            if nodes[0].n < 0:
+                nodes[0].gradient, nodes[0].n = (int(h[0, own.sizes[0] - 1]) for h in left)
+            for x, split in zip(part, best_splits(*left, own, columns, s, unit), strict=True):
+                nodes[x].split, nodes[x].known = split, True
+                if split:
+                    known[x] = level[x]
+        old = len(nodes)
         wanted = open_children(nodes, s)
-        at = route(bins, nodes, s, at)
+        opened = [k for k, node in enumerate(nodes) if node.left >= old]
+        descend(bins, rows, at, turns_of(nodes, opened))
+        pairs = [(k, *sorted((nodes[k].left, nodes[k].right), key=lambda c: (nodes[c].n, c)))
+                 for k in opened if {nodes[k].left, nodes[k].right} & set(wanted)]
+        count = [small for _, small, _ in pairs]
     return nodes
 
 
@@ -257,7 +308,7 @@ def grow_here(bins: np.ndarray, gradient: np.ndarray, root: Node, s: Settings,
 
 @dataclass
 class Block:
-    bins: np.ndarray
+    bins: np.ndarray  # one row for each feature
     label: np.ndarray
     day: np.ndarray
     key: np.ndarray
@@ -290,7 +341,7 @@ def _to_blocks(features: list[str], edges: list[list[float]]):
                 get = lambda c: part.column(part.schema.get_field_index(c)).to_numpy(
                     zero_copy_only=False)
                 bins = np.stack([_binned(get(f"f{k}").astype(float), c) for k, c in
-                                 enumerate(cuts)], axis=1).astype(np.uint8)
+                                 enumerate(cuts)]).astype(np.uint8)
                 yield pa.RecordBatch.from_arrays(
                     [pa.array([a.tobytes()], pa.binary()) for a in
                      (bins, get("label").astype(float), get("day").astype(np.int32),
@@ -308,20 +359,25 @@ def _blocks(rows: DataFrame, features: list[str], edges: list[list[float]],
 
     def load(row) -> Block:
         label = np.frombuffer(row.label)
-        return Block(np.frombuffer(row.bins, np.uint8).reshape(-1, width), label,
+        return Block(np.frombuffer(row.bins, np.uint8).reshape(width, -1), label,
                      np.frombuffer(row.day, np.int32), np.frombuffer(row.key, np.uint64),
                      np.repeat(start, len(label), axis=1))
     shape = "bins binary, label binary, day binary, key binary"
     return packed.mapInArrow(_to_blocks(features, edges), shape).rdd.map(load)
 
 
+def mixed(x: np.ndarray) -> np.ndarray:
+    """Bits of whole numbers spread over 64 bits."""
+    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return x ^ (x >> np.uint64(31))
+
+
 def _sampled(key: np.ndarray, share: float, seed: int) -> np.ndarray:
     if share >= 1:
         return np.ones(len(key), bool)
-    x = key + np.uint64((seed * 0x9E3779B97F4A7C15) & (2**64 - 1))
-    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
-    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
-    return (x ^ (x >> np.uint64(31))) < np.uint64(int(share * 2**64))
+    x = mixed(key + np.uint64((seed * 0x9E3779B97F4A7C15) & (2**64 - 1)))
+    return x < np.uint64(int(share * 2**64))
 
 
 def columns_of(s: Settings, number: int, width: int) -> np.ndarray:
@@ -340,8 +396,11 @@ def _day(d: date | None) -> int:
 
 
 def _boost_here(settings: list[Settings], bases: list[float], layout: Layout, unit: float,
-                spans: dict[int, tuple[int, int]], marks: set[int]):
-    """All trees of models whose rows are in one part, and their held-out errors."""
+                spans: dict[int, tuple[int, int]], marks: set[int], kept: set[int]):
+    """All trees of models whose rows are in one part, and their held-out errors.
+
+    The trees of models that aren't ``kept`` stay behind.
+    """
     width = len(layout.sizes)
 
     def run(pairs: Iterator[tuple]) -> Iterator[tuple]:
@@ -350,18 +409,20 @@ def _boost_here(settings: list[Settings], bases: list[float], layout: Layout, un
             held.setdefault(m, []).append(part)
         for m in sorted(held):
             s = settings[m]
-            bins, label, day, key = (np.concatenate(x) for x in zip(*held.pop(m), strict=True))
+            bins, label, day, key = (np.concatenate(x, axis=-1)
+                                     for x in zip(*held.pop(m), strict=True))
             score = np.full(len(label), bases[m])
             train = day <= _day(s.last)
             trees, gains, errors = [], [], {}
             for number in range(s.maxIter):
                 rows = np.flatnonzero(train & _sampled(
                     key, s.subsamplingRate, s.seed * 1_000_003 + number))
-                nodes = grow_here(bins[rows], gradients(score[rows], label[rows], unit),
+                nodes = grow_here(bins, rows, gradients(score[rows], label[rows], unit),
                                   Node(0, 0, -1), s, layout, columns_of(s, number, width), unit)
                 tree, gain = _finished(nodes, s, unit)
-                trees.append(tree)
-                gains.append(gain)
+                if m in kept:
+                    trees.append(tree)
+                    gains.append(gain)
                 score += value_of(np.array(tree), bins)
                 if number + 1 in marks and m in spans:
                     low, high = spans[m]
@@ -392,17 +453,18 @@ def _work(settings: list[Settings], trees: list[list[Node]], wanted: dict[int, l
                     block.key, s.subsamplingRate, s.seed * 1_000_003 + number))
                 if not len(rows):
                     continue
-                bins = block.bins[rows]
                 gradient = gradients(block.score[m, rows], block.label[rows], unit)
-                at = route(bins, trees[m], s, np.zeros(len(rows), np.int64))
+                at = np.zeros(len(rows), np.int64)
+                descend(block.bins, rows, at, turns_of(trees[m], chosen(trees[m], s)))
                 columns = columns_of(s, number, width)
                 large = [k for k in nodes if not 0 <= trees[m][k].n <= SMALL_NODE]
                 if large:
                     slot = np.full(len(trees[m]), -1)
                     slot[large] = np.arange(len(large))
-                    mine = slot[at] >= 0
-                    g, n = histograms(placed(bins[mine], layout, columns), gradient[mine],
-                                      slot[at[mine]], len(large), layout, columns)
+                    mine = np.flatnonzero(slot[at] >= 0)
+                    g, n = unpacked(histograms(
+                        block.bins, rows[mine], gradient[mine] + _COUNT_UNIT, slot[at[mine]],
+                        len(large), layout.only(columns), columns))
                     for k, node in enumerate(large):
                         if (m, node) in sums:
                             sums[m, node][0] += g[k]
@@ -412,10 +474,10 @@ def _work(settings: list[Settings], trees: list[list[Node]], wanted: dict[int, l
                 for node in set(nodes) - set(large):
                     own = at == node
                     taken.setdefault((m, node), []).append(
-                        (bins[own], gradient[own].astype(np.int32)))
+                        (block.bins[:, rows[own]], gradient[own].astype(np.int32)))
         yield from ((k, ("sums", v)) for k, v in sums.items())
         for k, parts in taken.items():
-            yield k, ("rows", [np.concatenate(x) for x in zip(*parts, strict=True)])
+            yield k, ("rows", [np.concatenate(x, axis=-1) for x in zip(*parts, strict=True)])
     return run
 
 
@@ -437,15 +499,17 @@ def _decide(settings: list[Settings], trees: list[list[Node]], layout: Layout, n
                 sums[key] = [value[0].copy(), value[1].copy()]
         for (m, node), (g, n) in sums.items():
             s = settings[m]
-            split = best_splits(g[None], n[None], layout, columns_of(s, number, width), s, unit)[0]
-            size = layout.sizes[0]
+            columns = columns_of(s, number, width)
+            own = layout.only(columns)
+            split = best_splits(up_to(g[None], own), up_to(n[None], own), own, columns, s, unit)[0]
+            size = own.sizes[0]
             yield m, node, [Node(trees[m][node].depth, int(g[:size].sum()), int(n[:size].sum()),
                                  split, True)]
         for (m, node), parts in taken.items():
             s = settings[m]
-            bins, gradient = (np.concatenate(x) for x in zip(*parts, strict=True))
+            bins, gradient = (np.concatenate(x, axis=-1) for x in zip(*parts, strict=True))
             root = replace(trees[m][node], left=-1, right=-1)
-            yield m, node, grow_here(bins, gradient, root, s, layout,
+            yield m, node, grow_here(bins, np.arange(bins.shape[1]), gradient, root, s, layout,
                                      columns_of(s, number, width), unit)
     return run
 
@@ -467,6 +531,9 @@ def _graft(nodes: list[Node], at: int, subtree: list[Node]) -> None:
 class BoostedTrees:
     """A fitted model: ``transform`` adds ``prediction`` to rows with the features."""
 
+    #: Tells a saved model's kind.
+    format: ClassVar[str] = "trees"
+
     features: list[str]
     edges: list[list[float]]
     base: float
@@ -496,8 +563,8 @@ class BoostedTrees:
 
         def score(values: list[np.ndarray]) -> np.ndarray:
             bins = np.stack([_binned(v.astype(float), c)
-                             for v, c in zip(values, cuts, strict=True)], axis=1)
-            out = np.full(len(bins), self.base)
+                             for v, c in zip(values, cuts, strict=True)]).astype(np.uint8)
+            out = np.full(bins.shape[1], self.base)
             for table in tables:
                 out += value_of(table, bins)
             return out
@@ -539,15 +606,11 @@ class BoostedTrees:
 
 def value_of(table: np.ndarray, bins: np.ndarray) -> np.ndarray:
     """Each row's value in a tree of (feature, bin, missing left, left, right, value)."""
-    at, rows = np.zeros(len(bins), np.int64), np.arange(len(bins))
-    shape = table[:, :5].astype(np.int64)
-    while len(rows):
-        here = shape[at[rows]]
-        rows, here = rows[here[:, 0] >= 0], here[here[:, 0] >= 0]
-        value = bins[rows, here[:, 0]]
-        left = np.where(value == 0, here[:, 2] == 1, value <= here[:, 1])
-        at[rows] = np.where(left, here[:, 3], here[:, 4])
-    return table[at, 5]
+    rows = np.arange(bins.shape[1])
+    at, inner = np.zeros(len(rows), np.int64), np.flatnonzero(table[:, 0] >= 0)
+    descend(bins, rows, at, Turns.of(len(table), [
+        (k, *map(int, table[k, :4])) for k in inner.tolist()]))
+    return table[:, 5].take(at)
 
 
 def _finished(nodes: list[Node], s: Settings, unit: float) -> tuple[list[tuple], list[float]]:
@@ -580,11 +643,12 @@ class Fitted:
 
 def fit_many(rows: DataFrame, features: list[str], settings: list[Settings],
              spans: dict[int, tuple[date, date]] | None = None,
-             marks: tuple[int, ...] = ()) -> Fitted:
+             marks: tuple[int, ...] = (), errors_only: int = 0) -> Fitted:
     """Fits all ``settings`` on ``rows`` (date, label, key, features) side by side.
 
     ``spans`` names held-out dates of models; their errors are taken after as
-    many trees as ``marks`` say.
+    many trees as ``marks`` say. Of the first ``errors_only`` models nothing
+    else is returned: the driver need not hold their trees.
     """
     spark, sc = rows.sparkSession, rows.sparkSession.sparkContext
     ship(spark)
@@ -604,15 +668,16 @@ def fit_many(rows: DataFrame, features: list[str], settings: list[Settings],
     parts = int(min(max(1, -(-found[1] // BLOCK_ROWS)), 4 * sc.defaultParallelism))
     blocks = _blocks(rows.repartition(parts), features, edges, [m.base for m in models])
     if found[1] <= SMALL_TABLE:
-        errors = _fit_small(blocks, models, layout, unit, days, set(marks))
+        errors = _fit_small(blocks, models, layout, unit, days, set(marks), errors_only)
     else:
-        errors = _fit_large(blocks, models, layout, unit, days, set(marks), parts)
+        errors = _fit_large(blocks, models, layout, unit, days, set(marks), parts,
+                            errors_only)
     return Fitted(models, {key: (s / n / 2**ERROR_BITS) ** 0.5 if n else float("nan")
                            for key, (s, n) in errors.items()})
 
 
 def _fit_small(blocks: RDD, models: list[BoostedTrees], layout: Layout, unit: float,
-               days: dict, marks: set[int]) -> dict:
+               days: dict, marks: set[int], errors_only: int) -> dict:
     """Each model's rows, up to its last held-out day, to a task of its own."""
     settings = [m.settings for m in models]
     until = [max(_day(s.last), days.get(m, (0, -1))[1]) for m, s in enumerate(settings)]
@@ -625,10 +690,11 @@ def _fit_small(blocks: RDD, models: list[BoostedTrees], layout: Layout, unit: fl
         for m in range(len(settings)):
             rows = block.day <= until[m]
             if rows.any():
-                yield m, (block.bins[rows], block.label[rows], block.day[rows], block.key[rows])
+                yield m, (block.bins[:, rows], block.label[rows], block.day[rows], block.key[rows])
 
     done = blocks.flatMap(deal).partitionBy(len(models), place.__getitem__).mapPartitions(
-        _boost_here(settings, [m.base for m in models], layout, unit, days, marks)).collect()
+        _boost_here(settings, [m.base for m in models], layout, unit, days, marks,
+                    set(range(errors_only, len(models))))).collect()
     errors = {}
     for m, trees, gains, found in done:
         models[m].trees, models[m].gains = trees, gains
@@ -637,7 +703,7 @@ def _fit_small(blocks: RDD, models: list[BoostedTrees], layout: Layout, unit: fl
 
 
 def _fit_large(blocks: RDD, models: list[BoostedTrees], layout: Layout, unit: float,
-               days: dict, marks: set[int], parts: int) -> dict:
+               days: dict, marks: set[int], parts: int, errors_only: int) -> dict:
     """One job a level for all models; the rows stay where they are."""
     settings, level = [m.settings for m in models], StorageLevel.MEMORY_AND_DISK
     blocks, errors = blocks.persist(level), {}
@@ -656,8 +722,9 @@ def _fit_large(blocks: RDD, models: list[BoostedTrees], layout: Layout, unit: fl
         tables: dict[int, np.ndarray] = {}
         for m in active:
             tree, gains = _finished(trees[m], settings[m], unit)
-            models[m].trees.append(tree)
-            models[m].gains.append(gains)
+            if m >= errors_only:
+                models[m].trees.append(tree)
+                models[m].gains.append(gains)
             tables[m] = np.array(tree)
         blocks = _next(blocks, tables, number, level)
         if number + 1 in marks:
