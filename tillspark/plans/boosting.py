@@ -180,7 +180,9 @@ def best_splits(g_left: np.ndarray, n_left: np.ndarray, layout: Layout,
             b /= rest + s.l2
         a += b
         a -= least
-        np.putmask(a, np.minimum(n, rest) < low, -np.inf)
+        # A side without rows gains nothing, unless it is divided by none.
+        if low > 1 or s.l2 <= 0:
+            np.putmask(a, np.minimum(n, rest) < low, -np.inf)
         return a
     gain = gains(g_left, n_left)
     at = gain.argmax(1)
@@ -215,12 +217,13 @@ def histograms(bins: np.ndarray, rows: np.ndarray, packed: np.ndarray, slot: np.
     ``SMALL_TABLE`` rows.
     """
     out = np.empty((slots, layout.total), np.int64)
-    at = np.empty(len(rows), np.int64)
+    most, at = max(layout.sizes), np.empty(len(rows), np.int64)
+    first = slot * most
     for column, start, size in zip(columns.tolist(), layout.starts.tolist(), layout.sizes,
                                    strict=True):
-        np.multiply(slot, size, out=at)
-        at += bins[column].take(rows)
-        out[:, start:start + size] = np.bincount(at, packed, slots * size).reshape(slots, size)
+        np.add(first, bins[column].take(rows), out=at)
+        sums = np.bincount(at, packed, slots * most).reshape(slots, most)
+        out[:, start:start + size] = sums[:, :size]
     return out
 
 
@@ -247,15 +250,18 @@ class Turns:
 
 def descend(bins: np.ndarray, rows: np.ndarray, at: np.ndarray, turns: Turns) -> None:
     """Moves ``rows`` from their nodes ``at`` as far down as there are turns."""
-    flat, width = bins.ravel(), bins.shape[1]
-    go = np.flatnonzero(turns.feature.take(at) >= 0)
+    flat, last, shifted = bins.ravel(), turns.feature < 0, turns.shift.any()
+    start = turns.feature * bins.shape[1]
+    deeper = bool((~last[turns.left[~last]]).any() or (~last[turns.left[~last] + 1]).any())
+    go = np.flatnonzero(start.take(at) >= 0)
     while len(go):
         node = at.take(go)
-        value = flat.take(turns.feature.take(node) * width + rows.take(go))
-        value -= turns.shift.take(node)
+        value = flat.take(start.take(node) + rows.take(go))
+        if shifted:
+            value -= turns.shift.take(node)
         node = turns.left.take(node) + (value > turns.cut.take(node))
         at[go] = node
-        go = go[turns.feature.take(node) >= 0]
+        go = go[start.take(node) >= 0] if deeper else go[:0]
 
 
 def turns_of(nodes: list[Node], picked: list[int]) -> Turns:
@@ -264,8 +270,8 @@ def turns_of(nodes: list[Node], picked: list[int]) -> Turns:
 
 
 def grow_here(bins: np.ndarray, rows: np.ndarray, gradient: np.ndarray, root: Node, s: Settings,
-              layout: Layout, columns: np.ndarray, unit: float) -> list[Node]:
-    """The whole subtree below a node whose ``rows`` are all here.
+              layout: Layout, columns: np.ndarray, unit: float) -> tuple[list[Node], np.ndarray]:
+    """The whole subtree below a node whose ``rows`` are all here, and their nodes in it.
 
     Of two siblings the smaller one's histogram is added up, the other's is
     what remains of their parent's.
@@ -301,7 +307,7 @@ def grow_here(bins: np.ndarray, rows: np.ndarray, gradient: np.ndarray, root: No
         pairs = [(k, *sorted((nodes[k].left, nodes[k].right), key=lambda c: (nodes[c].n, c)))
                  for k in opened if {nodes[k].left, nodes[k].right} & set(wanted)]
         count = [small for _, small, _ in pairs]
-    return nodes
+    return nodes, at
 
 
 # ---- blocks of rows ------------------------------------------------------------------
@@ -415,15 +421,17 @@ def _boost_here(settings: list[Settings], bases: list[float], layout: Layout, un
             train = day <= _day(s.last)
             trees, gains, errors = [], [], {}
             for number in range(s.maxIter):
-                rows = np.flatnonzero(train & _sampled(
-                    key, s.subsamplingRate, s.seed * 1_000_003 + number))
-                nodes = grow_here(bins, rows, gradients(score[rows], label[rows], unit),
-                                  Node(0, 0, -1), s, layout, columns_of(s, number, width), unit)
+                taken = train & _sampled(key, s.subsamplingRate, s.seed * 1_000_003 + number)
+                rows, others = np.flatnonzero(taken), np.flatnonzero(~taken)
+                nodes, at = grow_here(
+                    bins, rows, gradients(score[rows], label[rows], unit),
+                    Node(0, 0, -1), s, layout, columns_of(s, number, width), unit)
                 tree, gain = _finished(nodes, s, unit)
                 if m in kept:
                     trees.append(tree)
                     gains.append(gain)
-                score += value_of(np.array(tree), bins)
+                score[rows] += values_at(nodes, s, unit).take(at)
+                score[others] += value_of(np.array(tree), bins, others)
                 if number + 1 in marks and m in spans:
                     low, high = spans[m]
                     errors[number + 1] = _error(score, label, (day >= low) & (day <= high))
@@ -510,7 +518,7 @@ def _decide(settings: list[Settings], trees: list[list[Node]], layout: Layout, n
             bins, gradient = (np.concatenate(x, axis=-1) for x in zip(*parts, strict=True))
             root = replace(trees[m][node], left=-1, right=-1)
             yield m, node, grow_here(bins, np.arange(bins.shape[1]), gradient, root, s, layout,
-                                     columns_of(s, number, width), unit)
+                                     columns_of(s, number, width), unit)[0]
     return run
 
 
@@ -604,15 +612,34 @@ class BoostedTrees:
                    Settings(**head["settings"]), [t for t, _ in trees], [g for _, g in trees])
 
 
-def value_of(table: np.ndarray, bins: np.ndarray) -> np.ndarray:
-    """Each row's value in a tree of (feature, bin, missing left, left, right, value)."""
-    rows = np.arange(bins.shape[1])
+def value_of(table: np.ndarray, bins: np.ndarray, rows: np.ndarray | None = None) -> np.ndarray:
+    """The rows' values in a tree of (feature, bin, missing left, left, right, value)."""
+    rows = np.arange(bins.shape[1]) if rows is None else rows
     at, inner = np.zeros(len(rows), np.int64), np.flatnonzero(table[:, 0] >= 0)
     descend(bins, rows, at, Turns.of(len(table), [
         (k, *map(int, table[k, :4])) for k in inner.tolist()]))
     return table[:, 5].take(at)
 
 
+def _leaf(node: Node, s: Settings, unit: float) -> float:
+    return (-node.gradient * unit / (node.n + s.l2) if node.n else 0.0) * s.stepSize
+
+
+def values_at(nodes: list[Node], s: Settings, unit: float) -> np.ndarray:
+    """The finished tree's value for the rows of each node; below a leaf it is the leaf's."""
+    picked, out = set(chosen(nodes, s)), np.empty(len(nodes))
+    within = [False] * len(nodes)
+    for k, node in enumerate(nodes):
+        if not within[k]:
+            out[k] = _leaf(node, s, unit)
+        if node.left >= 0:
+            for child in (node.left, node.right):
+                within[child] = within[k] or k not in picked
+                if within[child]:
+                    out[child] = out[k]
+    return out
+
+
 def _finished(nodes: list[Node], s: Settings, unit: float) -> tuple[list[tuple], list[float]]:
     """Rows of a grown tree, parents first, and the gains of its splits."""
     picked, order = set(chosen(nodes, s)), [0]
@@ -628,8 +655,7 @@ def _finished(nodes: list[Node], s: Settings, unit: float) -> tuple[list[tuple],
             rows.append((feature, cut, int(left), place[node.left], place[node.right], 0.0))
             gains.append(gain)
         else:
-            value = -node.gradient * unit / (node.n + s.l2) if node.n else 0.0
-            rows.append((-1, 0, 0, 0, 0, value * s.stepSize))
+            rows.append((-1, 0, 0, 0, 0, _leaf(node, s, unit)))
             gains.append(0.0)
     return rows, gains
 
