@@ -328,7 +328,7 @@ def _binned(values: np.ndarray, edges: np.ndarray) -> np.ndarray:
 
 def find_edges(rows: DataFrame, features: list[str]) -> list[list[float]]:
     """Upper ends of each feature's bins but the last, at most ``BINS`` - 1."""
-    shares = [k / BINS for k in range(1, BINS)]
+    shares = F.lit(np.array([k / BINS for k in range(1, BINS)]))  # one literal, not an array of them
     got = rows.agg(*[F.percentile_approx(F.nanvl(F.col(f"`{c}`").cast("double"), F.lit(None)),
                                          shares, 10_000).alias(f"e{k}")
                      for k, c in enumerate(features)]).first()

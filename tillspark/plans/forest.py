@@ -95,11 +95,14 @@ def cuts_of(values: np.ndarray, bins: int) -> list[float]:
 
 
 def find_cuts(rows: DataFrame, features: list[str], bins: int) -> list[list[float]]:
-    places = F.lit(np.arange(PLACES + 1) / PLACES)
-    got = rows.agg(*[F.percentile_approx(F.nanvl(F.col(f"`{c}`").cast("double"), F.lit(None)),
-                                         places, 10_000).alias(f"v{k}")
-                     for k, c in enumerate(features)]).first()
-    return [cuts_of(np.array(v), bins) if v else [] for v in got]
+    """Each feature's ends of bins; a feature's summaries meet in a task of their own."""
+    value = F.nanvl(F.col("value"), F.lit(None))
+    got = rows.select(F.posexplode(F.array(*[
+        F.col(f"`{c}`").cast("double") for c in features])).alias("k", "value")) \
+        .groupBy("k").agg(F.percentile_approx(
+            value, F.lit(np.arange(PLACES + 1) / PLACES), 10_000).alias("places")).collect()
+    found = {r.k: cuts_of(np.array(r.places), bins) for r in got if r.places}
+    return [found.get(k, []) for k in range(len(features))]
 
 
 # ---- draws ---------------------------------------------------------------------------
